@@ -5,14 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm import bpe as _bpe
+from tidemark.llm import ctw as _ctw
 from tidemark.llm import decontaminate as _decontaminate
 from tidemark.llm import neardup as _neardup
+from tidemark.llm import quality as _quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").where(~_quality.held_out())
+    out = _quality.scored(docs, _quality.fit(docs, labels))
+    return out.select("doc_id", _quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bpe.code_digests(_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary())
+
+
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ctw.language_scores(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return _decontaminate.decontaminate(docs, _table(spark, sf_dir, "benchmark")).select("doc_id", "hits.*")
@@ -22,5 +46,5 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _neardup.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op7_decontaminate, op10_near_duplicates)}
+QUERIES = {f.__name__: f for f in (op2_quality, op4_bpe, op5_language_model, op7_decontaminate, op10_near_duplicates)}
 SQL: dict[str, str] = {}
