@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe as _bpe
+from tidemark.llm import chat as _chat
 from tidemark.llm import ctw as _ctw
 from tidemark.llm import decontaminate as _decontaminate
+from tidemark.llm import license_scan as _license
 from tidemark.llm import neardup as _neardup
 from tidemark.llm import quality as _quality
+from tidemark.llm import url_rules as _url
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +32,15 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", _quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+#: Host, path, verdict.
+RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    return _url.judge(pages, _url.rules_frame(spark, RULES)).select("page_id", "judged.*")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bpe.code_digests(_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary())
 
@@ -37,14 +49,84 @@ def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ctw.language_scores(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
+    messages = rows.union(own).withColumn("parts", _chat.text_part(F.col("text")))
+    out = _chat.format_messages(messages).withColumn("turns", _chat.read_back(F.col("formatted")))
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = _chat.loss_text(F.col("turns"))
+    return out.select(
+        F.col("conv").alias("conv_id"), F.size("turns").cast("bigint").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"),
+        F.char_length(loss).cast("bigint").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), F.char_length("formatted").cast("bigint").alias("formatted_chars"),
+    )
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return _decontaminate.decontaminate(docs, _table(spark, sf_dir, "benchmark")).select("doc_id", "hits.*")
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _license.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _neardup.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality, op4_bpe, op5_language_model, op7_decontaminate, op10_near_duplicates)}
+QUERIES = {f.__name__: f for f in (op2_quality, op3_url_rules, op4_bpe, op5_language_model, op6_chat_format, op7_decontaminate, op8_license_scan, op10_near_duplicates)}
+
+_AZ = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = "regexp_extract_all(" + _AZ + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 SQL: dict[str, str] = {}
+
+SQL["op3_url_rules"] = f"""
+WITH rules(host, path, verdict) AS (VALUES {", ".join(str(r) for r in RULES)}),
+cut AS (SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^?#]*') ELSE '' END AS rest FROM pages),
+u AS (SELECT page_id, row_number() OVER () AS r, {_AZ.format("split_part(coalesce(rest, ''), '/', 1)")} AS host,
+  CASE WHEN strpos(rest, '/') > 0 THEN substr(rest, strpos(rest, '/')) ELSE '' END AS path FROM cut),
+hit AS (SELECT u.r, arg_max(q.host || q.path, length(q.host || q.path)) AS rule, arg_max(q.verdict, length(q.host || q.path)) AS verdict
+  FROM u JOIN rules q ON (u.host = q.host OR ends_with(u.host, '.' || q.host)) AND starts_with(u.path, q.path) GROUP BY u.r)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM u LEFT JOIN hit USING (r)
+"""
+
+SQL["op6_chat_format"] = """
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS told,
+  coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss,
+  sum(23 + length(replace(role, '<|', '<|!|>')) + length(replace(text, '<|', '<|!|>'))) AS size FROM c GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(told) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(size AS BIGINT) AS formatted_chars FROM g
+"""
+
+
+def _license_sql() -> str:
+    """Templates as word lists; an alignment is a diagonal, neighbouring ones are merged as the operator does."""
+    base = [(label, text.split()) for label, text in _license.PHRASES]
+    notices = [(label, text.split()) for label, text in _license.NOTICES]
+    spots = " UNION ALL ".join(f"SELECT r, '{label}' AS label, i FROM d, generate_series(0, len(w) - {len(w)}) AS s(i) WHERE " + " AND ".join(f"w[i + {k + 1}] = '{x}'" for k, x in enumerate(w)) for label, w in base)
+    pairs = ", ".join(f"('{label}', {j}, {len(w) - 1}, '{w[j]}', '{w[j + 1]}')" for label, w in notices for j in range(len(w) - 1))
+    return f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+spots AS ({spots}),
+base AS (SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS b FROM spots GROUP BY r),
+t(label, j, pairs, a, z) AS (VALUES {pairs}),
+word AS (SELECT r, i, w[i + 1] AS a, w[i + 2] AS z FROM d, generate_series(0, len(w) - 2) AS s(i)),
+vote AS (SELECT r, label, pairs, i - t.j AS diag, t.j FROM word JOIN t USING (a, z)),
+line AS (SELECT r, label, pairs, diag, list(DISTINCT j) AS js FROM vote GROUP BY ALL),
+stepped AS (SELECT *, CASE WHEN diag - lag(diag) OVER (PARTITION BY r, label ORDER BY diag) <= {_license.SLACK} THEN 0 ELSE 1 END AS fresh FROM line),
+span AS (SELECT *, sum(fresh) OVER (PARTITION BY r, label ORDER BY diag) AS part FROM stepped),
+cover AS (SELECT r, label, len(list_distinct(flatten(list(js)))) / pairs AS cover FROM span GROUP BY r, label, pairs, part),
+more AS (SELECT r, max(cover) AS cover, list(DISTINCT label) FILTER (cover >= {_license.LEAST}) AS m FROM cover GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(array_to_string(list_sort(b), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b, []), coalesce(m, [])))), ','), '') AS labels,
+  CASE WHEN b IS NOT NULL THEN 1.0 ELSE coalesce(cover, 0.0) END AS score
+FROM d LEFT JOIN base USING (r) LEFT JOIN more USING (r)
+"""
+
+
+SQL["op8_license_scan"] = _license_sql()
