@@ -10,6 +10,7 @@ from tidemark.llm import bpe as _bpe
 from tidemark.llm import chat as _chat
 from tidemark.llm import ctw as _ctw
 from tidemark.llm import decontaminate as _decontaminate
+from tidemark.llm import html_extract as _html
 from tidemark.llm import license_scan as _license
 from tidemark.llm import neardup as _neardup
 from tidemark.llm import quality as _quality
@@ -26,6 +27,11 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _html.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = _table(spark, sf_dir, "labels").where(~_quality.held_out())
@@ -81,7 +87,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _neardup.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality, op3_url_rules, op4_bpe, op5_language_model, op6_chat_format, op7_decontaminate, op8_license_scan, op9_nearest, op10_near_duplicates)}
+QUERIES = {f.__name__: f for f in (op1_html_extract, op2_quality, op3_url_rules, op4_bpe, op5_language_model, op6_chat_format, op7_decontaminate, op8_license_scan, op9_nearest, op10_near_duplicates)}
 
 _AZ = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "regexp_extract_all(" + _AZ + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
