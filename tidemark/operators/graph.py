@@ -1,0 +1,187 @@
+"""The bipartite graph of transactions and entities, its statistics, and their way back to the transactions."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.functions.session import durable
+from tidemark.operators.components import connected_components
+
+STATS = ("degree", "component_size", "community_id", "clustering_coeff")
+ENTITY = ["entity_col", "entity_value"]
+#: Components with more projection edges than this are not sent to one task for Louvain.
+MOST_EDGES = 2_000_000
+
+
+def bipartite_edges(df: DataFrame, id_col: str, entity_cols: list[str]) -> DataFrame:
+    """Distinct (txn_id, entity_col, entity_value); a missing entity makes no edge."""
+    wide = df.select(F.col(id_col).alias("txn_id"), *[F.col(c).cast("string").alias(c) for c in entity_cols])
+    return wide.unpivot(["txn_id"], list(entity_cols), "entity_col", "entity_value").where("entity_value is not null").distinct()
+
+
+def transaction_nodes(df: DataFrame, id_col: str) -> DataFrame:
+    return df.select(F.col(id_col).alias("txn_id")).distinct()
+
+
+def isolated_transactions(df: DataFrame, id_col: str, entity_cols: list[str]) -> DataFrame:
+    return transaction_nodes(df, id_col).join(bipartite_edges(df, id_col, entity_cols), "txn_id", "left_anti")
+
+
+def degrees(edges: DataFrame) -> DataFrame:
+    return edges.groupBy(*ENTITY).agg(F.count("*").alias("degree"))
+
+
+def projection(edges: DataFrame) -> DataFrame:
+    """Entity pairs that share a transaction, and how many they share. A transaction has at most one entity per column,
+    so this is linear in the transactions."""
+    a = edges.select("txn_id", F.struct(*ENTITY).alias("src"))
+    b = edges.select("txn_id", F.struct(*ENTITY).alias("dst"))
+    return a.join(b, "txn_id").where("src < dst").groupBy("src", "dst").agg(F.count("*").alias("weight"))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(entity_col, entity_value, component, component_size): size counts transactions and entities."""
+    node = F.to_json(F.array(F.col("entity_col"), F.col("entity_value")))
+    links = edges.select(F.concat(F.lit("t"), F.col("txn_id").cast("string")).alias("src"), F.concat(F.lit("e"), node).alias("dst"))
+    parts = durable(connected_components(links))
+    sizes = parts.groupBy("component").agg(F.count("*").alias("component_size"))
+    own = edges.select(*ENTITY).distinct().withColumn("node", F.concat(F.lit("e"), node))
+    return own.join(parts, "node").join(sizes, "component").select(*ENTITY, "component", "component_size")
+
+
+def clustering(pairs: DataFrame) -> DataFrame:
+    """(entity_col, entity_value, clustering_coeff) of entities in the projection. Each triangle is found once, from its
+    corner of least degree, so hubs make no quadratic number of paths."""
+    ends = pairs.select(F.explode(F.array("src", "dst")).alias("n"))
+    k = ends.groupBy("n").agg(F.count("*").alias("k"))
+    ks, kd = k.select(F.col("n").alias("src"), F.col("k").alias("ks")), k.select(F.col("n").alias("dst"), F.col("k").alias("kd"))
+    ranked = pairs.select("src", "dst").join(ks, "src").join(kd, "dst")
+    up = F.struct(F.col("ks"), F.col("src")) < F.struct(F.col("kd"), F.col("dst"))
+    directed = ranked.select(F.when(up, F.struct("ks", "src")).otherwise(F.struct(F.col("kd").alias("ks"), F.col("dst").alias("src"))).alias("u"), F.when(up, F.struct(F.col("kd").alias("ks"), F.col("dst").alias("src"))).otherwise(F.struct("ks", "src")).alias("v"))
+    a, b = directed.select("u", F.col("v").alias("x")), directed.select("u", F.col("v").alias("y"))
+    open_ = a.join(b, "u").where("x < y")
+    closed = open_.join(directed.select(F.col("u").alias("x"), F.col("v").alias("y")), ["x", "y"])
+    corners = closed.select(F.explode(F.array("u", "x", "y")).alias("c")).groupBy(F.col("c.src").alias("n")).agg(F.count("*").alias("t"))
+    value = F.when(F.col("k") > 1, 2.0 * F.coalesce("t", F.lit(0)) / (F.col("k") * (F.col("k") - 1))).otherwise(0.0)
+    return k.join(corners, "n", "left").select("n.*", value.alias("clustering_coeff"))
+
+
+def _louvain(n: int, edges: list[tuple[int, int, float]], m: float) -> list[int]:
+    """Modularity communities by local moves and contraction; m is the edge weight of the whole graph. Deterministic."""
+    label = list(range(n))
+    group_of = list(range(n))
+    adjacency: list[dict[int, float]] = [{} for _ in range(n)]
+    loops = [0.0] * n
+    for a, b, w in edges:
+        adjacency[a][b] = adjacency[a].get(b, 0.0) + w
+        adjacency[b][a] = adjacency[b].get(a, 0.0) + w
+    while True:
+        size = len(adjacency)
+        k = [sum(x.values()) + 2 * s for x, s in zip(adjacency, loops, strict=True)]
+        home, total, moved = list(range(size)), k[:], False
+        while True:
+            gained = 0.0
+            for v in range(size):
+                weights: dict[int, float] = {}
+                for u, w in adjacency[v].items():
+                    weights[home[u]] = weights.get(home[u], 0.0) + w
+                old = home[v]
+                total[old] -= k[v]
+                best, most = old, weights.get(old, 0.0) - total[old] * k[v] / (2 * m)
+                stay = most
+                for c in sorted(weights):
+                    gain = weights[c] - total[c] * k[v] / (2 * m)
+                    if gain > most + 1e-12:
+                        best, most = c, gain
+                total[best] += k[v]
+                if best != old:
+                    home[v], moved = best, True
+                    gained += (most - stay) / m
+            if gained <= 1e-7:
+                break
+        if not moved:
+            break
+        names = {c: i for i, c in enumerate(sorted(set(home)))}
+        fold: list[dict[int, float]] = [{} for _ in names]
+        inner = [0.0] * len(names)
+        for v in range(size):
+            c = names[home[v]]
+            inner[c] += loops[v]
+            for u, w in adjacency[v].items():
+                d = names[home[u]]
+                if c == d:
+                    inner[c] += w / 2
+                else:
+                    fold[c][d] = fold[c].get(d, 0.0) + w
+        group_of = [names[home[g]] for g in group_of]
+        adjacency, loops = fold, inner
+        label = group_of
+    return label
+
+
+def communities(edges: DataFrame, pairs: DataFrame, parts: DataFrame | None = None) -> DataFrame:
+    """(entity_col, entity_value, community_id): -1 for all if no two entities share a transaction; else Louvain within each
+    component of the projection, with the weight of the whole graph. An id is the rank of the community's smallest member."""
+    entities = edges.select(F.struct(*ENTITY).alias("e")).distinct()
+    m = pairs.agg(F.sum("weight")).first()[0]
+    if not m:
+        return entities.select("e.*", F.lit(-1).cast("bigint").alias("community_id"))
+    text = F.to_json
+    linked = pairs.select(text("src").alias("src"), text("dst").alias("dst"), "weight")
+    own = durable(connected_components(linked))
+    sized = linked.join(own.select(F.col("node").alias("src"), "component"), "src")
+    heavy = sized.groupBy("component").count().where(F.col("count") > MOST_EDGES).select("component")
+    weight = float(m)
+
+    def solve(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["src", "dst"])
+        names = np.unique(np.concatenate([frame["src"], frame["dst"]]).astype(str))
+        at = {x: i for i, x in enumerate(names)}
+        label = _louvain(len(names), [(at[a], at[b], float(w)) for a, b, w in zip(frame["src"], frame["dst"], frame["weight"], strict=True)], weight)
+        first: dict[int, str] = {}
+        for x, c in zip(names, label, strict=True):
+            first.setdefault(c, x)
+        return pd.DataFrame({"node": names, "community": [first[c] for c in label]})
+
+    # a component too large for one task keeps itself as its community
+    solved = sized.join(heavy, "component", "left_anti").groupBy("component").applyInPandas(solve, "node string, community string")
+    whole = own.join(heavy, "component", "left_semi").select("node", F.col("component").alias("community"))
+    named = entities.withColumn("node", text("e")).join(solved.union(whole), "node", "left").withColumn("community", F.coalesce("community", "node"))
+    ids = dense_ids(named.select("community").distinct())
+    return named.join(ids, "community").select("e.*", F.col("id").alias("community_id"))
+
+
+def dense_ids(names: DataFrame) -> DataFrame:
+    """(community, id): ranks from 0 without a window over all rows: ranges are counted, then each is numbered."""
+    n = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = durable(names.repartitionByRange(n, "community").withColumn("p", F.spark_partition_id()))
+    from pyspark.sql import Window
+
+    counts = ranged.groupBy("p").count()
+    before = counts.withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("p", "before")
+    return ranged.withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy("community"))).join(F.broadcast(before), "p").select("community", (F.col("r") - 1 + F.col("before")).cast("bigint").alias("id"))
+
+
+def entity_features(df: DataFrame, id_col: str, entity_cols: list[str]) -> DataFrame:
+    """One row for each entity: degree, component_size, community_id, clustering_coeff."""
+    edges = durable(bipartite_edges(df, id_col, entity_cols))
+    pairs = durable(projection(edges))
+    parts = components(edges)
+    out = degrees(edges).join(parts.select(*ENTITY, "component_size"), ENTITY).join(communities(edges, pairs), ENTITY).join(clustering(pairs), ENTITY, "left")
+    return out.select(*ENTITY, "degree", "component_size", "community_id", F.coalesce("clustering_coeff", F.lit(0.0)).alias("clustering_coeff"))
+
+
+def transaction_entity_features(df: DataFrame, entity_cols: list[str], features: DataFrame) -> DataFrame:
+    """For each entity column a left lookup of every statistic, as ``<column>_<statistic>``; unknown and missing entities get
+    nulls. Entities must be unique."""
+    if not features.groupBy(*ENTITY).count().where("count > 1").isEmpty():
+        raise ValueError("entity rows are not unique")
+    stats = [c for c in features.columns if c not in ENTITY]
+    out = df
+    for c in entity_cols:
+        side = features.where(F.col("entity_col") == c).select(F.col("entity_value").alias("__entity"), *[F.col(s).alias(f"{c}_{s}") for s in stats])
+        out = out.join(side, out[c].cast("string") == F.col("__entity"), "left").drop("__entity")
+    return out
