@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,3 +34,25 @@ def fresh(name: str, taken: Iterable[str]) -> str:
     while name.lower() in lowered:
         name += "_"
     return name
+
+
+_shipped: dict[str, str] = {}
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give executors this package, once for each application: their Python need not have it installed."""
+    application = spark.sparkContext.applicationId
+    if application in _shipped:
+        return
+    import tidemark
+
+    root = os.path.dirname(os.path.abspath(tidemark.__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="tidemark-"), "tidemark.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(root):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    spark.sparkContext.addPyFile(path)
+    _shipped[application] = path
