@@ -141,3 +141,16 @@ FROM d LEFT JOIN base USING (r) LEFT JOIN more USING (r)
 
 
 SQL["op8_license_scan"] = _license_sql()
+
+SQL["op7_decontaminate"] = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS.format("coalesce(text, '')")} AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[s.i + 1 : s.i + least(10, len(w))], ' ') AS g FROM b, generate_series(0, greatest(0, len(w) - 10)) AS s(i) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT n FROM win),
+spot AS (SELECT r, s.i AS pos, n, array_to_string(w[s.i + 1 : s.i + n], ' ') AS g FROM d, sizes, generate_series(0, len(w) - n) AS s(i)),
+occ AS (SELECT r, pos, n, item_id FROM spot JOIN win USING (n, g)),
+hit AS (SELECT r, count(DISTINCT pos + k) AS n_hit FROM occ, generate_series(0, 9) AS s(k) WHERE k < n GROUP BY r),
+item AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM occ GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN item USING (r)
+"""
