@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import zipfile
@@ -28,6 +29,13 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop shuffle and checkpoint files of data that nothing refers to any more. In long loops they would
+    stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fresh(name: str, taken: Iterable[str]) -> str:
     """``name``, with underscores added until no column of ``taken`` is called so."""
     lowered = {t.lower() for t in taken}

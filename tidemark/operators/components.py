@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.session import durable
+from tidemark.functions.session import durable, release
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -30,6 +30,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         joined = large.join(least, "src")
         small = joined.where("dst <> m").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
         now = durable(small.union(least.select("src", F.col("m").alias("dst"))).distinct())
+        del both, large, joined, small
+        release(edges.sparkSession)
     members = now.select(F.col("src").alias("node"), F.col("dst").alias("component"))
     roots = raw.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     return roots.join(members, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
