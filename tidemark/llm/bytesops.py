@@ -72,7 +72,7 @@ def _power(base: int, n: int) -> np.ndarray:
         have = np.full(size, base, dtype=U64)
         have[0] = 1
         have = np.multiply.accumulate(have)
-        if size <= 1 << 23:
+        if size <= 1 << 21:  # 16 MB for each base
             _powers[base] = have
     return have[:n]
 
