@@ -107,6 +107,20 @@ def test_near_duplicates(spark, empty):
     assert neardup.near_duplicates(empty).count() == 0 and neardup.drop_near_duplicates(empty).count() == 0
 
 
+def test_classes_that_share_an_id(spark):
+    rng = random.Random(11)
+    text = lambda: [f"w{rng.randrange(5000)}" for _ in range(60)]
+    a, b, c, d, e = (text() for _ in range(5))
+    near = " ".join([*d[:-1], "other"])
+    rows = [(None, " ".join(a)), (None, " ".join(b)), (7, " ".join(c)), (7, " ".join(d)), (9, near), (None, near), (None, " ".join(a)), (3, " ".join(e)), (3, " ".join(e))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for part in (docs, docs.where("doc_id is null or doc_id <> 9").where(F.col("text") != near)):  # with links and without any
+        kept = neardup.drop_near_duplicates(part).collect()
+        assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(0, " ".join(a)), (0, " ".join(b)), (7, " ".join(c)), (7, " ".join(d)), (3, " ".join(e))])
+        got = neardup.near_duplicates(part).collect()
+        assert len({r.component for r in got}) == 5 and len({r.component for r in got if r.keep}) == 5
+
+
 def test_bpe_against_the_library(docs, empty, texts):
     from tokenizers import Tokenizer
 
