@@ -178,6 +178,59 @@ def test_language_model_is_a_distribution(spark):
         assert total == pytest.approx(1, abs=1e-4)
 
 
+def test_language_model_keeps_rare_contexts(spark):
+    import numpy as np
+
+    docs = spark.createDataFrame([("the cat sat on the mat " * 60_000,), ("qzxjv",)], "text string")
+    past = sum(c << (8 * (k + 1)) for k, c in enumerate(b"\nqzxj"[::-1]))
+    assert ctw.fit(docs).log10(np.array([past | ord("v")], dtype=np.uint64))[0] > math.log10(0.05)
+
+
+def test_language_model_against_a_plain_one(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(["tea", "teas", "eat", "é", "sea"]) for _ in range(12))) for i in range(40)] + [(50, "unseen words"), (50, "unseen words"), (51, None)]
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    assert any(held(i) for i, _ in rows)
+
+    def steps(text):
+        data = "".join(w + " " for w in (text or "").split()).encode() + b"\n"
+        for at, byte in enumerate(data):
+            context = (b"\n" * ctw.DEPTH + data[:at])[-ctw.DEPTH :]
+            for b in range(8):
+                yield [(context[len(context) - d :], (1 << b) | (byte >> (8 - b))) for d in range(ctw.DEPTH + 1)], (byte >> (7 - b)) & 1
+
+    count = collections.defaultdict(lambda: [0, 0])
+    for i, t in rows:
+        for path, bit in steps(t) if not held(i) else ():
+            for node in path:
+                count[node][bit] += 1
+    own = lambda z, o: math.lgamma(z + 0.5) + math.lgamma(o + 0.5) - math.lgamma(z + o + 1) - math.log(math.pi)
+    total, below = {}, collections.defaultdict(float)
+    for node in sorted(count, key=lambda x: -len(x[0])):
+        e = own(*count[node])
+        a, b = max(e, below[node]), min(e, below[node])
+        total[node] = e if len(node[0]) == ctw.DEPTH else a + math.log1p(math.exp(b - a)) - math.log(2)
+        if node[0]:
+            below[node[0][1:], node[1]] += total[node]
+
+    def chance(path, bit):
+        mixed = None
+        for node in path[::-1]:
+            if node in count:
+                p = (count[node][bit] + 0.5) / (sum(count[node]) + 1)
+                stop = math.exp(own(*count[node]) - math.log(2) - total[node])
+                mixed = p if mixed is None else stop * p + (1 - stop) * mixed
+        return 0.5 if mixed is None else mixed
+
+    expected = sorted((i, round(sum(math.log10(chance(*s)) for s in steps(t)), 3)) for i, t in rows)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for frequent in (ctw.FREQUENT, 60, 0):  # all broadcast, some joined, all joined
+        monkeypatch.setattr(ctw, "FREQUENT", frequent)
+        got = sorted((r.doc_id, r.score) for r in ctw.language_scores(docs).collect())
+        assert [i for i, _ in got] == [i for i, _ in expected]
+        assert all(a[1] == pytest.approx(b[1], abs=2e-3) for a, b in zip(got, expected, strict=True))
+
+
 def test_quality(spark, empty):
     rng = random.Random(6)
     bad = lambda: " ".join(w + "%%%" for w in prose(rng, 50).split())

@@ -8,9 +8,12 @@ a Krichevsky-Trofimov estimate of its bits, and a node's weighted probability is
 product of its children's. The posterior of "stop here" along a context's path mixes the estimates of all depths.
 
 Counts of all (context, byte) pairs are taken over all training texts: each task counts its own first, then they are
-summed by key. A context stays in the tree if it has at least one in ``1 << CAPACITY`` of all training bytes, so the
-tree has at most that many contexts of each depth at any corpus size; the rarer ones' counts stay in their parents. Bytes never
-seen in a context share its remaining probability as its parent would. Scoring looks up each byte's code length in a hash table.
+summed by key in a written table. No context is dropped, so the tree grows with the corpus. All contexts that end in the same
+two bytes are one subtree and meet in one task, which weighs it bottom up; the driver weighs only the contexts of two, one and no bytes,
+of which the alphabet allows 256**2 at most, and the subtrees are then read top down. A path ends at its deepest node with counts.
+
+That gives one code length for each (context, byte) of the texts to score. The most frequent ones, at most ``FREQUENT``, are looked up in a
+broadcast hash table; the others of each text are joined by key.
 
 Defined results: null and white space only are the empty text, which is one line end; repeated rows score alike; texts
 are read whole; with no training texts every byte has probability 1/256.
@@ -28,6 +31,8 @@ from tidemark.functions.session import durable
 from tidemark.llm.bytesops import LOWER, SPACE, U64, runs, slices, span_hashes, utf8
 
 DEPTH, CAPACITY = 5, 19
+#: At most so many code lengths are broadcast; all others are joined. Both ways give the same scores.
+FREQUENT = 1 << 21
 
 
 def stream(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,72 +112,75 @@ def _lookup(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return at, (keys[at] == wanted) if len(keys) else np.zeros(len(wanted), bool)
 
 
-def weigh(levels: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """levels[d]: sorted keys (context of d bytes above a byte) of the contexts that stay, and counts; level 0 has all bytes.
-    Gives for each depth: keys, natural logarithm of each byte's probability, contexts, logarithm of their share for unseen bytes."""
-    nodes = []
-    for keys, counts in levels:  # the tree of each decision: (context, bits so far)
-        context, byte = keys >> U64(8), keys & U64(255)
-        k = np.concatenate([(context << U64(8)) | (U64(1) << U64(b)) | (byte >> U64(8 - b)) for b in range(8)])
-        one = np.concatenate([((byte >> U64(7 - b)) & U64(1)).astype(np.float64) for b in range(8)])
-        c = np.tile(counts.astype(np.float64), 8)
-        u, inv = np.unique(k, return_inverse=True)
-        ones = np.bincount(inv, weights=c * one, minlength=len(u))
-        nodes.append((u, np.bincount(inv, weights=c, minlength=len(u)) - ones, ones))
-    stop, below = [None] * len(nodes), None
-    for d in range(len(nodes) - 1, -1, -1):
-        u, zeros, ones = nodes[d]
-        own = _block(zeros, ones)
-        if below is None or not len(below[0]):
-            stop[d], total = np.ones(len(u)), own
-        else:
-            parent = (((below[0] >> U64(8)) & (_mask(d) >> U64(8))) << U64(8)) | (below[0] & U64(255))
-            at, hit = _lookup(u, parent)
-            part = lambda x: np.bincount(at[hit], weights=x[hit], minlength=len(u))  # noqa: B023, E731
-            rest = _block(np.maximum(0, zeros - part(below[1])), np.maximum(0, ones - part(below[2])))  # what rarer contexts have
-            children = part(below[3]) + rest
-            leaf = np.bincount(at[hit], minlength=len(u)) == 0
-            total = np.where(leaf, own, np.logaddexp(own, children) - np.log(2))
-            stop[d] = np.where(leaf, 1.0, np.exp(np.minimum(0, own - np.log(2) - total)))
-        below = (u, zeros, ones, total)
-    out = []
-    for d, (keys, _) in enumerate(levels):
+def _nodes(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The trees of the eight decisions, of (context, byte) keys: (context, bits so far), zeros, ones."""
+    context, byte = keys >> U64(8), keys & U64(255)
+    k = np.concatenate([(context << U64(8)) | (U64(1) << U64(b)) | (byte >> U64(8 - b)) for b in range(8)])
+    one = np.concatenate([((byte >> U64(7 - b)) & U64(1)).astype(np.float64) for b in range(8)])
+    c = np.tile(counts.astype(np.float64), 8)
+    u, inv = np.unique(k, return_inverse=True)
+    ones = np.bincount(inv, weights=c * one, minlength=len(u))
+    return u, np.bincount(inv, weights=c, minlength=len(u)) - ones, ones
+
+
+def _weigh(u: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: tuple[np.ndarray, np.ndarray] | None, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """Posterior of "stop here" and logarithm of the weighted probability of nodes of depth d, from those one deeper."""
+    own = _block(zeros, ones)
+    if below is None:
+        return np.ones(len(u)), own
+    parent = (((below[0] >> U64(8)) & (_mask(d) >> U64(8))) << U64(8)) | (below[0] & U64(255))
+    children = np.bincount(np.searchsorted(u, parent), weights=below[1], minlength=len(u))
+    total = np.logaddexp(own, children) - np.log(2)
+    return np.exp(np.minimum(0, own - np.log(2) - total)), total
+
+
+def _subtree(keys: np.ndarray, counts: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+    """For depth DEPTH to 2: nodes, zeros, ones, stop, total of all contexts that end in the same two bytes."""
+    out, below = [], None
+    for d in range(DEPTH, 1, -1):
+        keys, inv = np.unique(keys & _mask(d), return_inverse=True)
+        counts = np.bincount(inv, weights=counts, minlength=len(keys))
+        nodes = _nodes(keys, counts)
+        stop, total = _weigh(*nodes, below, d)
+        below = (nodes[0], total)
+        out.append((*nodes, stop, total))
+    return out
+
+
+def _read(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return table["key"].to_numpy().astype(U64), table["n"].to_numpy().astype(np.float64)
+
+
+def _bottom(table: pa.Table) -> pa.Table:
+    """The nodes of two bytes, weighed with all that is below them."""
+    keys, n = _read(table)
+    u, zeros, ones, _, total = _subtree(keys[n > 0], n[n > 0])[-1]
+    as_double = {c: pa.array(x.astype(np.float64)) for c, x in (("zeros", zeros), ("ones", ones), ("total", total))}  # NumPy counts nothing in integers
+    return pa.table({"node": u.astype(np.int64), **as_double})
+
+
+def _top_down(top: list[tuple[np.ndarray, ...]]):
+    """top: nodes, zeros, ones and stop of depth 0 and 1."""
+
+    def run(table: pa.Table) -> pa.Table:
+        keys, n = _read(table)
+        levels = [*top, *(x[:4] for x in _subtree(keys[n > 0], n[n > 0])[::-1])]
         byte, logp = keys & U64(255), np.zeros(len(keys))
         for b in range(8):
             bits, bit = (U64(1) << U64(b)) | (byte >> U64(8 - b)), ((byte >> U64(7 - b)) & U64(1)) == 1
-            mixed = None
-            for e in range(d, -1, -1):
-                u, zeros, ones = nodes[e]
-                at, hit = _lookup(u, (((keys >> U64(8)) & (_mask(e) >> U64(8))) << U64(8)) | bits)
-                z, o = np.where(hit, zeros[at], 0), np.where(hit, ones[at], 0)
-                p = (np.where(bit, o, z) + 0.5) / (z + o + 1)
-                w = np.where(hit, stop[e][at], 0.5)
-                mixed = p if mixed is None else w * p + (1 - w) * mixed
-            logp += np.log(mixed)
-        if d == 0:
-            out.append((keys, logp, np.zeros(0, U64), np.zeros(0)))
-            continue
-        contexts, first = np.unique(keys >> U64(8), return_index=True)
-        seen = np.add.reduceat(np.exp(logp), first) if len(first) else np.zeros(0)
-        parent = np.add.reduceat(np.exp(_walk(out, keys & _mask(d - 1))), first) if len(first) else np.zeros(0)
-        share = np.log(np.maximum(1e-12, 1 - seen)) - np.log(np.maximum(1e-12, 1 - parent))
-        out.append((keys, logp, contexts, share))
-    return out
+            mixed, deeper = np.full(len(keys), 0.5), np.zeros(len(keys), bool)
+            for d in range(DEPTH, -1, -1):
+                u, zeros, ones, stop = levels[d]
+                if not len(u):
+                    continue
+                at, hit = _lookup(u, (((keys >> U64(8)) & (_mask(d) >> U64(8))) << U64(8)) | bits)
+                p = (np.where(bit, ones[at], zeros[at]) + 0.5) / (zeros[at] + ones[at] + 1)
+                mixed = np.where(hit, np.where(deeper, stop[at] * p + (1 - stop[at]) * mixed, p), mixed)
+                deeper |= hit
+            logp += np.log10(mixed)
+        return pa.table({"key": table["key"], "n": table["n"], "logp": logp})
 
-
-def _walk(levels, keys: np.ndarray) -> np.ndarray:
-    """Log probability of each key's byte by the deepest context known."""
-    total, todo = np.zeros(len(keys)), np.arange(len(keys))
-    for d in range(len(levels) - 1, -1, -1):
-        known, logp, contexts, share = levels[d]
-        k = keys[todo] & _mask(d)
-        at, hit = _lookup(known, k)
-        total[todo[hit]] += logp[at[hit]]
-        todo, k = todo[~hit], k[~hit]
-        if d and len(todo):
-            at, hit = _lookup(contexts, k >> U64(8))
-            total[todo[hit]] += share[at[hit]]
-    return total
+    return run
 
 
 class Table:
@@ -217,46 +225,61 @@ class Table:
 
 
 class Model:
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]):
-        made = weigh(levels)
-        tag = lambda k, d: k | U64(d) << U64(56)
-        self.depth = len(made) - 1
-        self.bytes = Table(np.concatenate([tag(m[0], d) for d, m in enumerate(made)]), np.concatenate([m[1] for m in made]) / np.log(10))
-        self.contexts = Table(np.concatenate([tag(m[2], d) for d, m in enumerate(made)]), np.concatenate([m[3] for m in made]) / np.log(10))
-
-    def log10(self, key: np.ndarray) -> np.ndarray:
-        total, todo = np.zeros(len(key), np.float32), np.arange(len(key))
-        for d in range(self.depth, -1, -1):
-            k = key[todo] & _mask(d)
-            value, hit = self.bytes.get(k | U64(d) << U64(56))
-            total[todo] += np.where(hit, value, 0)
-            if hit.all():
-                break
-            todo, k = todo[~hit], k[~hit]
-            if d:
-                value, hit = self.contexts.get((k >> U64(8)) | U64(d) << U64(56))
-                total[todo] += np.where(hit, value, 0)
-        return total
-
-
-def fit(docs: DataFrame, *, text_col: str = "text", capacity: int = CAPACITY) -> Model:
-    """The tree of all ``docs``. What reaches the driver is bounded: contexts of at least 1/2**capacity of all bytes."""
-    counted = docs.select(F.col(text_col)).mapInArrow(_count, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-    level, levels = durable(counted), []
-    total = level.agg(F.sum("n")).first()[0] or 0
-    least = max(1, -(-total // (1 << capacity)))
-    for d in range(DEPTH, 0, -1):
-        heavy = level.groupBy(F.expr("shiftright(key, 8)").alias("context")).agg(F.sum("n").alias("m")).where(F.col("m") >= least)
-        kept = level.join(heavy, F.expr("shiftright(key, 8) = context"), "left_semi").select("key", "n").toArrow()
-        keys, n = kept["key"].to_numpy().astype(U64), kept["n"].to_numpy()
-        order = np.argsort(keys)
-        levels.append((keys[order], n[order]))
-        level = durable(level.groupBy(F.col("key").bitwiseAND(F.lit(int(_mask(d - 1)))).alias("key")).agg(F.sum("n").alias("n")))
-    root = np.zeros(256, np.int64)
-    for r in level.toLocalIterator():
-        root[r.key] = r.n
-    levels.append((np.arange(256, dtype=U64), root))
-    return Model(levels[::-1])
+    """``counted``: (key, n) with one row for each (context, byte), in the shared folder; n may be 0."""
+
+    def __init__(self, counted: DataFrame):
+        self.counted = counted
+        # at most 256**2 contexts of two bytes
+        found = self._subtrees(counted).applyInArrow(_bottom, "node bigint, zeros double, ones double, total double").toArrow()
+        node, zeros, ones, total = (found[c].to_numpy() for c in ("node", "zeros", "ones", "total"))
+        node, order = np.sort(node).astype(U64), np.argsort(node)
+        zeros, ones, below, self.top = zeros[order], ones[order], (node, total[order]), []
+        for d in (1, 0):
+            u, inv = np.unique((((node >> U64(8)) & (_mask(d) >> U64(8))) << U64(8)) | (node & U64(255)), return_inverse=True)
+            zeros, ones = (np.bincount(inv, weights=x, minlength=len(u)) for x in (zeros, ones))
+            stop, total = _weigh(u, zeros, ones, below, d)
+            node, below = u, (u, total)
+            self.top.insert(0, (u, zeros, ones, stop))
+
+    @staticmethod
+    def _subtrees(counted: DataFrame):
+        return counted.groupBy(F.expr("shiftright(key, 8) & 65535").alias("ends"))
+
+    def lengths(self, more: DataFrame | None = None) -> DataFrame:
+        """(key, n, logp): log10 of the byte's probability, for all keys counted and those of ``more``."""
+        rows = self.counted
+        if more is not None:
+            rows = rows.union(more.select("key", F.lit(0).cast("bigint"))).groupBy("key").agg(F.sum("n").alias("n"))
+        return self._subtrees(rows).applyInArrow(_top_down(self.top), "key bigint, n bigint, logp double")
+
+    def log10(self, keys: np.ndarray) -> np.ndarray:
+        more = self.counted.sparkSession.createDataFrame([(int(k),) for k in np.unique(keys)], "key bigint")
+        got = {r.key: r.logp for r in self.lengths(more).join(F.broadcast(more), "key", "left_semi").toLocalIterator()}
+        return np.array([got[int(k)] for k in keys])
+
+
+def fit(docs: DataFrame, *, text_col: str = "text", others: DataFrame | None = None) -> Model:
+    """The tree of all ``docs``; the contexts of ``others`` are only put down as wanted, with no counts."""
+    count = lambda df: df.select(F.col(text_col)).mapInArrow(_count, "key bigint, n bigint")
+    counted = count(docs)
+    if others is not None:
+        counted = counted.union(count(others).select("key", F.lit(0).cast("bigint")))
+    return Model(durable(counted.groupBy("key").agg(F.sum("n").alias("n"))))
+
+
+def _most_frequent(lengths: DataFrame) -> tuple[Table, F.Column | None]:
+    """A table of at most FREQUENT keys, and the condition for all others (None if there are none)."""
+    size = F.floor(F.log2(F.col("n") + 1))
+    least, total, whole = None, 0, True
+    for r in sorted(lengths.groupBy(size.alias("size")).count().collect(), reverse=True):  # at most 64 rows
+        total += r["count"]
+        if total > FREQUENT:
+            whole = False
+            break
+        least = r["size"]
+    often = lengths.where(F.lit(False) if least is None else size >= least).select("key", "logp").toArrow()
+    rest = None if whole else F.lit(True) if least is None else size < least
+    return Table(often["key"].to_numpy().astype(U64), often["logp"].to_numpy()), rest
 
 
 #: A token and its hash; the base model joins counts by this hash.
@@ -276,6 +299,11 @@ def _token_counts(batches):
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(c.astype(np.int64))], names=["h", "c"])
 
 
+def _lists(parts: list[np.ndarray], sizes: list[np.ndarray]) -> pa.ListArray:
+    flat, at = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (parts, sizes))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(at)]).astype(np.int32)), pa.array(flat))
+
+
 def held_out(id_col: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
@@ -288,7 +316,9 @@ def language_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     broadcast; the rarer ones of each text are joined by key."""
     train = docs.where(~held_out(id_col)).select(text_col)
     sc = docs.sparkSession.sparkContext
-    model = sc.broadcast(fit(train, text_col=text_col))  # at most DEPTH * 2**CAPACITY contexts
+    lengths = durable(fit(train, text_col=text_col, others=docs.where(held_out(id_col))).lengths())
+    table, seldom = _most_frequent(lengths)
+    model = sc.broadcast(table)  # at most FREQUENT keys
     counts = durable(train.mapInArrow(_token_counts, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")))
     n_train, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     frequent = F.col("c") * (1 << CAPACITY) >= n_train
@@ -300,11 +330,14 @@ def language_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             data, offsets = utf8(batch.column(2))
             texts, n = [], np.zeros((4, batch.num_rows))
-            rare, sizes = [], []
+            rare, sizes, far, far_sizes = [], [], [], []
             for i, j in slices(offsets, 1 << 20):
                 part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 k, where = grams(part, at)
-                texts.append(np.add.reduceat(model.value.log10(k).astype(np.float64), where[:-1]))
+                value, hit = model.value.get(k)
+                texts.append(np.add.reduceat(np.where(hit, value, 0).astype(np.float64), where[:-1]))
+                far.append(k[~hit].astype(np.int64))
+                far_sizes.append(np.add.reduceat((~hit).astype(np.int64), where[:-1]))
                 h, text = tokens(part, at)
                 h, text = np.append(h, np.zeros(j - i, np.int64)), np.append(text, np.arange(j - i))
                 value, hit = known.value.get(h.astype(U64))
@@ -315,19 +348,23 @@ def language_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 left = left[np.argsort(text[left], kind="stable")]
                 rare.append(h[left])
                 sizes.append(np.bincount(text[left], minlength=j - i))
-            flat, at = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (rare, sizes))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(at)]).astype(np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate([np.zeros(0), *texts])), pa.array(n[0].astype(np.int64)), pa.array(n[1].astype(np.int64)), pa.array(n[2]), lists], names=["id", "row", "score", "n", "k", "b", "rare"])
+            lists = [_lists(rare, sizes), _lists(far, far_sizes)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate([np.zeros(0), *texts])), pa.array(n[0].astype(np.int64)), pa.array(n[1].astype(np.int64)), pa.array(n[2]), *lists], names=["id", "row", "score", "n", "k", "b", "rare", "far"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), F.col(text_col))
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *T._parse_datatype_string("row bigint, score double, n bigint, k bigint, b double, rare array<bigint>").fields])
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *T._parse_datatype_string("row bigint, score double, n bigint, k bigint, b double, rare array<bigint>, far array<bigint>").fields])
     scored = durable(rows.mapInArrow(score, schema))
     # rows of the same id and text have the same rarer tokens, so one of them stands for all
     rare = scored.where("size(rare) > 0").groupBy("row").agg(F.first("rare").alias("rare")).select("row", F.explode("rare").alias("h"))
     rest = rare.groupBy("row", "h").agg(F.count("*").alias("m")).join(counts.where(~frequent), "h", "left")
     rest = rest.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("m")).otherwise(0)).alias("k2"), F.sum(F.col("m") * F.log10((F.coalesce("c", F.lit(0)) + 1.0) / F.lit(size))).alias("b2"))
     zero = F.lit(0)
-    return scored.join(rest, "row", "left").select(
+    out, more = scored.join(rest, "row", "left"), F.lit(0.0)
+    if seldom is not None:
+        far = scored.where("size(far) > 0").groupBy("row").agg(F.first("far").alias("far")).select("row", F.explode("far").alias("key")).groupBy("row", "key").agg(F.count("*").alias("m"))
+        far = far.join(lengths.where(seldom).select("key", "logp"), "key").groupBy("row").agg(F.sum(F.col("m") * F.col("logp")).alias("s2"))
+        out, more = out.join(far, "row", "left"), F.coalesce("s2", F.lit(0.0))
+    return out.select(
         F.col("id").alias(id_col), held_out("id").alias("held_out"), F.col("n").alias("n_tokens"), (F.col("k") + F.coalesce("k2", zero)).cast("bigint").alias("n_known"),
-        F.lit(n_train).cast("bigint").alias("train_tokens"), (F.col("b") + F.coalesce("b2", F.lit(0.0))).alias("base_score"), "score",
+        F.lit(n_train).cast("bigint").alias("train_tokens"), (F.col("b") + F.coalesce("b2", F.lit(0.0))).alias("base_score"), (F.col("score") + more).alias("score"),
     )
