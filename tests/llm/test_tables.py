@@ -133,3 +133,20 @@ def test_nearest(spark):
     assert ann.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
     few = ann.nearest(df.where("vec_id in (0, 1, 2)"), F.col("vec_id") == 0).collect()
     assert sorted(r.vec_id for r in few) == [1, 2]
+
+
+@pytest.mark.parametrize("clusters", [60, 300])
+def test_nearest_in_clusters_and_outliers(spark, clusters):
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    n, centres = 12 * clusters, rng.normal(size=(clusters, 16))
+    x = np.concatenate([np.repeat(centres, 12, axis=0) + rng.normal(size=(n, 16)) * 1e-4, 30 * rng.normal(size=(10, 16))])
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id bigint, embedding array<double>")
+    asked = [*range(0, n, 12), *range(n, n + 10)]
+    by = {}
+    for r in ann.nearest(df, F.col("vec_id").isin(asked)).collect():
+        by.setdefault(r.query_id, set()).add(r.vec_id)
+    assert sorted(by) == asked and {len(v) for v in by.values()} == {20}
+    found = sum(len(by[q] & set([int(i) for i in np.argsort(-(x @ x[q]), kind="stable") if i != q][:20])) for q in asked)
+    assert found / (20 * len(asked)) >= 0.9

@@ -4,14 +4,15 @@ Vectors are lengthened by one component so that all have the same norm; then the
 distance. Centroids are fitted on a bounded sample (``SAMPLE`` vectors, those of the smallest hashes) by k-means with a penalty on large clusters.
 Each vector goes to the list of its nearest centroid and, if it lies near a boundary, to others
 whose distance is within ``REPLICATE`` of the nearest (at most ``COPIES``). Centroids are linked to their neighbours in a graph in memory;
-a query walks it from entry points, best first, and takes the lists whose centroids' distances are within ``PRUNE`` of the nearest.
+a query walks it from entry points, best first, and takes the lists whose centroids' distances are within ``PRUNE`` of the nearest,
+and the next ones until they hold ``ENOUGH`` times as many vectors as could be needed; if the lists it walked hold too few, it takes all.
 Lists are cut into parts of about ``PART`` vectors by the hash of the vector, so no task holds a long list. Every row is indexed.
 
 Equal vectors are one entry with their smallest ids: a query can have only its ``k`` + 1 smallest copies among its k nearest.
 The same holds for queries: equal ones are searched once. Scores are recomputed in double precision on the original vectors.
 
 Defined results: null, zero, non-finite vectors and such of another length than the most common one take no part; ties go to the smaller id; with
-fewer than k candidates all are returned if they are in the lists searched; an empty table gives no rows; repeated rows are two candidates of the same id, of which one is kept.
+fewer than k candidates all are returned; an empty table gives no rows; repeated rows are two candidates of the same id, of which one is kept.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.session import durable
 
-SAMPLE, PART, COPIES, REPLICATE, PRUNE, DEGREE = 20_000, 4_000, 3, 1.06, 1.22, 16
+SAMPLE, PART, COPIES, REPLICATE, PRUNE, DEGREE, ENOUGH = 20_000, 4_000, 3, 1.06, 1.22, 16, 16
 
 
 def usable(vector: Column) -> Column:
@@ -121,7 +122,10 @@ def nearest(vectors: DataFrame, queries: Column, *, id_col: str = "vec_id", vect
     graph = spark.sparkContext.broadcast(Graph(fit(x, lists)))  # at most 1024 centroids
     parts = max(1, round(n * 2 / lists / PART))
 
-    def place(query: bool):
+    def place(query: bool, sizes: np.ndarray | None = None):
+        # a vector stands in COPIES lists at most, so that many entries hold k + 1 different ones for certain
+        need = ENOUGH * COPIES * (k + 1)
+
         def run(batches):
             for batch in batches:
                 if not batch.num_rows:
@@ -132,14 +136,25 @@ def nearest(vectors: DataFrame, queries: Column, *, id_col: str = "vec_id", vect
                 near = d <= d[:, :1] * (PRUNE if query else REPLICATE) + 1e-9
                 if not query:
                     near[:, COPIES:] = False
+                else:
+                    held = sizes[ids]
+                    near |= np.cumsum(held, axis=1) - held < need
                 row, col = np.nonzero(near)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row, col].astype(np.int32)), batch.column("g").take(pa.array(row)), batch.column("v").take(pa.array(row))], names=["list", "g", "v"])
+                lists_of = ids[row, col]
+                if query and (short := held.sum(axis=1) < need).any():
+                    every = np.flatnonzero(short)
+                    row, lists_of = row[~short[row]], lists_of[~short[row]]
+                    row, lists_of = np.append(row, np.repeat(every, len(sizes))), np.append(lists_of, np.tile(np.arange(len(sizes)), len(every)))
+                yield pa.RecordBatch.from_arrays([pa.array(lists_of.astype(np.int32)), batch.column("g").take(pa.array(row)), batch.column("v").take(pa.array(row))], names=["list", "g", "v"])
 
         return run
 
     kind = "list int, g binary, v array<double>"
     entries = distinct.mapInArrow(place(False), kind).withColumn("part", F.pmod(F.xxhash64("g"), F.lit(parts)).cast("int"))
-    wanted = distinct.join(asked.select("g").distinct(), "g", "left_semi").mapInArrow(place(True), kind).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    sizes = np.zeros(len(graph.value.c), np.int64)
+    for r in entries.groupBy("list").count().collect():  # at most 1024 rows
+        sizes[r["list"]] = r["count"]
+    wanted = distinct.join(asked.select("g").distinct(), "g", "left_semi").mapInArrow(place(True, sizes), kind).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
     def match(left, right):
         q, p = left, right
