@@ -54,6 +54,16 @@ def test_constant_slots_fall_out(spark):
     assert {r.text for r in html_extract.extract(df).collect()} == {f"text {i}" for i in range(8)}
 
 
+def test_copies_are_no_template(spark):
+    same = "<body><p>First words</p><p>Second words</p></body>"
+    moving = "<body><nav>session {}</nav><p>Only body</p></body>"
+    rows = [(i, f"http://a.com/?s={i}", same) for i in range(8)] + [(20 + i, "http://b.com/", moving.format(i)) for i in range(8)]
+    rows += [(40 + i, "http://c.com/", f"<body><div>Hello all</div>{f'<p>text {i}</p>' if i else ''}</body>") for i in range(8)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert {got[i] for i in range(8)} == {"First words Second words"} and {got[20 + i] for i in range(8)} == {"Only body"}
+    assert got[40] == "Hello all" and {got[40 + i] for i in range(1, 8)} == {f"text {i}" for i in range(1, 8)}
+
+
 def test_url_rules(spark):
     rules = url_rules.rules_frame(spark, queries.RULES)
     urls = [

@@ -7,7 +7,8 @@ group once, else an optional part. Wrappers of parts of a host's pages are align
 folds its own pages first, and only wrappers are shuffled, in two rounds by host and salt: no task gathers pages.
 
 A page's text is read through its host's wrapper: slots in menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and reader comments fall out, so do slots outside the article with one constant text on ``TEMPLATE`` pages or more; if the wrapper or the page has an
+scripts, styles and reader comments fall out, so do slots outside the article with one constant text on ``TEMPLATE`` different pages or more,
+if other text of the page is left. Pages with the same texts outside dropped parts count once, however many copies there are. If the wrapper or the page has an
 article or main part, only its slots count. A page that does not fit gets the decisions for its own slots by their place.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by one space.
@@ -19,6 +20,7 @@ row; broken markup is read as far as it goes, whole pages at any length.
 from __future__ import annotations
 
 import difflib
+import hashlib
 import html
 import pickle
 import re
@@ -92,11 +94,12 @@ def read(page: str) -> tuple[tuple[str, ...], list[tuple[str, bool, bool]]]:
 
 
 class Node:
-    """A symbol, or a repeated group of symbols; slots: for each text in it [constant or None, dropped, in article]."""
+    """A symbol, or a repeated group of symbols; slots: for each text in it [constant or None, dropped, in article]; pages: hashes
+    of the texts of different pages that have it, all of them if fewer than TEMPLATE."""
 
     __slots__ = ("key", "optional", "pages", "slots")
 
-    def __init__(self, key, slots, pages=1, optional=False):
+    def __init__(self, key, slots, pages=frozenset(), optional=False):
         self.key, self.slots, self.pages, self.optional = key, slots, pages, optional
 
     def __reduce__(self):
@@ -125,6 +128,8 @@ def fold(symbols: tuple[str, ...]) -> list[tuple[tuple[str, ...], int]]:
 
 def page_wrapper(folded, texts) -> list[Node]:
     nodes, t = [], 0
+    told = "\0".join(x[0] for x in texts if not x[1])
+    page = frozenset([int.from_bytes(hashlib.blake2b(told.encode("utf-8", "surrogatepass"), digest_size=8).digest())])
     for block, times in folded:
         per = block.count("#")
         slots = []
@@ -133,13 +138,19 @@ def page_wrapper(folded, texts) -> list[Node]:
             same = {x[0] for x in own}
             slots.append([own[0][0] if len(same) == 1 else None, any(x[1] for x in own), all(x[2] for x in own)])
         t += per * times
-        nodes.append(Node(("+", block) if times > 1 else block[0], slots))
+        nodes.append(Node(("+", block) if times > 1 else block[0], slots, page))
     return nodes
 
 
+def _pages(a: frozenset, b: frozenset) -> frozenset:
+    if len(a) >= TEMPLATE or a is b or a == b:
+        return a
+    return b if len(b) >= TEMPLATE else a | b
+
+
 def _join(a: Node, b: Node) -> Node:
     slots = [[x[0] if x[0] == y[0] else None, x[1] and y[1], x[2] or y[2]] for x, y in zip(a.slots, b.slots, strict=True)]
-    return Node(a.key, slots, a.pages + b.pages, a.optional or b.optional)
+    return Node(a.key, slots, _pages(a.pages, b.pages), a.optional or b.optional)
 
 
 def align(a: list[Node], b: list[Node]) -> list[Node]:
@@ -155,7 +166,7 @@ def align(a: list[Node], b: list[Node]) -> list[Node]:
             continue
         for x, y in ((left, right), (right, left)):  # one side is the other's group, once
             if len(x) == 1 and isinstance(x[0].key, tuple) and x[0].key[1] == tuple(z.key for z in y):
-                once = Node(x[0].key, [s for z in y for s in z.slots], max(z.pages for z in y), any(z.optional for z in y))
+                once = Node(x[0].key, [s for z in y for s in z.slots], frozenset().union(*(z.pages for z in y)), any(z.optional for z in y))
                 out.append(_join(x[0], once))
                 break
         else:
@@ -177,7 +188,7 @@ def decide(wrapper: list[Node] | None, folded, texts) -> list[bool]:
             for i, j, n in difflib.SequenceMatcher(None, own, keys, autojunk=False).get_matching_blocks():
                 place.update({j + k: wrapper[i + k] for k in range(n)})
         has_article |= any(s[2] and not s[1] for n in wrapper for s in n.slots) and has_article
-    out, t = [], 0
+    out, plain, t = [], [], 0  # plain: without regard to constant slots
     for k, (block, times) in enumerate(folded):
         per, node = block.count("#"), place.get(k)
         for _ in range(times):
@@ -185,11 +196,12 @@ def decide(wrapper: list[Node] | None, folded, texts) -> list[bool]:
                 _, dropped, inside = texts[t]
                 constant = False
                 if node is not None and len(node.slots) == per:
-                    constant = node.slots[s][0] is not None and node.pages >= TEMPLATE and not inside
+                    constant = node.slots[s][0] is not None and len(node.pages) >= TEMPLATE and not inside
                     dropped = dropped or (node.slots[s][1] and not inside)
-                out.append(not dropped and not constant and (inside or not has_article))
+                plain.append(not dropped and (inside or not has_article))
+                out.append(plain[-1] and not constant)
                 t += 1
-    return out
+    return out if any(out) else plain
 
 
 def assemble(symbols, texts, keep: list[bool]) -> str:
