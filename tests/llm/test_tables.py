@@ -160,3 +160,36 @@ def test_nearest_in_clusters_and_outliers(spark, clusters):
     assert sorted(by) == asked and {len(v) for v in by.values()} == {20}
     found = sum(len(by[q] & set([int(i) for i in np.argsort(-(x @ x[q]), kind="stable") if i != q][:20])) for q in asked)
     assert found / (20 * len(asked)) >= 0.9
+
+
+@pytest.mark.parametrize(("n", "factor"), [(16, 1.0), (40, 1.0), (120, 1.0), (40, 1e200), (40, 1e-200)])
+def test_nearest_gives_all_that_there_are(spark, n, factor):
+    import numpy as np
+
+    rng = np.random.default_rng(n)
+    x = (np.where(np.arange(n)[:, None] < n // 2, 5.0, -5.0) + rng.normal(size=(n, 6))) * factor  # two groups far apart
+    df = spark.createDataFrame([(f"v{i}", [float(v) for v in r]) for i, r in enumerate(x)], "name string, embedding array<double>")
+    got = ann.nearest(df, F.lit(True), id_col="name").collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.query_id, []).append(r.name)
+    assert sorted(by) == sorted(f"v{i}" for i in range(n))
+    assert {(len(v), len(set(v))) for v in by.values()} == {(min(20, n - 1), min(20, n - 1))}
+    assert all(q not in v for q, v in by.items())
+    if factor == 1.0:
+        near = {f"v{i}": {f"v{j}" for j in sorted((j for j in range(n) if j != i), key=lambda j: -(x[i] @ x[j]))[:20]} for i in range(n)}
+        assert sum(len(near[q] & set(v)) for q, v in by.items()) / sum(map(len, near.values())) >= 0.9
+
+
+def test_nearest_with_ties_and_repeated_ids(spark):
+    # vectors of few values: scores tie everywhere, and the smaller id comes first
+    rows = [(i, [float(i % 2), float(i % 3), 1.0]) for i in range(90)] + [(3, [9.0, 9.0, 9.0]), (3, [9.0, 9.0, 9.0]), (4, [0.0, 1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = ann.nearest(df, F.col("vec_id") % 5 == 0, k=30).orderBy("query_id", "rank").collect()
+    assert got == ann.nearest(df.repartition(7, F.rand(3)), F.col("vec_id") % 5 == 0, k=30).orderBy("query_id", "rank").collect()
+    three = {r.score for r in got if r.vec_id == 3 and r.query_id == 0}  # one of its two vectors, always the same
+    assert len(three) == 1
+    x = {i: v for i, v in rows[:90]} | ({3: [9.0, 9.0, 9.0]} if three == {9.0} else {})
+    for q in range(0, 90, 5):
+        order = sorted((j for j in range(90) if j != q), key=lambda j: (-sum(a * b for a, b in zip(x[q], x[j], strict=True)), j))[:30]
+        assert [r.vec_id for r in got if r.query_id == q] == order
