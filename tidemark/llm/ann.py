@@ -38,7 +38,7 @@ from tidemark.functions.session import durable, fresh
 
 LIST, MOST, PER_LIST, COPIES, REPLICATE, DEGREE = 64, 16_384, 16, 2, 1.06, 12
 TRIALS, RECALL, ENOUGH = 128, 0.97, 4
-PART, BLOCK = 16_384, 16_384
+PART, BLOCK = 8_192, 16_384
 
 
 def usable(vector: Column) -> Column:
@@ -327,10 +327,14 @@ def _matches(dim: int, k: int, power: int):
 
 def build(distinct: DataFrame, trials: DataFrame, dim: int, k: int) -> tuple[Index, float] | None:
     """An index for the different vectors (g, v): graph, beam and ratio; and the share of the trial queries' neighbours that it finds."""
-    exact = F.transform("v", lambda x: F.abs(x.cast("double")))
-    top = F.array_max(exact)
-    length = F.log2(top) + 0.5 * F.log2(F.aggregate(F.transform(exact, lambda x: x / top), F.lit(0.0), lambda s, x: s + x * x))
-    power, n = distinct.agg(F.max(length), F.count("*")).first()
+    def longest(batches):
+        for batch in batches:
+            if batch.num_rows:
+                v = _matrix(batch.column("v"), dim)
+                top = np.abs(v).max(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array([float((np.log2(top) + 0.5 * np.log2(((v / top[:, None]) ** 2).sum(axis=1))).max())]), pa.array([len(v)])], names=["top", "n"])
+
+    power, n = distinct.select("v").mapInArrow(longest, "top double, n bigint").agg(F.max("top"), F.sum("n")).first()
     if not n:
         return None
     power = int(np.ceil(power + 1e-9))
