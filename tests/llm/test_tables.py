@@ -38,15 +38,84 @@ def test_html(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def wrapper_of(*pages):
+    wrapper = html_extract.Node("root")
+    for page in pages:
+        html_extract.add_page(wrapper, html_extract.read(page))
+    return wrapper
+
+
+def main_text(text, wrapper):
+    page = html_extract.read(text)
+    return html_extract.assemble(page, html_extract.decide(wrapper and html_extract.choose(wrapper), page))
+
+
 def test_wrapper_alignment():
-    def wrapper(page):
-        symbols, texts = html_extract.read(page)
-        return html_extract.page_wrapper(html_extract.fold(symbols), texts)
-
-    a, b = wrapper("<ul><li>a</li><li>b</li></ul><i>x</i>"), wrapper("<ul><li>c</li></ul>")
-    both = html_extract.align(a, b)
-    assert ("+", ("li", "#", "/li")) in [n.key for n in both]
-    assert [n.key for n in both if n.optional] == ["i", "#", "/i"]
+    a, b = "<ul><li>a</li><li>b</li></ul><i>x</i>", "<ul><li>c</li></ul>"
+    for both in (wrapper_of(a, b), wrapper_of(b, a), html_extract.merge(wrapper_of(a), wrapper_of(b)), html_extract.merge(wrapper_of(b), wrapper_of(a))):
+        assert both.pattern() == "<root><ul+>(<li#>#</li>)+</ul>(<i>#</i>)?</root>"
+    # other orders make a repeated group of optional members, up to the last place
+    both = wrapper_of("<h2>a</h2><p>b</p><hr><p>c</p><pre>d</pre><i>e</i>", "<p>a</p><h2>b</h2>")
+    assert both.pattern() == "<root>((<h2#>#</h2>)?(<p>#</p>)?)+(<pre#>#</pre>)?(<i>#</i>)?</root>"
+
+
+def test_wrappers_are_bounded():
+    rng = random.Random(5)
+    tags = ["p", "h2", "ul", "pre", "blockquote", "table", "section"]
+    pages = []
+    for i in range(400):
+        body = "".join(f"<{t} class='c{rng.randrange(9)}x{i}'><b>word{rng.random()}</b></{t}>" for t in rng.choices(tags, k=30))
+        pages.append(f"<body>{body}</body>")
+    size = lambda w: 1 + sum(size(k) for k in w.kids.values())
+    sizes = [size(wrapper_of(*pages[:n])) for n in (50, 400)]
+    assert sizes[1] <= sizes[0] + 10 and sizes[1] < 300
+    odd = [f"<x{i}><y{i}>a{i}</y{i}></x{i}>" for i in range(400)]
+    assert size(wrapper_of(*odd)) < 400
+    assert main_text(odd[390], wrapper_of(*odd)) == "a390"
+    deep = "<div>" * 3000 + "text" + "</div>" * 3000
+    assert main_text(deep, wrapper_of(deep)) == "text"
+
+
+def test_pages_without_names_are_read_by_the_wrapper(spark):
+    """The pages of the tables, and the same with neither article elements nor classes."""
+    import re
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html")
+    bare = F.regexp_replace(F.regexp_replace("html", "</?article[^>]*>", ""), r'\sclass="[^"]*"', "")
+    got = {r.page_id: r.text for r in html_extract.extract(pages).collect()}
+    assert got == {r.page_id: r.text for r in html_extract.extract(pages.withColumn("html", bare)).collect()}
+    # brute force for pages of this form
+    for r in pages.collect():
+        inner = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
+        blocks = re.split(r"</?(?:h1|p|br)>", re.sub(r"</?b>", "", inner))
+        import html
+
+        assert got[r.page_id] == " ".join(x for x in (" ".join(html.unescape(b).split()) for b in blocks) if x)
+
+
+def test_without_the_wrapper_more_is_kept():
+    body = "<body><div><span>Offer {0}</span></div><ul><li><a>One {0}</a></li><li><a>Two</a></li></ul><h1>Head {0}</h1><p>Text {0}</p><p>Last words {0}</p><div><p>All rights</p></div></body>"
+    pages = [body.format(i) for i in range(6)]
+    learned = wrapper_of(*pages)
+    for i, text in enumerate(pages):
+        assert main_text(text, learned) == f"Head {i} Text {i} Last words {i}"
+        assert main_text(text, None) == f"Offer {i} One {i} Two Head {i} Text {i} Last words {i} All rights"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<div class="page has-sidebar"><article><p>Main text</p></article><div class="sidebar">Side</div></div>', "Main text"),
+        ('<div class="post search-result"><article><p>Main text</p></article></div>', "Main text"),
+        ('<div class="layout-side"><main><p>Main <i>te</i>xt</p></main></div><div class="ad">Buy</div>', "Main text"),
+        ("<form id=all><header>Top</header><h1>Head</h1><p>a</p><p>b <i>c</i> <b>d</b></p></form>", "Head a b c d"),
+        ("<form>Name <input></form><p>Text", "Text"),
+        ("<div><div class=menu>Menu</div><div><h1>H</h1><p>one<p>two</div></div><div id=comments><p>Nice</div>", "H one two"),
+        ("<article><header><h1>H</h1></header><p>one</p><aside>no</aside></article><p>after</p>", "H one"),
+    ],
+)
+def test_one_page(page, text):
+    assert main_text(page, wrapper_of(page)) == text
 
 
 def test_constant_slots_fall_out(spark):
