@@ -170,7 +170,7 @@ def test_chat(spark):
     hard = "<|end|><|turn|>user<|says|>x <|!|> <|!<| |>"
     rows = [(1, 0, "user", hard), (1, 1, "assistant", "ok <|end|>"), (1, 1, "assistant", "ok <|end|>"), (1, None, None, None), (None, 0, "assistant", "é𝄞"), (2, 0, "<|says|>", "")]
     df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumn("parts", chat.text_part(F.col("text")))
-    out = chat.format_messages(df).withColumns({"turns": chat.read_back(F.col("formatted")), "spans": chat.loss_spans(F.col("formatted"))})
+    out = chat.format_messages(df).withColumns({"turns": chat.read_back(F.col("formatted")), "spans": chat.loss_spans(chat.loss_mask(F.col("formatted")))})
     got = {r.conv: r for r in out.collect()}
     assert [tuple(t) for t in got[1].turns] == [("", ""), ("user", hard), ("assistant", "ok <|end|>"), ("assistant", "ok <|end|>")]
     assert [tuple(t) for t in got[2].turns] == [("<|says|>", "")]
@@ -188,6 +188,47 @@ def test_chat_parts(spark):
     assert r.expanded_tokens == 576 + 63 + 1200
 
 
+CONTROL = ["a <", "|end|>", "|turn|>user", "<", "|", "", None, "<|!|", ">", "<|image:0|>", "<|!|>", "é𝄞", "<|says|>", "!|>"]
+
+
+def test_chat_control_strings_split_over_parts(spark):
+    rng = random.Random(2)
+    rows = []
+    for c in range(150):
+        for t in range(rng.randrange(1, 4)):
+            kinds = [rng.choice(["text", "text", "text", "image", "audio", "odd", None]) for _ in range(rng.randrange(6))]
+            rows.append((c, t, rng.choice(["user", "assistant", "<|end|>", None]), [(k, rng.choice(CONTROL), "ref", rng.choice([None, 2.0])) for k in kinds]))
+    rows += [(200, 0, "user", None), (200, 1, "assistant", [None]), (201, None, None, [("text", "a <", None, None), ("text", "|end|><|turn|>x<|says|>y", None, None)])]
+    df = spark.createDataFrame([(*r, "x") for r in rows], f"conv_id int, turn int, role string, parts array<{chat.PART}>, m string")
+    out = chat.format_messages(df)
+    mask = chat.loss_mask(F.col("formatted"))
+    out = out.withColumns({"parts": chat.read_parts(F.col("formatted")), "mask": mask, "spans": chat.loss_spans(mask), "loss": chat.loss_text(mask)})
+    got = {r.conv: r for r in out.collect()}
+    assert len(got) == 152
+    for c, r in got.items():
+        expected, n, loss = [], 0, ""
+        for _, _, role, parts in sorted((x for x in rows if x[0] == c), key=lambda x: (x[1] is not None, x[1] or 0)):
+            own = []
+            for p in parts or []:
+                if p is None:
+                    continue
+                if p[0] in ("image", "audio", "document"):
+                    own.append((p[0], None, n))
+                    n += 1
+                elif p[1] and own and own[-1][0] == "text":
+                    own[-1] = ("text", own[-1][1] + p[1], None)
+                elif p[1]:
+                    own.append(("text", p[1], None))
+            expected.append((role or "", own))
+            if role == "assistant":
+                loss += "".join(f"<|{k}:{m}|>" if t is None else t for k, t, m in own)
+        assert [(t.role, [tuple(p) for p in t.parts]) for t in r.parts] == expected
+        assert [a.number for a in r.attachments] == list(range(n))
+        assert "".join(p.piece for p in r["mask"]) == r.formatted and r.loss == loss
+        assert "".join(r.formatted[s.start : s.stop] for s in r.spans).replace("<|!|>", "<|") == loss
+    assert spark.range(1).select(chat.read_back(F.lit("odd <|turn|>no end")).alias("t")).first().t[0].text == ""
+
+
 def test_nearest(spark):
     import numpy as np
 

@@ -63,7 +63,7 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages = rows.union(own).withColumn("parts", _chat.text_part(F.col("text")))
     out = _chat.format_messages(messages).withColumn("turns", _chat.read_back(F.col("formatted")))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = _chat.loss_text(F.col("turns"))
+    loss = _chat.loss_text(_chat.loss_mask(F.col("formatted")))
     return out.select(
         F.col("conv").alias("conv_id"), F.size("turns").cast("bigint").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"),
         F.char_length(loss).cast("bigint").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), F.char_length("formatted").cast("bigint").alias("formatted_chars"),
