@@ -115,23 +115,25 @@ SELECT conv_id, n_turns, sha256(told) AS turns_sha256, CAST(length(loss) AS BIGI
 
 
 def _license_sql() -> str:
-    """Templates as word lists; an alignment is a diagonal, neighbouring ones are merged as the operator does."""
-    base = [(label, text.split()) for label, text in _license.PHRASES]
-    notices = [(label, text.split()) for label, text in _license.NOTICES]
+    """Templates as lists of grams; an alignment is a diagonal, neighbouring ones are merged as the operator does."""
+    base = [(label, _license.words(text)) for label, text in _license.PHRASES]
     spots = " UNION ALL ".join(f"SELECT r, '{label}' AS label, i FROM d, generate_series(0, len(w) - {len(w)}) AS s(i) WHERE " + " AND ".join(f"w[i + {k + 1}] = '{x}'" for k, x in enumerate(w)) for label, w in base)
-    pairs = ", ".join(f"('{label}', {j}, {len(w) - 1}, '{w[j]}', '{w[j + 1]}')" for label, w in notices for j in range(len(w) - 1))
+    grams = ", ".join(f"('{label}', {k}, {j}, {n}, '{' '.join(g)}')" for kind, label, k, j, n, g in _license.template_rows() if kind == "notice")
     return f"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
 spots AS ({spots}),
 base AS (SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS b FROM spots GROUP BY r),
-t(label, j, pairs, a, z) AS (VALUES {pairs}),
-word AS (SELECT r, i, w[i + 1] AS a, w[i + 2] AS z FROM d, generate_series(0, len(w) - 2) AS s(i)),
-vote AS (SELECT r, label, pairs, i - t.j AS diag, t.j FROM word JOIN t USING (a, z)),
-line AS (SELECT r, label, pairs, diag, list(DISTINCT j) AS js FROM vote GROUP BY ALL),
+t(label, k, j, grams, g) AS (VALUES {grams}),
+word AS (SELECT r, i, k, array_to_string(w[i + 1 : i + k], ' ') AS g FROM d, (VALUES (2), ({_license.GRAM})) AS q(k), generate_series(0, len(w) - k) AS s(i)),
+vote AS (SELECT r, label, grams, i, t.j, i - t.j AS diag FROM word JOIN t USING (k, g)),
+line AS (SELECT DISTINCT r, label, diag FROM vote),
 stepped AS (SELECT *, CASE WHEN diag - lag(diag) OVER (PARTITION BY r, label ORDER BY diag) <= {_license.SLACK} THEN 0 ELSE 1 END AS fresh FROM line),
 span AS (SELECT *, sum(fresh) OVER (PARTITION BY r, label ORDER BY diag) AS part FROM stepped),
-cover AS (SELECT r, label, len(list_distinct(flatten(list(js)))) / pairs AS cover FROM span GROUP BY r, label, pairs, part),
-more AS (SELECT r, max(cover) AS cover, list(DISTINCT label) FILTER (cover >= {_license.LEAST}) AS m FROM cover GROUP BY r)
+place AS (SELECT r, label, grams, part, j, list(DISTINCT i ORDER BY i) AS every FROM vote JOIN span USING (r, label, diag) GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY r, label, part ORDER BY j) AS n FROM place),
+chain AS (SELECT r, label, grams, part, list_reduce(list_prepend([-1, 0], list(every ORDER BY n)),
+  lambda s, x: CASE WHEN len(list_filter(x, lambda y: y > s[1])) > 0 THEN [list_min(list_filter(x, lambda y: y > s[1])), s[2] + 1] ELSE s END)[2] AS found FROM ranked GROUP BY ALL),
+more AS (SELECT r, max(found / grams) AS cover, list(DISTINCT label) FILTER (found / grams >= {_license.LEAST}) AS m FROM chain GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
   coalesce(array_to_string(list_sort(b), ','), '') AS base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b, []), coalesce(m, [])))), ','), '') AS labels,
