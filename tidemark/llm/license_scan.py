@@ -9,8 +9,8 @@ order, each behind all before it; their share of all its grams is the coverage.
 Short phrases are verified strictly: all grams on one diagonal, which is the same as the words standing there one
 after another. Notices and texts of licenses count from a coverage of ``LEAST``. Templates are a parameter.
 
-All on DataFrame functions, in one pass over the texts: grams are made within arrays (a 4-gram's hash is that of two pairs' hashes), exploded behind one
-row that stands for the text itself, and met with the templates' grams, a broadcast as large as the templates. Only texts' own rows and hits are
+All on DataFrame functions, in one pass over the texts: grams are made within arrays (a 4-gram's hash is that of two pairs' hashes). One row stands for
+the text itself; behind it the grams of a text that has any of the templates' are exploded and met with those, a broadcast as large as the templates. Only texts' own rows and hits are
 shuffled, by id and text. Gram hashes have 64 bits. Defined results: null texts are empty; texts without a label have empty label strings, score 0 and null
 positions; repeated rows each get their row; texts are read whole; other columns are left out; an empty table gives no rows.
 """
@@ -31,9 +31,9 @@ TEMPLATES = (("base", 2, PHRASES), ("notice", 2, NOTICES), ("notice", GRAM, BODI
 
 
 def words_array(text: Column) -> Column:
-    low = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    plain = F.trim(F.regexp_replace(low, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
-    return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " ", -1))
+    # the Kelvin sign alone would become an ASCII letter; other letters may change, which makes no difference to ASCII templates
+    low = F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("\u212a"), F.lit("\u0138")))
+    return F.array_remove(F.split(low, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", -1), "")
 
 
 def words(text: str) -> list[str]:
@@ -62,20 +62,29 @@ def _templates(spark: SparkSession, templates) -> DataFrame:
     return rows.select("kind", "label", "k", "j", "grams", h.alias("h")).union(own)
 
 
-def _grams(w: Column) -> Column:
-    """Hashes: one that stands for the text, then the pair at each word, then the 4-gram at each word (null where it does not fit)."""
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value evaluated once, however often it is used there."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _grams(w: Column, known: Column) -> Column:
+    """(n, grams): how many words; hashes: one that stands for the text and, if any is known, the pair at each word and then the 4-gram at
+    each word (null where it does not fit)."""
     after = lambda x, k: F.slice(x, k + 1, F.greatest(F.size(x), F.lit(1)))
     hashed = lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.xxhash64(a, b))
-    pairs = F.zip_with(w, after(w, 1), hashed)
-    return F.concat(F.array(F.xxhash64(F.lit("a text"))), pairs, F.zip_with(pairs, after(pairs, GRAM // 2), hashed))
+    own = F.array(F.xxhash64(F.lit("a text")))
+    shown = lambda grams: F.when(F.arrays_overlap(grams, known), F.concat(own, grams)).otherwise(own)
+    whole = lambda pairs: _once(F.concat(pairs, F.zip_with(pairs, after(pairs, GRAM // 2), hashed)), shown)
+    return _once(w, lambda w: F.struct(F.size(w).alias("n"), _once(F.zip_with(w, after(w, 1), hashed), whole).alias("grams")))
 
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES) -> DataFrame:
     """id, n_words, n_base, first_word, last_word, base_labels, labels, score for each row."""
-    t = F.broadcast(_templates(docs.sparkSession, templates))
-    rows = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(F.coalesce(text_col, F.lit("")))).alias("key"), words_array(F.col(text_col)).alias("w"))
-    rows = rows.select("id", "key", F.size("w").alias("n"), F.posexplode(_grams(F.col("w"))).alias("p", "h"))
-    hits = rows.join(t, "h").withColumn("i", F.when(F.col("k") == 2, F.col("p") - 1).otherwise(F.col("p") - 1 - F.col("n"))).where("kind = 'text' or (k = 2) = (p <= n)")
+    t = _templates(docs.sparkSession, templates)
+    known = F.lit([r.h for r in t.where("kind <> 'text'").select("h").distinct().collect()])  # as many as the templates have grams
+    rows = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(F.coalesce(text_col, F.lit("")))).alias("key"), _grams(words_array(F.col(text_col)), known).alias("w"))
+    rows = rows.select("id", "key", F.col("w.n").alias("n"), F.posexplode("w.grams").alias("p", "h"))
+    hits = rows.join(F.broadcast(t), "h").withColumn("i", F.when(F.col("k") == 2, F.col("p") - 1).otherwise(F.col("p") - 1 - F.col("n"))).where("kind = 'text' or (k = 2) = (p <= n)")
     # rows of one id and text are one here; their votes are the same, so each is counted once
     lines = hits.groupBy("id", "key", "kind", "label", "grams", F.when(F.col("kind") != "text", F.col("i") - F.col("j")).alias("d")).agg(F.collect_set("j").alias("js"), F.count("*").alias("copies"), F.max("n").alias("n"))
     same = Window.partitionBy("id", "key", "label").orderBy("d")
