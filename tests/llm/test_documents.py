@@ -130,8 +130,11 @@ def test_bpe_against_the_library(docs, empty, texts):
     for t in [x or "" for x in texts] + extra:
         ids = theirs.encode(t, add_special_tokens=False).ids
         assert ours.encode(t) == ids
-        assert "".join(ours.decode(ids)) == theirs.decode(ids, skip_special_tokens=False)
-    assert "".join(ours.decode_bytes(ours.encode("naïve 日本 text"))) == "naïve 日本 text "
+        assert ours.decode(ids) == theirs.decode(ids, skip_special_tokens=False)
+    assert ours.decode([-1, *ours.encode("a b"), 10**6]) == "a</w> b</w>"
+    state = bpe.Bytes(ours)
+    pieces = [state.feed([i]) for i in ours.encode("naïve 日本 text")]
+    assert "".join(pieces) + state.end() == "naïve 日本 text "
     n = {r.doc_id: r.n_tokens for r in bpe.code_digests(docs, vocabulary()).collect()}
     assert n[texts.index(None)] == 0 and n[texts.index("a")] == 1
     coded = bpe.encode_texts(docs, vocabulary())
@@ -144,12 +147,39 @@ def test_small_windows_agree(texts):
     rng = random.Random(1)
     for _ in range(5):
         word = "".join(rng.choice("thereinaos") for _ in range(3000))
-        symbols = [*word[:-1], word[-1] + bpe.END]
+        symbols = [*word[:-1], word[-1] + t.end]
         whole = t.transducer._merge(list(symbols))
         t.transducer.window = t.transducer.lookahead + rng.randrange(1, 300)
         assert list(t.transducer.tokens(symbols)) == whole
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_bpe_on_all_characters(name, monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    theirs, ours = Tokenizer.from_file(path), bpe.Tokenizer(path)
+    theirs.encode_special_tokens = False
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    rng = random.Random(7)
+    texts = ["".join(every[i : i + 50]) for i in range(0, 0x34000, 50)] + ["q" + "q 1".join(every[i : i + 30]) for i in range(0, 0x1F000, 30)]
+    texts += ["".join(rng.choice(every[: rng.choice([200, 3000, 0x20000])]) for _ in range(rng.randrange(60))) for _ in range(1500)]
+    monkeypatch.setattr(bpe, "PIECE", 20)  # many pieces
+    for t, theirs_ids in zip(texts, theirs.encode_batch(texts, add_special_tokens=False), strict=True):
+        ids = ours.encode(t)
+        assert ids == theirs_ids.ids, [hex(ord(c)) for c in t]
+        assert ours.decode(ids) == theirs.decode(ids, skip_special_tokens=False)
+
+
+def test_merging_with_a_heap_agrees():
+    t = bpe.Tokenizer(vocabulary()).transducer
+    rng = random.Random(3)
+    for _ in range(60):
+        symbols = [rng.choice("theraonsi!?.") for _ in range(rng.randrange(2, 33))]
+        assert t._merge_many(list(symbols)) == t._merge(list(symbols))
+
+
 def test_language_model(spark, docs, empty, texts):
     got = ctw.language_scores(docs).collect()
     assert len(got) == docs.count()
