@@ -66,15 +66,19 @@ LATER_SET, UNMARKED_SET = ("".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in x) for x
 UNMARKED_IN = re.compile(f"([{UNMARKED_SET}]+)")
 
 
+#: Only texts with one of these can hold a character of the lists above.
+RARE = re.compile("[\u03a3\u0558-\U0010ffff]")
+
+
 def lower(text: str) -> str:
     """Each letter on its own: a sigma at a word's end is like any other."""
-    return text.lower() if text.isascii() else text.translate(SMALL).lower()
+    return text.translate(SMALL).lower() if RARE.search(text) else text.lower()
 
 
 def normal_form(kind: str, text: str) -> str:
     if text.isascii():
         return text
-    if UNMARKED_IN.search(text):
+    if RARE.search(text) and UNMARKED_IN.search(text):
         return "".join(x if k % 2 else unicodedata.normalize(kind, x) for k, x in enumerate(UNMARKED_IN.split(text)))
     return text if unicodedata.is_normalized(kind, text) else unicodedata.normalize(kind, text)
 
@@ -118,16 +122,16 @@ class Transducer:
     def _merge(self, symbols: list[str]) -> list[str]:
         if len(symbols) > 32:
             return self._merge_many(symbols)
-        rank, far = self.rank, len(self.rank)
-        while len(symbols) > 1:
-            best, at = far, -1
-            for i in range(len(symbols) - 1):
-                r = rank.get((symbols[i], symbols[i + 1]), far)
-                if r < best:
-                    best, at = r, i
-            if at < 0:
-                break
-            symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+        get, far = self.rank.get, len(self.rank)
+        ranks = [get(pair, far) for pair in zip(symbols, symbols[1:])]  # noqa: B905
+        while ranks and (r := min(ranks)) < far:
+            i = ranks.index(r)
+            del ranks[i]
+            symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+            if i:
+                ranks[i - 1] = get((symbols[i - 1], symbols[i]), far)
+            if i < len(ranks):
+                ranks[i] = get((symbols[i], symbols[i + 1]), far)
         return symbols
 
     def _merge_many(self, symbols: list[str]) -> list[str]:
@@ -177,19 +181,21 @@ class Transducer:
             held = held[used:]
 
 
-def _normalizer(spec: dict | None) -> list[Callable[[str], str]]:
+def _normalizer(spec: dict | None, no_spaces: bool) -> list[Callable[[str], str]]:
     import regex
 
     kind = spec and spec["type"]
     if kind is None:
         return []
     if kind == "Sequence":
-        return [f for part in spec["normalizers"] for f in _normalizer(part)]
+        return [f for part in spec["normalizers"] for f in _normalizer(part, no_spaces)]
     if kind in ("NFC", "NFD", "NFKC", "NFKD"):
         return [lambda text: normal_form(kind, text)]
     if kind == "Lowercase":
         return [lower]
     if kind == "Replace":
+        if no_spaces and spec["pattern"] == {"Regex": r"\s+"} and spec["content"] == " ":
+            return []
         pattern = regex.compile(spec["pattern"]["Regex"] if "Regex" in spec["pattern"] else regex.escape(spec["pattern"]["String"]))
         return [lambda text: pattern.sub(lambda _: spec["content"], text)]
     raise ValueError(f"normalizer {kind} is not known")
@@ -229,9 +235,11 @@ class Tokenizer:
         if (spec.get("decoder") or {"type": None})["type"] not in (None, "ByteLevel"):
             raise ValueError("the file's decoder is not known")
         self.by_bytes = spec.get("decoder") is not None
-        self.normalizers = _normalizer(spec["normalizer"])
         pattern = _word_pattern(spec["pre_tokenizer"])
         self.cut = regex.compile(pattern)
+        # where no word holds white space or looks around, what white space is makes no difference
+        plain = "(?" not in pattern and not self.cut.search("".join(regex.findall(r"\s", "".join(map(chr, range(0x3001))))))
+        self.normalizers = _normalizer(spec["normalizer"], plain)
         for c in "LN":
             pattern = pattern.replace(rf"\p{{{c}}}", rf"[\p{{{c}}}--[{LATER_SET}]]")
         self.cut_later = regex.compile(pattern, regex.V1)
@@ -243,8 +251,10 @@ class Tokenizer:
     def _word(self, word: str) -> Iterator[int]:
         """The ids of a word, one after the other."""
         raw, vocab = word.encode(), self.transducer.vocab
-        symbols = chain((self.characters[b] for b in raw[:-1]), [self.characters[raw[-1]] + self.end])
-        return (vocab[t] for t in self.transducer.tokens(symbols))
+        last = self.characters[raw[-1]] + self.end
+        if len(raw) <= self.transducer.window:  # one window
+            return map(vocab.__getitem__, self.transducer._merge([*map(self.characters.__getitem__, raw[:-1]), last]))
+        return (vocab[t] for t in self.transducer.tokens(chain((self.characters[b] for b in raw[:-1]), [last])))
 
     def _learned(self, word: str) -> list[int]:
         found = self.older.get(word)
@@ -274,23 +284,27 @@ class Tokenizer:
                     continue
                 for normal in self.normalizers:
                     part = normal(part)
-                cut = self.cut if part.isascii() or not self.has_later(part) else self.cut_later
-                words = cut.findall(part)
-                found = list(map(self.known.get, words))
-                if None not in found:
-                    yield list(chain.from_iterable(found))
-                    continue
-                made: list[int] = []
-                for word, known in zip(words, found, strict=True):
-                    if known is None and len(word) > 64:
-                        yield made
-                        made = []
-                        rest = self._word(word)
-                        while some := list(islice(rest, STEP)):
-                            yield some
-                    else:
-                        made += known or self.known.get(word) or self._learned(word)
-                yield made
+                words = (self.cut if not RARE.search(part) or not self.has_later(part) else self.cut_later).findall(part)
+                get = self.known.get
+                found = [get(w) for w in words]
+                if None in found:
+                    new = dict.fromkeys([w for w, f in zip(words, found) if f is None])  # noqa: B905
+                    if len(max(new, key=len)) > 64:
+                        yield from self._with_long_words(words)
+                        continue
+                    for w in new:
+                        new[w] = self._learned(w)
+                    found = [f or new[w] for w, f in zip(words, found)]  # noqa: B905
+                yield list(chain.from_iterable(found))
+
+    def _with_long_words(self, words: list[str]) -> Iterator[list[int]]:
+        for word in words:
+            if len(word) <= 64:
+                yield self.known.get(word) or self._learned(word)
+            else:
+                rest = self._word(word)
+                while some := list(islice(rest, STEP)):
+                    yield some
 
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(self.ids(text)))
@@ -310,10 +324,10 @@ class Decoder:
         self.tokenizer, self.text_of = tokenizer, tokenizer.text_of
 
     def tokens(self, ids: list[int]) -> list[str]:
-        n = len(self.text_of)
-        if ids and (min(ids) < 0 or max(ids) >= n):
-            ids = [i for i in ids if 0 <= i < n]
-        found = list(map(self.text_of.__getitem__, ids))
+        text_of = self.text_of
+        if ids and (min(ids) < 0 or max(ids) >= len(text_of)):
+            ids = [i for i in ids if 0 <= i < len(text_of)]
+        found = [text_of[i] for i in ids]
         return [t for t in found if t is not None] if None in found else found
 
     def feed(self, ids: list[int]) -> str:
@@ -386,13 +400,14 @@ def code_digests(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
 
     def run(batches):
         t = tokenizer(path)
+        names = t.name_of
         for batch in batches:
             rows = []
             for x in batch.column(1):
                 count, ids, text, decoder = 0, hashlib.sha256(), hashlib.sha256(), t.decoder()
                 for some in t.ids(x.as_py() or ""):
                     if some:
-                        ids.update((" " * bool(count) + " ".join(map(t.name_of.__getitem__, some))).encode())
+                        ids.update((" " * bool(count) + " ".join([names[i] for i in some])).encode())
                         text.update(decoder.feed(some).encode())
                         count += len(some)
                 text.update(decoder.end().encode())
