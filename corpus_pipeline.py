@@ -1,13 +1,19 @@
-"""A corpus pipeline: quality, near copies, benchmark passages, tokens. Each stage works on all its predecessor kept."""
+"""A corpus pipeline: quality, near copies, benchmark passages, tokens. Each stage works on all its predecessor kept.
+
+Defined results: a null text is the empty text, which the classifier scores like any other; rows with null or repeated ids are rows like others, and
+of equal texts one row stays, that of the smallest id (null ids last); labels of null or unknown ids and null labels are left out, without labels every score is 0.5 and
+nothing stays; without benchmark items nothing is contaminated; other columns are kept up to the last stage, also if they are named like a
+stage's own; an empty table gives no rows. Texts are read whole.
+"""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.session import remove, shared_folder
 from tidemark.llm import bpe, decontaminate, neardup, quality
 from tidemark.llm.queries import vocabulary
 
@@ -40,12 +46,15 @@ STAGES = [("quality", good_quality), ("near copies", one_of_each), ("decontamina
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to ``documents``; each one's rows are written to the shared folder and read again."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    docs, where = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{base}/pipeline-{uuid.uuid4().hex}"
+    """Applies the stages to ``documents``; each one's rows are written to the shared folder and read again. A stage's table is deleted
+    once the next one's is there."""
+    where = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{where}/{k}")
         docs = spark.read.parquet(f"{where}/{k}")
+        if k:
+            remove(spark, f"{where}/{k - 1}")
     return docs
 
 

@@ -11,38 +11,45 @@ CARD = "id bigint, card1 double, card2 double, card3 double, card5 double, addr1
 
 
 def test_normalize(spark):
-    df = spark.createDataFrame([("SM-G935F Build/NRD90M",), (None,), ("Unknown",), ("--",)], "x string")
-    assert [r[0] for r in df.select(entities.normalize_device_info(F.col("x"))).collect()] == ["sm_g935f_build_nrd90m", "unknown", "unknown", "unknown"]
+    given = {"Pixel 7/TQ3A  (beta)": "pixel_7_tq3a_beta", "__x__": "x", "UNKNOWN": "unknown", "  ": "unknown", "ÄB-9": "b_9", None: "unknown"}
+    df = spark.createDataFrame([(x,) for x in given], "x string")
+    assert [r[0] for r in df.select(entities.normalize_device_info(F.col("x"))).collect()] == list(given.values())
 
 
 def test_fingerprint(spark):
-    df = spark.createDataFrame([("iOS Device", "safari"), ("ios device", "Safari"), ("Windows", None), (None, None), ("Unknown", None)], "DeviceInfo string, id_31 string")
+    rows = [("Moto G(8)", "Firefox 99"), ("MOTO g 8", "firefox-99"), (None, "Edge"), ("unknown", "!"), ("", None), ("Nokia", "")]
+    df = spark.createDataFrame(rows, "DeviceInfo string, id_31 string")
     got = [r[0] for r in df.select(entities.device_fingerprint()).collect()]
-    assert got[0] == got[1] and got[2] == "device:windows|browser:unknown" and got[3] is None and got[4] is None
+    assert got == ["device:moto_g_8|browser:firefox_99"] * 2 + ["device:unknown|browser:edge", None, None, "device:nokia|browser:unknown"]
 
 
 def test_card_ids(spark):
-    rows = [(0, 1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 0.0, 0), (1, 1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 1.0, 86400), (2, 1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 0.0, 864000), (3, None, None, 3.0, None, None, 6.0, None, 0), (4, 1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 0.0, 216000), (5, 1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 0.0, 302400)]
+    day = 86400
+    rows = [
+        (0, 310.0, 7.5, 185.0, 226.0, 44.0, 87.0, 3.0, 5 * day), (1, 310.0, 7.5, 185.0, 226.0, 44.0, 87.0, 9.0, 11 * day), (2, 310.0, 7.5, 185.0, 226.0, 44.0, 87.0, 3.0, 6 * day),
+        (3, None, None, None, 226.0, None, None, None, 7), (4, None, None, None, 226.0, None, None, 1.0, None), (5, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 7 * day // 2), (6, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 0.0, 9 * day // 2),
+    ]
     got = [r[0] for r in spark.createDataFrame(rows, CARD).select(entities.card_entity_id()).collect()]
-    assert got[0] == got[1] == "card:1_2_3_4_5_6|origin:0" and got[2] != got[0]
-    assert got[3] == "card:-1_-1_3_-1_-1_6|origin:-999999"
-    assert got[4].endswith("origin:2") and got[5].endswith("origin:4")
+    assert got[0] == got[1] == "card:310_7.5_185_226_44_87|origin:2" and got[2] == "card:310_7.5_185_226_44_87|origin:3"
+    assert got[3] == got[4] == "card:-1_-1_-1_226_-1_-1|origin:-999999"
+    assert got[5].endswith("|origin:2") and got[6].endswith("|origin:4")  # halves go to the even day
 
 
 def test_cap(spark):
-    df = spark.createDataFrame([(x,) for x in ["common"] * 5 + ["rare"] * 3 + [None]], "v string")
-    got = sorted(str(r.v) for r in entities.cap_high_frequency_entities(df, "v", 3).collect())
-    assert got == ["None"] * 6 + ["rare"] * 3
+    df = spark.createDataFrame([(x,) for x in ["often"] * 7 + ["limit"] * 4 + ["once", None, None]], "v string")
+    got = sorted(str(r.v) for r in entities.cap_high_frequency_entities(df, "v", 4).collect())
+    assert got == ["None"] * 9 + ["limit"] * 4 + ["once"]
 
 
 def test_stats(spark):
-    df = spark.createDataFrame([(1, "d1"), (2, "d1"), (3, "d1"), (4, "d2"), (5, None), (1, "d1")], "txn bigint, device string")
+    rows = [(10, "p"), (11, "q"), (12, "p"), (13, None), (14, "p"), (15, "p"), (16, "q"), (10, "p"), (17, None)]
+    df = spark.createDataFrame(rows, "txn bigint, device string")
     got = {r.entity_value: r for r in graph.entity_features(df, "txn", ["device"]).collect()}
-    assert (got["d1"].degree, got["d1"].component_size) == (3, 4) and (got["d2"].degree, got["d2"].component_size) == (1, 2)
+    assert (got["p"].degree, got["p"].component_size) == (4, 5) and (got["q"].degree, got["q"].component_size) == (2, 3)
     assert all(r.community_id == -1 and r.clustering_coeff == 0.0 for r in got.values())
-    back = {r.txn: r.device_degree for r in graph.transaction_entity_features(df, ["device"], graph.degrees(graph.bipartite_edges(df, "txn", ["device"]))).collect()}
-    assert back == {1: 3, 2: 3, 3: 3, 4: 1, 5: None}
-    assert [r.txn_id for r in graph.isolated_transactions(df, "txn", ["device"]).collect()] == [5]
+    back = [(r.txn, r.device_degree) for r in graph.transaction_entity_features(df, ["device"], graph.degrees(graph.bipartite_edges(df, "txn", ["device"]))).collect()]
+    assert sorted(back) == sorted((t, {"p": 4, "q": 2, None: None}[d]) for t, d in rows)
+    assert sorted(r.txn_id for r in graph.isolated_transactions(df, "txn", ["device"]).collect()) == [13, 17]
 
 
 def test_triangle_and_namespaces(spark):
@@ -98,3 +105,63 @@ def test_louvain_contract(spark):
     got = {(r.entity_col, r.entity_value): r.community_id for r in graph.communities(edges, graph.projection(edges)).collect()}
     assert len(set(got.values())) == 4 and all(got["a", f"a{i}"] == got["b", f"b{i}"] for i in range(3))
     assert min(got.values()) == 0 and max(got.values()) == 3
+
+
+def _modularity(pairs, of):
+    m = sum(w for *_, w in pairs)
+    inside, degree = 0, {}
+    for a, b, w in pairs:
+        inside += w * (of[a] == of[b])
+        for x in (a, b):
+            degree[of[x]] = degree.get(of[x], 0) + w
+    return inside / m - sum(k * k for k in degree.values()) / (4 * m * m)
+
+
+def test_communities_in_one_task_and_over_all(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = []  # four groups of entities that share transactions, and few between them
+    for i in range(240):
+        g = rng.randrange(4)
+        other = g if rng.random() < 0.95 else rng.randrange(4)
+        rows.append((i, f"a{g}{rng.randrange(4)}", f"b{other}{rng.randrange(4)}"))
+    rows.append((900, "far", None))
+    edges = graph.bipartite_edges(spark.createDataFrame(rows, "txn bigint, a string, b string"), "txn", ["a", "b"]).cache()
+    projected = graph.projection(edges).cache()
+    pairs = [((r.src.entity_col, r.src.entity_value), (r.dst.entity_col, r.dst.entity_value), r.weight) for r in projected.collect()]
+    found = []
+    monkeypatch.setattr(graph, "LEVELS", 3)
+    for most in (10**6, 0):
+        monkeypatch.setattr(graph, "TASK_EDGES", most)
+        got = {(r.entity_col, r.entity_value): r.community_id for r in graph.communities(edges, projected).collect()}
+        assert len(got) == 33 and sorted(set(got.values())) == list(range(max(got.values()) + 1))
+        assert list(got.values()).count(got["a", "far"]) == 1
+        found.append(_modularity(pairs, got))
+    own = {x: x[1][1] for a, b, _ in pairs for x in (a, b)}
+    assert min(found) >= 0.95 * _modularity(pairs, own) > 0.5  # the groups that were put in
+
+
+def test_components_of_all_orders(spark):
+    from tidemark.plans.queries import component_size
+    from tidemark.plans.surrogate import order_entities
+
+    up = {}
+
+    def find(x):
+        up.setdefault(x, x)
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    sf = "/root/testdata/sf0.001"
+    rows = order_entities(spark, sf).select("txn", "customer", "cell").collect()
+    assert len(rows) == spark.read.parquet(f"{sf}/orders.parquet").count()
+    for r in rows:
+        for e in (("customer", r.customer), ("cell", r.cell)):
+            if e[1] is not None:
+                up[find(("t", r.txn))] = find(e)
+    sizes = {}
+    for x in list(up):
+        sizes[find(x)] = sizes.get(find(x), 0) + 1
+    expected = {x: sizes[find(x)] for x in list(up) if x[0] != "t"}
+    assert {(r.entity_col, r.entity_value): r.component_size for r in component_size(spark, sf).collect()} == expected

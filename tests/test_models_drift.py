@@ -1,6 +1,8 @@
+import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import drift, metrics, model, scoring
 from tidemark.sources import transactions as sources
@@ -13,18 +15,19 @@ def frame(spark, ys, ss):
 
 
 def test_weight(spark):
-    assert metrics.scale_pos_weight(frame(spark, [1, 0, 0, 0], [0.0] * 4), "y") == 3.0
+    assert metrics.scale_pos_weight(frame(spark, [0, 1, 0, 0, 1, 0, 0], [0.0] * 7), "y") == 2.5
     with pytest.raises(ValueError):
-        metrics.scale_pos_weight(frame(spark, [0, 0], [0.0] * 2), "y")
+        metrics.scale_pos_weight(frame(spark, [0] * 5, [0.0] * 5), "y")
 
 
 def test_ranking(spark):
-    df = frame(spark, [0, 0, 1, 1], [0.1, 0.2, 0.8, 0.9])
-    assert metrics.pr_auc(df, "y", "s") == 1.0
-    assert metrics.pr_auc(frame(spark, [1, 0], [0.5, 0.5]), "y", "s") == 0.5
-    assert metrics.pr_auc(frame(spark, [0, 0], [0.5, 0.4]), "y", "s") == 0.0
-    assert tuple(metrics.precision_recall_at_threshold(frame(spark, [0, 1, 1, 0], [0.9, 0.8, 0.2, 0.1]), "y", "s", 0.5).first()) == (0.5, 0.5)
-    assert tuple(metrics.precision_recall_at_threshold(frame(spark, [1], [0.5]), "y", "s", 0.5).first()) == (1.0, 1.0)
+    # by hand: 1/1 at the first of three positives, 2/3 at the second, 3/5 at the third
+    assert metrics.pr_auc(frame(spark, [1, 0, 1, 0, 1], [5.0, 4.0, 3.0, 2.0, 1.0]), "y", "s") == pytest.approx((1 + 2 / 3 + 3 / 5) / 3)
+    assert metrics.pr_auc(frame(spark, [1, 0, 0, 1], [0.3] * 4), "y", "s") == 0.5
+    assert metrics.pr_auc(frame(spark, [0] * 3, [0.2, 0.7, 0.7]), "y", "s") == 0.0
+    df = frame(spark, [1, 1, 0, 0, 1, None], [0.75, 0.25, 0.75, 0.5, None, 0.9])
+    assert tuple(metrics.precision_recall_at_threshold(df, "y", "s", 0.75).first()) == pytest.approx((1 / 3, 1 / 3))
+    assert tuple(metrics.precision_recall_at_threshold(df, "y", "s", 2.0).first()) == (0.0, 0.0)
 
 
 def test_average_precision_random(spark):
@@ -39,10 +42,13 @@ def test_average_precision_random(spark):
 
 
 def test_costs(spark):
-    df = frame(spark, [0, 0, 1, 1], [0.1, 0.4, 0.6, 0.9])
-    assert metrics.select_threshold_by_cost(df, "y", "s", 1, 1, [0.3, 0.5, 0.7]) == (0.5, 0.0)
-    assert metrics.select_threshold_by_cost(df, "y", "s", 1, 1, [0.45, 0.5])[0] == 0.45
-    assert metrics.select_threshold_by_cost(df, "y", "s", 1, 1, []) == (None, float("inf"))
+    df = frame(spark, [1, 0, 1, 0, 0, 1], [0.15, 0.35, 0.55, 0.55, 0.75, 0.95])
+    by_hand = {0.1: 3 * 2 + 0 * 9, 0.5: 2 * 2 + 1 * 9, 0.9: 0 * 2 + 2 * 9}
+    for t, cost in by_hand.items():
+        assert metrics.select_threshold_by_cost(df, "y", "s", 2, 9, [t]) == (t, cost)
+    assert metrics.select_threshold_by_cost(df, "y", "s", 2, 9, list(by_hand)) == (0.1, 6.0)
+    assert metrics.select_threshold_by_cost(df, "y", "s", 2, 9, [0.16, 0.2])[0] == 0.16
+    assert metrics.select_threshold_by_cost(df, "y", "s", 2, 9, []) == (None, float("inf"))
 
 
 def test_train_and_score(spark):
@@ -55,15 +61,39 @@ def test_train_and_score(spark):
     assert len(got) == 40 and all(0 <= p <= 1 for p in got)
 
 
+RECORDS = [{"TransactionID": 7, "shop": "s1", "card": "c1", "a": 0.25}, {"TransactionID": 8, "shop": "s9", "card": "c1", "a": 0.5}, {"TransactionID": 9, "shop": None, "card": "c2", "a": None}]
+ENTITIES = [("shop", "s1", 4, 0.5), ("card", "c1", 2, None), ("card", "c2", 9, 0.125), ("shop", "c1", 77, 0.0)]
+NAMES = ["a", "shop_degree", "card_clustering_coeff", "is_new_entity", "absent"]
+
+
+def entity_lookup(prefix):
+    return lambda key: next(({"degree": d, "clustering_coeff": c} for p, k, d, c in ENTITIES if (p, k) == (prefix, key)), None)
+
+
 def test_score_transaction(spark):
     seen = []
-    predict = lambda v: seen.append(v) or 0.8
-    known = {"d1": {"degree": 5}}
-    out = scoring.score_transaction(spark, {"TransactionID": 1, "device": "d1"}, predict, ["device_degree", "is_new_entity", "gone"], known.get, {"device": lambda t: t["device"]})
-    assert out == scoring.ScoredTransaction(1, 0.8, False) and seen[-1] == [5, 0, None]
-    two = {"device": lambda t: t["device"], "card": lambda t: "none"}
-    assert scoring.score_transaction(spark, {"TransactionID": 1, "device": "d1"}, predict, ["card_degree", "is_new_entity"], known.get, two).is_new_entity
-    assert seen[-1] == [0, 1]
+
+    def predict(values):
+        seen.append(values)
+        return 0.125
+
+    found = [scoring.score_transaction(spark, r, predict, NAMES, lambda key: entity_lookup(key[0])(key[1]), {p: (lambda t, p=p: (p, t[p])) for p in ("shop", "card")}) for r in RECORDS]
+    assert found == [scoring.ScoredTransaction(7, 0.125, False), scoring.ScoredTransaction(8, 0.125, True), scoring.ScoredTransaction(9, 0.125, True)]
+    assert seen == [[0.25, 4, None, 0, None], [0.5, 0, None, 1, None], [None, 0, 0.125, 1, None]]
+
+
+def test_batch_and_single_scores_agree(spark):
+    rng = random.Random(2)
+    rows = [(i, rng.random(), rng.randrange(9), rng.random(), rng.randrange(2), int(rng.random() < 0.4)) for i in range(80)]
+    df = spark.createDataFrame(rows, "TransactionID bigint, a double, shop_degree int, card_clustering_coeff double, is_new_entity int, isFraud int").withColumn("absent", F.lit(None).cast("double"))
+    fitted = model.train_model(df, NAMES, params={"maxIter": 3, "maxDepth": 2})
+    batch = spark.createDataFrame([tuple(r.values()) for r in RECORDS], "TransactionID bigint, shop string, card string, a double")
+    table = spark.createDataFrame([(*e, "2026-01-01") for e in ENTITIES], "entity_col string, entity_value string, degree int, clustering_coeff double, last_updated string")
+    many = {r.transaction_id: r for r in scoring.score_batch(batch, fitted, table, {"shop": F.col("shop"), "card": F.col("card")}).collect()}
+    assert "card_last_updated" in scoring.serving_features(batch, table, {"card": F.col("card")}).columns
+    for r in RECORDS:
+        one = scoring.score_transaction(spark, r, fitted, NAMES, lambda key: entity_lookup(key[0])(key[1]), {p: (lambda t, p=p: (p, t[p])) for p in ("shop", "card")})
+        assert (one.fraud_probability, one.is_new_entity) == (many[r["TransactionID"]].fraud_probability, many[r["TransactionID"]].is_new_entity)
 
 
 def test_smote(spark):
@@ -72,34 +102,103 @@ def test_smote(spark):
     assert sum(r.label for r in got) == 34 and len(got) == 68 and all(r.a <= 5 for r in got if r.label == 1)
 
 
+def test_smote_to_its_end(spark):
+    """Many positives in several blocks: each new row lies between two near positives; a model of all rows scores."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    pos = rng.normal(size=(4100, 2))
+    rows = [(i, float(a), float(b), 1) for i, (a, b) in enumerate(pos)] + [(10_000 + i, float(i % 90), -40.0, 0) for i in range(4500)]
+    df = spark.createDataFrame(rows, "id bigint, a double, b double, y int")
+    got = model.smote(df, ["a", "b"], "y", "id")
+    made = np.array([(r.a, r.b) for r in got.where("label = 1").collect()])
+    assert len(made) == 4500 and got.count() == 9000
+    old = {tuple(p) for p in pos}
+    new = np.array([p for p in map(tuple, made) if p not in old])
+    d = np.sort(((pos[:, None] - pos[None, :200]) ** 2).sum(2), axis=0)[5] ** 0.5  # how far five neighbours reach
+    assert len(new) == 400 and np.median(((new[:, None] - pos[None]) ** 2).sum(2).min(1) ** 0.5) <= np.median(d)
+    fitted = model.train_model(got, ["a", "b"], "label", {"maxIter": 2, "maxDepth": 2})
+    assert fitted.scale_pos_weight == 1.0
+    assert fitted.predict(df).where((F.col("fraud_probability") > 0.5) != (F.col("y") == 1)).count() < 50
+
+
 def ones(spark, values):
     return spark.createDataFrame([(float(v),) for v in values], "x double")
 
 
 def test_psi(spark):
-    same = [i % 10 for i in range(1000)]
-    assert abs(drift.population_stability_index(ones(spark, same), ones(spark, same), "x")) < 1e-6
-    assert drift.population_stability_index(ones(spark, same), ones(spark, [9] * 1000), "x") > 0.2
-    assert [r.ref for r in drift.bin_shares(ones(spark, [0] * 8 + [1, 2]), ones(spark, [0]), "x").orderBy("bin").collect()] == [0, 8, 1, 1]
-    assert drift.is_drifted(0.25) and not drift.is_drifted(0.1)
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    ref, other = rng.gamma(2.0, size=700).round(2), rng.gamma(3.0, size=300).round(2)
+    inner = np.unique(np.quantile(ref, [i / 10 for i in range(1, 10)]))
+    p, q = (np.maximum(np.bincount(np.searchsorted(inner, x, side="right"), minlength=len(inner) + 1) / len(x), 1e-6) for x in (ref, other))
+    assert drift.population_stability_index(ones(spark, ref), ones(spark, other), "x") == pytest.approx(float(((q - p) * np.log(q / p)).sum()))
+    assert drift.population_stability_index(ones(spark, ref), ones(spark, ref), "x") == pytest.approx(0)
+    assert drift.population_stability_index(ones(spark, [3] * 6), ones(spark, [1] * 4), "x", bins=4) == pytest.approx((1 - 1e-6) * math.log(1e6) * 2)
+    assert [r.ref for r in drift.bin_shares(ones(spark, [2] * 12 + [5, 6, 7]), ones(spark, [2]), "x", bins=5).orderBy("bin").collect()] == [0, 12, 3]
+    assert drift.is_drifted(0.21) and not drift.is_drifted(0.2)
+    for a, b in (([], [1]), ([1], [])):
+        with pytest.raises(ValueError):
+            drift.population_stability_index(ones(spark, a), ones(spark, b), "x")
 
 
 def test_ks(spark):
-    d, p = drift.ks_drift_test(ones(spark, [i % 10 for i in range(1000)]), ones(spark, [9] * 1000), "x")
-    assert d > 0.5 and p < 0.01
-    # two against two, apart: 2 of the 6 orders leave the band
-    assert drift.ks_p_value(1.0, 2, 2) == pytest.approx(1 / 3)
-    assert drift.ks_p_value(0.5, 2, 2) == pytest.approx(1.0)
+    a, b = [0.5, 1, 2, 2, 9], [2, 3, 3, 8, 9, 9, 11]
+    d, p = drift.ks_drift_test(ones(spark, a), ones(spark, b), "x")
+    assert d == pytest.approx(max(abs(sum(x <= t for x in a) / 5 - sum(x <= t for x in b) / 7) for t in a + b)) and 0 < p < 1
+
+
+@pytest.mark.parametrize(("n1", "n2"), [(2, 2), (3, 5), (6, 4), (7, 7), (1, 9)])
+def test_ks_against_all_orders(n1, n2):
+    """Every order of the two samples, counted."""
+    from itertools import combinations
+
+    reach = []
+    for places in combinations(range(n1 + n2), n1):
+        i, most = 0, 0.0
+        for k in range(n1 + n2):
+            i += k in places
+            most = max(most, abs(i / n1 - (k + 1 - i) / n2))
+        reach.append(most)
+    for d in sorted(set(reach)):
+        assert drift.ks_p_value(d, n1, n2) == pytest.approx(sum(r >= d - 1e-12 for r in reach) / len(reach))
+
+
+def test_ks_of_large_samples():
+    import time
+
+    began = time.perf_counter()
+    exact = drift.ks_p_value(0.02, 10_000, 10_000)
+    assert time.perf_counter() - began < 3
+    assert exact == pytest.approx(drift.ks_p_value(0.02, 10_001, 10_001), abs=2e-3)
+    assert drift.ks_p_value(0.3, 9000, 10_000) < 1e-9
 
 
 def test_perturbations(spark):
-    df = spark.createDataFrame([(i, "A" if i < 90 else "B", float(i)) for i in range(100)], "id bigint, c string, v double")
-    assert [r.v for r in drift.perturb_amount(df, "v", 2.0).orderBy("id").collect()][:3] == [0.0, 2.0, 4.0]
-    assert drift.perturb_category_mix(df, "c", "B", 0.5, "id").where("c = 'B'").count() == 50
-    assert drift.perturb_category_mix(df, "c", "A", 0.5, "id").where("c = 'A'").count() == 90
-    assert drift.perturb_category_mix(df.limit(11), "c", "B", 0.55, "id").where("c = 'B'").count() == 6
-    a, b = (drift.degrade_feature_signal(df, "v", 1.0, "id").orderBy("id").collect() for _ in range(2))
+    df = spark.createDataFrame([(i, "xyz"[i % 3] if i % 7 else None, i / 4) for i in range(210)], "id bigint, c string, v double")
+    assert [r.v for r in drift.perturb_amount(df, "v", 1.5).orderBy("id").collect()] == [i * 0.375 for i in range(210)]
+    for share, expected in ((0.0, 60), (0.28, 60), (0.29, 60), (0.5, 105), (0.777, 163), (1.0, 210), (3.0, 210)):
+        out = drift.perturb_category_mix(df, "c", "x", share, "id")
+        assert out.where("c = 'x'").count() == expected and out.columns == df.columns
+        assert out.join(df.withColumnRenamed("c", "old"), "id").where("old = 'x' and c <> 'x'").count() == 0
+    a, b = (drift.degrade_feature_signal(df, "v", 0.5, "id").orderBy("id").collect() for _ in range(2))
     assert a == b and a != df.orderBy("id").collect()
+    mean = sum(r.v - r.id / 4 for r in a) / 210
+    assert abs(mean) < 0.15 and 0.35 < (sum((r.v - r.id / 4 - mean) ** 2 for r in a) / 210) ** 0.5 < 0.65
+
+
+def test_drift_by_batch(spark):
+    import numpy as np
+
+    from tidemark.streaming import online
+
+    rng = np.random.default_rng(2)
+    reference, seen = ones(spark, rng.normal(size=400)), []
+    each = online.drift_batches(reference, "x", lambda number, psi: seen.append((number, psi)))
+    for number, part in enumerate((rng.normal(size=200), [], rng.normal(3.0, size=200))):
+        each(ones(spark, part), number)
+    assert [n for n, _ in seen] == [0, 2] and seen[0][1] < 0.2 < seen[1][1]
 
 
 def test_schema_and_csv(spark, tmp_path):

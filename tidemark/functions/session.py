@@ -5,20 +5,39 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named by ``spark.checkpoint.dir``; only where it is unset, as in
-    local tests, take a temporary one."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``. Only where it is unset and all runs on this machine, as in local tests, a temporary one."""
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return
     named = context.getConf().get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
+    if named:
+        return named
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if context.applicationId not in _local:
+        _local[context.applicationId] = tempfile.mkdtemp(prefix="tidemark-")
+    return _local[context.applicationId]
+
+
+_local: dict[str, str] = {}
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared folder, where it is on Spark's file systems."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(shared_folder(spark))
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -29,6 +48,14 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` as a table in the shared folder, read again, and its place. A checkpoint also keeps how the rows are dealt out, under
+    each name that their keys ever had; in loops of many joins these names multiply, so there tables are used."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop shuffle and checkpoint files of data that nothing refers to any more. In long loops they would
     stay until the driver happens to collect its garbage."""

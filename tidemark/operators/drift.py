@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.metrics import running
+from tidemark.operators.quantiles import quantiles, smallest_digest
 
 FLOOR = 1e-6
 
@@ -20,10 +21,10 @@ def _values(df: DataFrame, c: str) -> DataFrame:
 
 def interior_edges(reference: DataFrame, col: str, bins: int = 10) -> list[float]:
     """The distinct inner quantiles of the reference."""
-    got = _values(reference, col).agg(F.percentile("x", F.array(*[F.lit(i / bins) for i in range(1, bins)])) if bins > 1 else F.array()).first()[0]
-    if got is None:
+    got = quantiles(reference, col, [i / bins for i in range(1, bins)] or [0.0])
+    if got[0] is None:
         raise ValueError("the reference sample is empty")
-    return sorted(set(got))
+    return sorted(set(got)) if bins > 1 else []
 
 
 def bin_shares(reference: DataFrame, comparison: DataFrame, col: str, bins: int = 10) -> DataFrame:
@@ -78,23 +79,27 @@ def ks_p_value(d: float, n1: int, n2: int) -> float:
 
 
 def _exact(d: float, n1: int, n2: int) -> float:
-    """Probability that a random path from (0, 0) to (n1, n2) leaves the band of width d somewhere."""
-    bound = d - 1e-9 / max(1, n1) / max(1, n2)
-    j = np.arange(n2 + 1)
-    row = np.zeros(n2 + 1)
-    for i in range(n1 + 1):
-        inside = np.abs(i / n1 - j / n2) < bound
-        # chances of reaching (i, j) without leaving: each step right or up in proportion to what is left
-        if i == 0:
-            row = inside.cumprod().astype(float)
-            continue
-        new = np.zeros(n2 + 1)
-        run = 0.0
-        for k in np.flatnonzero(inside):
-            run = (run if k and inside[k - 1] else 0.0) * (k / (i + k)) + row[k] * (i / (i + k))
-            new[k] = run
-        row = new
-    return float(min(1.0, max(0.0, 1 - row[n2])))
+    """Probability that a random path from (0, 0) to (n1, n2) reaches a distance of d from the diagonal somewhere. A walk that goes
+    right or up in proportion to the sides is followed step by step, all its places at once, as long as it is nearer than d; its chance
+    to be at the end, over that of any walk, is the share of such paths. Differences are multiples of 1 / (n1 * n2)."""
+    near = (math.ceil(d * n1 * n2 - 1e-6) - 0.5) / (n1 * n2)
+    if near < 0:
+        return 1.0
+    right, up = n1 / (n1 + n2), n2 / (n1 + n2)
+    per = 1 / n1 + 1 / n2
+    chance = np.zeros(n1 + 2)  # by steps to the right, moved by one
+    chance[1] = 1.0
+    for step in range(1, n1 + n2 + 1):
+        low, high = max(0, step - n2, math.floor((step / n2 - near) / per) + 1), min(n1, step, math.ceil((step / n2 + near) / per) - 1)
+        if high < low:
+            return 1.0
+        chance[low + 1 : high + 2] = up * chance[low + 1 : high + 2] + right * chance[low : high + 1]
+        chance[low] = 0.0
+        chance[high + 2 : high + 3] = 0.0
+    if chance[n1 + 1] <= 0:
+        return 1.0
+    free = math.lgamma(n1 + n2 + 1) - math.lgamma(n1 + 1) - math.lgamma(n2 + 1) + n1 * math.log(right) + n2 * math.log(up)
+    return float(min(1.0, max(0.0, -math.expm1(min(0.0, math.log(chance[n1 + 1]) - free)))))
 
 
 def ks_drift_test(reference: DataFrame, comparison: DataFrame, col: str) -> tuple[float, float]:
@@ -115,9 +120,9 @@ def perturb_category_mix(df: DataFrame, category_col: str, target_category: str,
     target = F.col(category_col).eqNullSafe(F.lit(target_category))
     n, have = df.agg(F.count("*"), F.count_if(target)).first()
     flip = max(0, min(int(target_share * n) - have, n - have))
-    chosen = df.where(~target).select(F.col(id_col).alias("__id"), _digest(id_col, seed).alias("__h")).orderBy("__h", "__id").limit(flip).select("__id", F.lit(True).alias("__flip"))
-    joined = df.join(chosen, df[id_col] == F.col("__id"), "left")
-    return joined.withColumn(category_col, F.when(F.col("__flip"), F.lit(target_category)).otherwise(F.col(category_col))).drop("__id", "__flip")
+    digest = _digest(id_col, seed)
+    last = smallest_digest(df.where(~target), digest, flip)
+    return df if last is None else df.withColumn(category_col, F.when(~target & (digest <= last), F.lit(target_category)).otherwise(F.col(category_col)))
 
 
 def _uniform(id_col: str, seed: int) -> Column:

@@ -7,23 +7,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _entity(entity_col: str, id_col: str) -> str:
+    """Keys of an entity's rows; rows without an entity stand alone, so that they do not meet in one task."""
+    return f"`{entity_col}`, case when `{entity_col}` is null then `{id_col}` end"
+
+
 def transaction_velocity(entity_col: str, time_col: str, window_seconds: float, id_col: str = "TransactionID") -> Column:
     """Number of earlier rows of the entity from ``t - window_seconds`` on, that bound included. Of rows at the same time
-    those with smaller ids are earlier. 0 where entity or time is missing."""
+    those with smaller ids are earlier. 0 where entity or time is missing.
+
+    It is the number of rows from that time on, less the row itself and all that follow it. Both counts only grow along the
+    entity's rows, latest first, so a row costs the same however many are in its window."""
     if window_seconds < 0:
         raise ValueError("window_seconds must not be negative")
-    e, t = f"`{entity_col}`", f"`{time_col}`"
-    width = f"{int(window_seconds)}" if float(window_seconds).is_integer() else f"{window_seconds!r}D"
-    key = t if float(window_seconds).is_integer() else f"cast({t} as double)"
-    in_range = F.expr(f"count({t}) over (partition by {e} order by {key} range between {width} preceding and current row)")
-    tied = Window.partitionBy(entity_col, time_col)
-    value = in_range - F.count(F.lit(1)).over(tied) + F.row_number().over(tied.orderBy(F.col(id_col))) - 1
-    return F.when(F.col(entity_col).isNotNull() & F.col(time_col).isNotNull(), value).otherwise(0).cast("bigint")
+    whole = float(window_seconds).is_integer()
+    t, width = f"`{time_col}`", f"{int(window_seconds)}" if whole else f"{window_seconds!r}D"
+    key = t if whole else f"cast({t} as double)"
+    since = F.expr(f"count({t}) over (partition by {_entity(entity_col, id_col)} order by {key} desc range between unbounded preceding and {width} following)")
+    following = F.expr(f"row_number() over (partition by {_entity(entity_col, id_col)} order by {key} desc, `{id_col}` desc)")
+    return F.when(F.col(entity_col).isNotNull() & F.col(time_col).isNotNull(), since - following).otherwise(0).cast("bigint")
 
 
 def by_time(entity_col: str, time_col: str, id_col: str = "TransactionID"):
     """One window for all lag features of an entity: one exchange and one sort."""
-    return Window.partitionBy(entity_col).orderBy(F.col(time_col).asc_nulls_last(), F.col(id_col))
+    alone = F.when(F.col(entity_col).isNull(), F.col(id_col))
+    return Window.partitionBy(F.col(entity_col), alone).orderBy(F.col(time_col).asc_nulls_last(), F.col(id_col))
 
 
 def time_since_last(entity_col: str, time_col: str, id_col: str = "TransactionID") -> Column:

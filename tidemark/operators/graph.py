@@ -7,13 +7,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.session import durable
+from tidemark.functions.session import durable, remove, written
 from tidemark.operators.components import connected_components
 
 STATS = ("degree", "component_size", "community_id", "clustering_coeff")
 ENTITY = ["entity_col", "entity_value"]
-#: Components with more projection edges than this are not sent to one task for Louvain.
-MOST_EDGES = 2_000_000
+#: A component with at most so many projection edges is partitioned within one task, a larger one by moves over all tasks.
+TASK_EDGES = 1_000_000
+#: Bounds of the moves over all tasks: rounds of one level, and levels.
+ROUNDS, LEVELS = 8, 12
 
 
 def bipartite_edges(df: DataFrame, id_col: str, entity_cols: list[str]) -> DataFrame:
@@ -130,10 +132,10 @@ def communities(edges: DataFrame, pairs: DataFrame, parts: DataFrame | None = No
     if not m:
         return entities.select("e.*", F.lit(-1).cast("bigint").alias("community_id"))
     text = F.to_json
-    linked = pairs.select(text("src").alias("src"), text("dst").alias("dst"), "weight")
+    linked = pairs.select(text("src").alias("src"), text("dst").alias("dst"), F.col("weight").cast("double").alias("weight"))
     own = durable(connected_components(linked))
     sized = linked.join(own.select(F.col("node").alias("src"), "component"), "src")
-    heavy = sized.groupBy("component").count().where(F.col("count") > MOST_EDGES).select("component")
+    large = durable(sized.groupBy("component").count().where(F.col("count") > TASK_EDGES).select("component"))
     weight = float(m)
 
     def solve(frame: pd.DataFrame) -> pd.DataFrame:
@@ -146,14 +148,78 @@ def communities(edges: DataFrame, pairs: DataFrame, parts: DataFrame | None = No
             first.setdefault(c, x)
         return pd.DataFrame({"node": names, "community": [first[c] for c in label]})
 
-    # a component too large for one task keeps itself as its community
-    solved = sized.join(heavy, "component", "left_anti").groupBy("component").applyInPandas(solve, "node string, community string")
-    whole = own.join(heavy, "component", "left_semi").select("node", F.col("component").alias("community"))
-    named = entities.withColumn("node", text("e")).join(solved.union(whole), "node", "left").withColumn("community", F.coalesce("community", "node"))
+    solved = sized.join(large, "component", "left_anti").groupBy("component").applyInPandas(solve, "node string, community string")
+    if not large.isEmpty():
+        solved = solved.union(spread_louvain(sized.join(large, "component", "left_semi").select("src", "dst", "weight"), weight))
+    named = entities.withColumn("node", text("e")).join(solved, "node", "left").withColumn("community", F.coalesce("community", "node"))
     ids = dense_ids(named.select("community").distinct())
     return named.join(ids, "community").select("e.*", F.col("id").alias("community_id"))
 
 
+def spread_louvain(edges: DataFrame, m: float) -> DataFrame:
+    """(node, community) by modularity, for (src, dst, weight) of any size, every step a join or a group-by; m is the edge weight of the whole graph.
+
+    In a round each node looks at the communities of its neighbours, and of the nodes that gain by a move half, told by hash and round,
+    make it, then the other half; so two neighbours seldom swap places. A level ends when modularity gains no more, its last round is not taken then; communities are
+    the nodes of the next level. A community's name is its smallest node. Hubs cost no more than their edges: all sums are combined before the shuffle."""
+    spark, old = edges.sparkSession, []  # tables that nothing needs any more
+
+    def once(df: DataFrame) -> DataFrame:
+        table, path = written(df)
+        old.append(path)
+        return table
+
+    def forget(keep: int) -> None:
+        for path in old[: len(old) - keep]:
+            remove(spark, path)
+        del old[: len(old) - keep]
+
+    own = once(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("community", F.col("node")))
+    now = once(edges.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.sum("weight").alias("w")))
+    for _ in range(LEVELS):
+        # both ways; what lies within a node counts twice for its degree
+        both = now.where("src <> dst").select(F.col("src").alias("v"), F.col("dst").alias("u"), "w").union(now.where("src <> dst").select("dst", "src", "w"))
+        ends = now.select(F.explode(F.array("src", "dst")).alias("v"), "w")
+        degree = once(ends.groupBy("v").agg(F.sum("w").alias("k")))
+        home = degree.select("v", F.col("v").alias("c"))
+        start = before = _modularity(now, home, degree, m)
+        for i in range(ROUNDS):
+            new = once(_half_moves(once(_half_moves(home, both, degree, m, 2 * i)), both, degree, m, 2 * i + 1))
+            value = _modularity(now, new, degree, m)
+            if value <= before + 1e-7:
+                break
+            home, before = new, value
+        if before <= start + 1e-7:
+            break
+        names = once(home.groupBy("c").agg(F.min("v").alias("name")).join(home, "c").select("v", "name"))
+        own = once(own.join(names.select(F.col("v").alias("community"), "name"), "community").select("node", F.col("name").alias("community")))
+        a, b = names.select(F.col("v").alias("src"), F.col("name").alias("a")), names.select(F.col("v").alias("dst"), F.col("name").alias("b"))
+        now = once(now.join(a, "src").join(b, "dst").groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.sum("w").alias("w")))
+        forget(2)  # own and now
+    return own
+
+
+def _half_moves(home: DataFrame, both: DataFrame, degree: DataFrame, m: float, i: int) -> DataFrame:
+    """(v, c) after the nodes of half i went where they gain most; ties stay, then go to the greater name."""
+    mine = home.join(degree, "v").select("v", F.col("c").alias("at"), "k")
+    totals = mine.groupBy(F.col("at").alias("c")).agg(F.sum("k").alias("total"))
+    # the node's own community is looked at even if no neighbour is in it
+    near = both.join(home.select(F.col("v").alias("u"), "c"), "u").select("v", "c", "w").union(home.select("v", "c", F.lit(0.0)))
+    weighed = near.groupBy("v", "c").agg(F.sum("w").alias("w")).join(totals, "c").join(mine, "v")
+    stay = F.col("c") == F.col("at")
+    gain = F.round(F.col("w") - (F.col("total") - F.when(stay, F.col("k")).otherwise(0.0)) * F.col("k") / (2 * m), 9)
+    choice = weighed.groupBy("v").agg(F.max(F.struct(gain.alias("gain"), stay.alias("stay"), F.col("c").alias("c"))).alias("b"), F.first("at").alias("at"))
+    return choice.select("v", F.when(F.pmod(F.xxhash64("v", F.lit(i // 2)), F.lit(2)) == i % 2, F.col("b.c")).otherwise(F.col("at")).alias("c"))
+
+
+def _modularity(edges: DataFrame, home: DataFrame, degree: DataFrame, m: float) -> float:
+    a, b = home.select(F.col("v").alias("src"), F.col("c").alias("a")), home.select(F.col("v").alias("dst"), F.col("c").alias("b"))
+    inside = edges.join(a, "src").join(b, "dst").where("a = b").select(F.col("a").alias("c"), "w", F.lit(0.0).alias("k"))
+    both = inside.union(home.join(degree, "v").select("c", F.lit(0.0), "k")).groupBy("c").agg(F.sum("w").alias("w"), F.sum("k").alias("k"))
+    w, k = both.agg(F.coalesce(F.sum("w"), F.lit(0.0)), F.coalesce(F.sum(F.col("k") * F.col("k")), F.lit(0.0))).first()
+    return w / m - k / (4 * m * m)
+
+
 def dense_ids(names: DataFrame) -> DataFrame:
     """(community, id): ranks from 0 without a window over all rows: ranges are counted, then each is numbered."""
     n = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -181,7 +247,10 @@ def transaction_entity_features(df: DataFrame, entity_cols: list[str], features:
         raise ValueError("entity rows are not unique")
     stats = [c for c in features.columns if c not in ENTITY]
     out = df
+    # rows without an entity find nothing; they are dealt by their hash, so that they do not meet in one task
+    spot = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(1 << 20)) + 1
     for c in entity_cols:
-        side = features.where(F.col("entity_col") == c).select(F.col("entity_value").alias("__entity"), *[F.col(s).alias(f"{c}_{s}") for s in stats])
-        out = out.join(side, out[c].cast("string") == F.col("__entity"), "left").drop("__entity")
+        side = features.where((F.col("entity_col") == c) & F.col("entity_value").isNotNull()).select(F.lit(0).cast("bigint").alias("__spot"), F.col("entity_value").alias("__entity"), *[F.col(s).alias(f"{c}_{s}") for s in stats])
+        keyed = out.withColumns({"__at": F.when(F.col(c).isNull(), spot).otherwise(0), "__value": F.coalesce(F.col(c).cast("string"), F.lit(""))})
+        out = keyed.join(side, (F.col("__at") == F.col("__spot")) & (F.col("__value") == F.col("__entity")), "left").drop("__spot", "__entity", "__at", "__value")
     return out

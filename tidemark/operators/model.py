@@ -6,10 +6,11 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.metrics import scale_pos_weight
+from tidemark.operators.quantiles import smallest_digest
 
 #: Fixed value: what stands for a missing feature.
 SENTINEL = -999.0
@@ -58,7 +59,7 @@ def train_model(df: DataFrame, features: list[str], label_col: str = "isFraud",
 def smote(df: DataFrame, features: list[str], label_col: str, id_col: str, k: int = 5, seed: int = SEED) -> DataFrame:
     """(features..., label): all rows and synthetic positives up to parity. A synthetic row lies between a positive and one
     of its k nearest positives. Neighbours are searched among the positives only, block against block: positives are
-    dealt to blocks, each pair of blocks is one task, and each keeps k of its own per row before they are merged."""
+    dealt to blocks of about 2,000, each pair of blocks is one group, and each keeps k of its own per row before they are merged."""
     ready = df.select(F.col(id_col).alias("id"), *[F.coalesce(F.col(c).cast("double"), F.lit(SENTINEL)).alias(c) for c in features], F.col(label_col).cast("int").alias("label"))
     minority = ready.where("label = 1")
     n, pos = ready.agg(F.count("*"), F.count_if(F.col("label") == 1)).first()
@@ -69,8 +70,9 @@ def smote(df: DataFrame, features: list[str], label_col: str, id_col: str, k: in
     x = F.array(*[F.col(c) for c in features])
     blocks = max(1, pos // 2000)
     points = minority.select("id", x.alias("x"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
-    left = points.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = points.select(F.col("id").alias("nid"), F.col("x").alias("nx"), F.col("block").alias("other"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = points.withColumn("other", every)
+    right = points.select(F.col("id").alias("nid"), F.col("x").alias("nx"), F.col("block").alias("other"), every.alias("block"))
 
     def near(key, a, b):
         import numpy as np
@@ -89,20 +91,16 @@ def smote(df: DataFrame, features: list[str], label_col: str, id_col: str, k: in
         return pd.DataFrame({"id": a["id"].to_numpy()[row], "nid": b["nid"].to_numpy()[col], "d": d[row, col], "nx": [q[c] for c in col]})
 
     kind = minority.schema["id"].dataType.simpleString()
-    pairs = left.groupBy("other").cogroup(right.groupBy("other")).applyInPandas(near, f"id {kind}, nid {kind}, d double, nx array<double>")
+    pairs = left.groupBy("block", "other").cogroup(right.groupBy("block", "other")).applyInPandas(near, f"id {kind}, nid {kind}, d double, nx array<double>")
     rank = Window.partitionBy("id").orderBy("d", "nid")
     neighbours = pairs.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= k).withColumn("have", F.count("*").over(Window.partitionBy("id")))
     per, rest = divmod(need, pos)
-    ordered = minority.select("id", F.md5(F.concat(F.col("id").cast("string"), F.lit(f":{seed}"))).alias("h"))
-    extra = ordered.orderBy("h", "id").limit(rest).select("id", F.lit(1).alias("more"))
-    times = minority.select("id", x.alias("x")).join(extra, "id", "left").withColumn("times", F.lit(per) + F.coalesce("more", F.lit(0)))
+    digest = F.md5(F.concat(F.col("id").cast("string"), F.lit(f":{seed}")))
+    last = smallest_digest(minority, digest, rest)
+    times = minority.select("id", x.alias("x"), (F.lit(per) + (F.lit(0) if last is None else F.when(digest <= last, 1).otherwise(0))).alias("times"))
     made = times.where("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
     unit = lambda salt: F.pmod(F.xxhash64("id", "copy", F.lit(salt)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     have = neighbours.select("id", "have").distinct()
     picked = made.join(have, "id").withColumn("r", (F.floor(unit(seed) * F.col("have")) + 1).cast("int")).withColumn("u", unit(seed + 1))
     new = picked.join(neighbours.select("id", "r", "nx"), ["id", "r"]).select(F.zip_with("x", "nx", lambda a, b: a + F.col("u") * (b - a)).alias("z"))
     return out.union(new.select(*[F.col("z")[i].alias(c) for i, c in enumerate(features)], F.lit(1).alias("label")))
-
-
-def probability_column(p: Column) -> Column:
-    return vector_to_array(p)[1]

@@ -27,8 +27,9 @@ SCORED = T.StructType([T.StructField("transaction_id", T.LongType()), T.StructFi
 
 def serving_features(df: DataFrame, features: DataFrame, keys: dict[str, Column], entity_cols: dict[str, str] | None = None) -> DataFrame:
     """For each prefix the statistics of its key as ``<prefix>_<statistic>``. A key that is not found gets the fallback; a
-    statistic that is null for a known key stays null. ``is_new_entity``: any key was not found. Works on a stream too."""
-    stats = [c for c in features.columns if c not in ("entity_col", "entity_value", "last_updated")]
+    statistic that is null for a known key stays null. ``is_new_entity``: any key was not found.
+    A table's ``last_updated`` is carried like a statistic (null for unknown keys). Works on a stream too."""
+    stats = [c for c in features.columns if c not in ("entity_col", "entity_value")]
     out, missed = df, F.lit(False)
     for prefix, key in keys.items():
         named = (entity_cols or {}).get(prefix, prefix)
@@ -51,19 +52,19 @@ def score_batch(df: DataFrame, model: TrainedModel, features: DataFrame, keys: d
 
 
 def score_transaction(spark: SparkSession, transaction: dict, predict: Callable[[list], float] | TrainedModel, feature_columns: list[str], entity_lookup: Callable, entity_key_builders: dict[str, Callable]) -> ScoredTransaction:
-    """One record, as an online service would score it: keys are built from the record, looked up by a callable that gives a dict
-    or None, and the features go to the model in order."""
-    row, new = dict(transaction), False
-    for prefix, build in entity_key_builders.items():
-        found = entity_lookup(build(transaction))
-        new |= found is None
-        for name, value in (DEFAULT_ENTITY_FEATURE_FALLBACK if found is None else found).items():
-            row[f"{prefix}_{name}"] = value
-    row["is_new_entity"] = int(new)
-    values = [row.get(c) for c in feature_columns]
-    if isinstance(predict, TrainedModel):
-        frame = spark.createDataFrame([tuple(None if v is None else float(v) for v in values)], ", ".join(f"`{c}` double" for c in feature_columns))
-        chance = predict.predict(frame).first()["fraud_probability"]
-    else:
-        chance = predict(values)
-    return ScoredTransaction(row["TransactionID"], float(chance), new)
+    """One record, as an online service would score it. The lookups' answers (a dict, or None for an unknown key) become the entity table
+    of this one record, so what follows are the rules of ``serving_features`` without a plan."""
+    answers = {prefix: entity_lookup(build(transaction)) for prefix, build in entity_key_builders.items()}
+    unknown = [prefix for prefix, stats in answers.items() if stats is None]
+    looked_up = {f"{prefix}_{name}": value for prefix, stats in answers.items() for name, value in (stats or DEFAULT_ENTITY_FEATURE_FALLBACK).items()}
+    known = transaction | looked_up | {"is_new_entity": int(bool(unknown))}
+    return ScoredTransaction(transaction["TransactionID"], float(_chance(spark, predict, feature_columns, known)), bool(unknown))
+
+
+def _chance(spark: SparkSession, predict: Callable[[list], float] | TrainedModel, feature_columns: list[str], known: dict) -> float:
+    """Features that are absent are missing."""
+    if not isinstance(predict, TrainedModel):
+        return predict(list(map(known.get, feature_columns)))
+    schema = T.StructType([T.StructField(c, T.DoubleType()) for c in feature_columns])
+    one = [None if (v := known.get(c)) is None else float(v) for c in feature_columns]
+    return predict.predict(spark.createDataFrame([one], schema)).first()["fraud_probability"]

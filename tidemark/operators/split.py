@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.quantiles import quantiles
+
 
 def cutoff(df: DataFrame, time_col: str, frac: float) -> float | None:
     """The exact, linearly interpolated quantile of time."""
-    return df.agg(F.percentile(F.col(time_col), frac).alias("c")).first()["c"]
+    return quantiles(df, time_col, [frac])[0]
 
 
 def temporal_split(df: DataFrame, time_col: str = "TransactionDT", train_frac: float = 0.7) -> tuple[DataFrame, DataFrame]:

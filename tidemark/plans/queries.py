@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.session import shared_folder
 from tidemark.operators import drift, entities, features, graph, metrics, model, scoring
-from tidemark.operators.components import connected_components  # noqa: F401
-from tidemark.operators.split import cutoff, temporal_split
+from tidemark.operators.split import temporal_split
 from tidemark.plans import pipelines
-from tidemark.plans.surrogate import EPOCH, ORDERS_SQL, TX_SQL, identity, order_entities, table, transactions
-from tidemark.sources.transactions import join_identity, validate_schema
+from tidemark.plans.surrogate import ORDERS_SQL, TX_SQL, identity, order_entities, table, transactions
+from tidemark.sources.transactions import REQUIRED_COLUMNS, join_identity, load_transactions, read_features, validate_schema, write_features
 from tidemark.streaming import online
 
 QUERIES: dict = {}
@@ -49,6 +48,16 @@ def load_left_join(spark, sf):
     return joined(spark, sf).select("TransactionID", "TransactionDT", "TransactionAmt", "isFraud", "DeviceInfo", "id_31")
 
 
+@query("SELECT TransactionID, TransactionDT, TransactionAmt, isFraud, ProductCD, card2, addr1, D1, DeviceInfo, id_31 FROM tx LEFT JOIN ident USING (TransactionID)", TX_SQL)
+def load_csv(spark, sf):
+    """Both tables as CSV with NA for what is missing, and read again."""
+    at = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    for name, df in (("tx", transactions(spark, sf).select(*REQUIRED_COLUMNS)), ("ident", identity(spark, sf))):
+        df.write.option("header", True).option("nullValue", "NA").csv(f"{at}/{name}")
+    df = load_transactions(spark, f"{at}/tx", f"{at}/ident")
+    return df.select("TransactionID", "TransactionDT", "TransactionAmt", "isFraud", "ProductCD", "card2", "addr1", "D1", "DeviceInfo", "id_31")
+
+
 _SPLIT = TX_SQL + ", cut AS (SELECT quantile_cont(TransactionDT, 0.7) AS c FROM tx)"
 
 
@@ -152,14 +161,6 @@ _EDGES = ORDERS_SQL + """, edge AS (SELECT DISTINCT txn, entity_col, entity_valu
   UNION ALL SELECT txn, 'cell', cell FROM o UNION ALL SELECT txn, 'price', price FROM o) WHERE entity_value IS NOT NULL)"""
 _PAIRS = _EDGES + """, pair AS (SELECT a.entity_col AS c1, a.entity_value AS v1, b.entity_col AS c2, b.entity_value AS v2, count(*) AS weight FROM edge a JOIN edge b USING (txn)
   WHERE (a.entity_col, a.entity_value) < (b.entity_col, b.entity_value) GROUP BY ALL)"""
-_TWO_EDGES = _EDGES + ", two AS (SELECT * FROM edge WHERE entity_col <> 'price')"
-_COMPONENT = """, link AS (SELECT 't' || txn AS x, 'e' || entity_col || chr(1) || entity_value AS y FROM {edge}),
-pairwise AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
-reach(n, m) AS (SELECT DISTINCT x, x FROM pairwise UNION SELECT b.y, r.m FROM reach r JOIN pairwise b ON b.x = r.n),
-least AS (SELECT n, min(m) AS c FROM reach GROUP BY n),
-csize AS (SELECT c, count(*) AS component_size FROM least GROUP BY c)"""
-
-
 @query("SELECT txn AS txn_id, entity_col, entity_value FROM edge", _EDGES)
 def bipartite_edges(spark, sf):
     return graph.bipartite_edges(order_entities(spark, sf), "txn", THREE)
@@ -176,7 +177,7 @@ def entity_degree(spark, sf):
     return graph.degrees(graph.bipartite_edges(order_entities(spark, sf), "txn", THREE))
 
 
-@query("SELECT DISTINCT entity_col, entity_value, component_size FROM two JOIN least ON n = 'e' || entity_col || chr(1) || entity_value JOIN csize USING (c)", _TWO_EDGES + _COMPONENT.format(edge="two"))
+@query()
 def component_size(spark, sf):
     return graph.components(graph.bipartite_edges(order_entities(spark, sf), "txn", TWO)).select("entity_col", "entity_value", "component_size")
 
@@ -209,6 +210,34 @@ def louvain_communities(spark, sf):
     return graph.communities(edges, graph.projection(edges))
 
 
+@query("""SELECT (SELECT count(*) FROM (SELECT DISTINCT entity_col, entity_value FROM edge)) AS entities, (SELECT count(*) FROM (SELECT DISTINCT entity_col, entity_value FROM edge)
+  WHERE (entity_col, entity_value) NOT IN (SELECT (c1, v1) FROM pair UNION ALL SELECT (c2, v2) FROM pair)) AS alone, CAST(0 AS BIGINT) AS without_community, CAST(0 AS BIGINT) AS spanning, CAST(0 AS BIGINT) AS gaps, true AS gains""", _PAIRS)
+def louvain_contract(spark, sf):
+    """What holds for any good partition: each entity has a community, those without a neighbour one of their own, none spans two components,
+    ids are 0, 1, 2 and so on, and modularity is above that of the components and above 0."""
+    edges = graph.bipartite_edges(order_entities(spark, sf), "txn", THREE).cache()
+    pairs = graph.projection(edges).cache()
+    of = graph.communities(edges, pairs).cache()
+    parts = graph.components(edges)
+    both = of.join(parts, ["entity_col", "entity_value"])
+    m = pairs.agg(F.sum("weight")).first()[0]
+    place = lambda c: F.struct(F.col(f"{c}.entity_col"), F.col(f"{c}.entity_value"))
+
+    def modularity(name):
+        a, b = (both.select(F.struct("entity_col", "entity_value").alias(c), F.col(name).alias(f"{c}_in")) for c in ("src", "dst"))
+        ends = pairs.select(place("src").alias("src"), place("dst").alias("dst"), "weight").join(a, "src").join(b, "dst")
+        inside = ends.where("src_in = dst_in").agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0] / m
+        degree = ends.select(F.explode(F.array("src_in", "dst_in")).alias("c"), "weight").groupBy("c").agg(F.sum("weight").cast("double").alias("k"))
+        return inside - degree.agg(F.sum(F.col("k") * F.col("k"))).first()[0] / (4.0 * m * m)
+
+    linked = pairs.select(F.explode(F.array("src", "dst")).alias("e")).select("e.*").distinct()
+    alone = of.groupBy("community_id").count().where("count = 1").join(of, "community_id").join(linked, ["entity_col", "entity_value"], "left_anti")
+    spanning = both.groupBy("community_id").agg(F.count_distinct("component").alias("n")).where("n > 1")
+    last = of.agg(F.count("*").alias("entities"), F.count_if(F.col("community_id").isNull() | (F.col("community_id") < 0)).alias("without_community"), (F.max("community_id") + 1 - F.count_distinct("community_id")).alias("gaps"))
+    gains = modularity("community_id") > max(0.0, modularity("component"))
+    return last.select("entities", F.lit(alone.count()).cast("bigint").alias("alone"), "without_community", F.lit(spanning.count()).cast("bigint").alias("spanning"), F.col("gaps").cast("bigint").alias("gaps"), F.lit(gains).alias("gains"))
+
+
 @query("SELECT o.txn, a.n AS customer_degree, b.n AS cell_degree FROM o LEFT JOIN (SELECT customer, count(*) AS n FROM o GROUP BY 1) a USING (customer) LEFT JOIN (SELECT cell, count(*) AS n FROM o GROUP BY 1) b USING (cell)", ORDERS_SQL)
 def entity_join_back(spark, sf):
     df = order_entities(spark, sf)
@@ -231,11 +260,11 @@ def class_weight(spark, sf):
     return spark.range(1).select(F.round(F.lit(w), 6).alias("scale_pos_weight"))
 
 
-def _trained(spark, sf):
+def _trained(spark, sf, params=None):
     df = pipelines.time_features(joined(spark, sf))
     train, _ = temporal_split(df)
     names = ["TransactionAmt", "velocity_1h", "k"]
-    return df, names, model.train_model(train, names, params={"maxIter": 5, "maxDepth": 3})
+    return df, names, model.train_model(train, names, params=params)
 
 
 @query()
@@ -262,6 +291,11 @@ def threshold_cost(spark, sf):
     return metrics.threshold_costs(_scored(spark, sf), "y", "p", 5.0, 100.0)
 
 
+@query(f"SELECT threshold, cost FROM (SELECT idx, threshold, round(count(*) FILTER (p >= threshold AND y = 0) * 5.0 + count(*) FILTER (p < threshold AND y = 1) * 100.0, 6)::DOUBLE AS cost FROM s, (VALUES {_GRID}) AS t(idx, threshold) GROUP BY ALL) ORDER BY cost, idx LIMIT 1", _SCORE)
+def threshold_select(spark, sf):
+    return spark.createDataFrame([metrics.select_threshold_by_cost(_scored(spark, sf), "y", "p", 5.0, 100.0)], "threshold double, cost double")
+
+
 def _entity_table(spark, sf):
     """What a batch knew at its time: device entities of the training part."""
     df = joined(spark, sf).withColumn("device", entities.device_fingerprint())
@@ -278,7 +312,7 @@ def score_batch_features(spark, sf):
 @query()
 def score_batch(spark, sf):
     df, known = _entity_table(spark, sf)
-    _, _, fitted = _trained(spark, sf)
+    _, _, fitted = _trained(spark, sf, {"maxIter": 20})
     return scoring.score_batch(df, fitted, known, {"device": F.col("device")})
 
 
@@ -358,17 +392,29 @@ def time_range(spark, sf):
     return transactions(spark, sf).agg(F.min("TransactionDT").alias("first"), F.max("TransactionDT").alias("last"))
 
 
-@query(f"""SELECT f.TransactionID, velocity, since, changed, dd AS device_degree, cd AS card_degree FROM (SELECT TransactionID, card, fingerprint,
+@query(f"""SELECT f.TransactionID, velocity, since, changed, CASE WHEN dd <= 1000 THEN dd END AS device_degree, cd AS card_degree, CAST(0 AS DOUBLE) AS card_clustering, true AS card_in_component, 2026 AS updated FROM (SELECT TransactionID, card, fingerprint,
     count(*) OVER (PARTITION BY card ORDER BY TransactionDT RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) - count(*) OVER (PARTITION BY card, TransactionDT) + row_number() OVER (PARTITION BY card, TransactionDT ORDER BY TransactionID) - 1 AS velocity,
     CAST(TransactionDT - lag(TransactionDT) OVER w AS DOUBLE) AS since, coalesce(lag(addr1) OVER w <> addr1, false) OR coalesce(lag(addr2) OVER w <> addr2, false) AS changed
     FROM (SELECT tx.*, {_CARD_ID} AS card, fingerprint FROM tx JOIN dev USING (TransactionID)) WINDOW w AS (PARTITION BY card ORDER BY TransactionDT, TransactionID)) f
   LEFT JOIN (SELECT fingerprint, count(*) AS dd FROM dev WHERE fingerprint IS NOT NULL GROUP BY 1) USING (fingerprint) LEFT JOIN (SELECT {_CARD_ID} AS card, count(*) AS cd FROM tx GROUP BY 1) USING (card)""", _PRINT)
 def feature_pipeline(spark, sf):
-    out = pipelines.time_features(joined(spark, sf)).withColumn("device_fingerprint", entities.device_fingerprint())
-    out = entities.cap_high_frequency_entities(out, "device_fingerprint", 1_000_000_000)
-    cols = ["device_fingerprint", "card_entity_id"]
-    out = graph.transaction_entity_features(out, cols, graph.degrees(graph.bipartite_edges(out, "TransactionID", cols)))
-    return out.select("TransactionID", F.col("velocity_1h").alias("velocity"), F.col("time_since_last").alias("since"), F.col("addr_change").alias("changed"), F.col("device_fingerprint_degree").alias("device_degree"), F.col("card_entity_id_degree").alias("card_degree"))
+    """All features as a batch job makes them, written to a table and read again; of the statistics those that SQL can say."""
+    at = f"{shared_folder(spark)}/features-{uuid.uuid4().hex}"
+    write_features(pipelines.build_features(joined(spark, sf)), at, as_of="2026-01-01")
+    out = read_features(spark, at)
+    return out.select(
+        "TransactionID", F.col("velocity_1h").alias("velocity"), F.col("time_since_last").alias("since"), F.col("addr_change").alias("changed"), F.col("device_fingerprint_degree").alias("device_degree"),
+        F.col("card_entity_id_degree").alias("card_degree"), F.col("card_entity_id_clustering_coeff").alias("card_clustering"), (F.col("card_entity_id_component_size") > F.col("card_entity_id_degree")).alias("card_in_component"),
+        F.year("last_updated").alias("updated"),
+    )
+
+
+@query()
+def train_evaluate(spark, sf):
+    """Split, features of the past, trees, threshold by cost; the scored later part with what was chosen."""
+    features_ = pipelines.time_features(joined(spark, sf))
+    _, scored, found = pipelines.train_and_evaluate(features_, params={"maxIter": 20})
+    return scored.select("TransactionID", "isFraud", "fraud_probability", *[F.lit(found[k]).alias(k) for k in ("pr_auc", "threshold", "cost")])
 
 
 @query()
@@ -397,19 +443,20 @@ def stream_enrich(spark, sf):
     return _drained(spark, online.enrich(rows, known, {"device": F.col("device")}).select("TransactionID", "device_degree", "is_new_entity"))
 
 
-@query(_velocity_sql("TransactionDT", 3600), TX_SQL)
+@query("""SELECT TransactionID, velocity, since, changed FROM (""" + _velocity_sql("TransactionDT", 3600) + """) JOIN (SELECT TransactionID,
+  CAST(TransactionDT - lag(TransactionDT) OVER w AS DOUBLE) AS since, coalesce(lag(addr1) OVER w <> addr1, false) OR coalesce(lag(addr2) OVER w <> addr2, false) AS changed
+  FROM tx WINDOW w AS (PARTITION BY user_id ORDER BY TransactionDT, TransactionID)) USING (TransactionID)""", TX_SQL)
 def stream_velocity(spark, sf):
     events = table(spark, sf, "events")
     stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    rows = stream.select("event_id", "user_id", (F.unix_seconds(F.col("ts").cast("timestamp")) - EPOCH).alias("dt"))
-    return _drained(spark, online.stream_velocity(rows, "event_id", "user_id", "dt", 3600)).select(F.col("id").alias("TransactionID"), "velocity")
+    k = F.get_json_object("props", "$.k").cast("int")
+    rows = stream.select("event_id", "user_id", F.date_trunc("second", F.col("ts").cast("timestamp")).alias("at"), F.when(k % 10 != 0, k).alias("addr1"), (80 + k % 3).alias("addr2"))
+    out = _drained(spark, online.stream_features(rows, "event_id", "user_id", "at", 3600, ("addr1", "addr2")))
+    return out.select(F.col("id").alias("TransactionID"), "velocity", F.col("since_last").alias("since"), F.col("addr_changed").alias("changed"))
 
 
 def _drained(spark: SparkSession, stream: DataFrame) -> DataFrame:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-stream-")
-    at = f"{base}/stream-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     stream.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/rows")
 
-
-del cutoff

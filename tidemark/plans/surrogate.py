@@ -38,8 +38,8 @@ def identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A graph of small components: an order and its customer, its date and priority, its price cell."""
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 20 = 0")
+    """A graph of all orders: an order and its customer, its date and priority, its price cell."""
+    o = table(spark, sf_dir, "orders")
     cell = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("/"), F.col("o_orderpriority"))
     return o.select(F.col("o_orderkey").alias("txn"), F.col("o_custkey").cast("string").alias("customer"), cell.alias("cell"), F.floor(F.col("o_totalprice") / 10).cast("bigint").cast("string").alias("price"))
 
@@ -54,5 +54,5 @@ ident AS (SELECT event_id AS TransactionID, 'SM-G' || (user_id % 37) || ' Build/
 """
 ORDERS_SQL = """
 o AS (SELECT o_orderkey AS txn, CAST(o_custkey AS VARCHAR) AS customer, strftime(o_orderdate, '%Y-%m-%d') || '/' || o_orderpriority AS cell,
-  CAST(CAST(floor(o_totalprice / 10) AS BIGINT) AS VARCHAR) AS price FROM orders WHERE o_orderkey % 20 = 0)
+  CAST(CAST(floor(o_totalprice / 10) AS BIGINT) AS VARCHAR) AS price FROM orders)
 """

@@ -36,8 +36,17 @@ def column_type(name: str) -> str:
     return "string" if name.startswith(TEXT_PREFIXES) and not name[:1].isdigit() else "double"
 
 
+def require_path(spark: SparkSession, path: str) -> None:
+    """Raises FileNotFoundError unless Spark's file system has the path (or a match of its pattern)."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place)
+    if not found:
+        raise FileNotFoundError(f"no input at {path}")
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """A CSV with a header, each column of its declared type (no pass over the data to infer), NA texts as null."""
+    require_path(spark, path)
     header = spark.read.option("header", True).csv(path).columns
     raw = spark.read.option("header", True).schema(T.StructType([T.StructField(c, T.StringType()) for c in header])).csv(path)
 
@@ -66,8 +75,11 @@ def load_transactions(spark: SparkSession, transaction_path: str, identity_path:
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
+    require_path(spark, path)
     return spark.read.parquet(path)
 
 
-def write_features(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
+def write_features(df: DataFrame, path: str, as_of: str | None = None) -> None:
+    """Parquet; ``as_of`` is written as ``last_updated``, which serving carries along."""
+    out = df if as_of is None else df.withColumn("last_updated", F.lit(as_of).cast("timestamp"))
+    out.write.mode("overwrite").parquet(path)

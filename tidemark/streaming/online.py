@@ -1,9 +1,11 @@
-"""Streams: enrichment with entity statistics, stateful velocity, and drift by micro-batch."""
+"""Streams: enrichment with entity statistics, stateful features over time, and drift by micro-batch."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,28 +20,46 @@ def enrich(stream: DataFrame, features: DataFrame, keys, entity_cols=None) -> Da
     return serving_features(stream, features, keys, entity_cols)
 
 
-VELOCITY = "id bigint, entity string, t double, velocity bigint, since_last double"
+VELOCITY = "id bigint, entity string, t timestamp, velocity bigint, since_last double, addr_changed boolean"
 
 
-def stream_velocity(stream: DataFrame, id_col: str, entity_col: str, time_col: str, window_seconds: float) -> DataFrame:
-    """Velocity and recency per entity over a stream. State: the times inside the window and the last one. Rows of a
-    micro-batch are taken by time, then id; a row older than the state's last time counts what the state still has."""
-    rows = stream.select(F.col(id_col).cast("bigint").alias("id"), F.col(entity_col).cast("string").alias("entity"), F.col(time_col).cast("double").alias("t")).where("entity is not null and t is not null")
+def stream_features(stream: DataFrame, id_col: str, entity_col: str, time_col: str, window_seconds: float, addr_cols: tuple[str, ...] = (), delay: str = "1 hour", forget_after: float = 30 * 86400) -> DataFrame:
+    """(id, entity, t, velocity, since_last, addr_changed) of each row of a stream; ``time_col`` is a timestamp.
+
+    State of an entity: its times within the window, its last time and the addresses of its last row. The watermark is ``delay`` behind the latest time;
+    once it is ``forget_after`` seconds (at least the window) past an entity's last time, the entity's state is dropped, and it starts anew. Rows of a
+    micro-batch are taken by time, then id. A row older than the state's last time is late: it counts what the state still has, is since nothing
+    and no change, and does not become the last row. Rows without entity or time are left out."""
+    t = F.col(time_col).cast("timestamp")
+    addresses = F.array(*[F.col(c).cast("string") for c in addr_cols]) if addr_cols else F.array().cast("array<string>")
+    rows = stream.select(F.col(id_col).cast("bigint").alias("id"), F.col(entity_col).cast("string").alias("entity"), t.alias("t"), addresses.alias("addresses"))
+    rows = rows.where("entity is not null and t is not null").withWatermark("t", delay)
+    keep_ms = int(max(forget_after, window_seconds) * 1000)
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times, last = (list(state.get[0]), state.get[1]) if state.exists else ([], None)
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(frames)).sort_values(["t", "id"], kind="stable")
-        velocity, since = [], []
-        for t in rows["t"]:
-            times = [x for x in times if x >= t - window_seconds] if last is None or t >= last else times
-            velocity.append(sum(t - window_seconds <= x <= t for x in times))
-            since.append(None if last is None else t - last)
-            times.append(t)
-            last = t if last is None else max(last, t)
-        state.update((times, last))
-        yield rows.assign(velocity=velocity, since_last=pd.Series(since, index=rows.index, dtype="float64"))[["id", "entity", "t", "velocity", "since_last"]]
-
-    return rows.groupBy("entity").applyInPandasWithState(step, VELOCITY, "times array<double>, last double", "append", GroupStateTimeout.NoTimeout)
+        known = state.exists
+        times, last, address = (np.array(state.get[0], dtype=np.float64), state.get[1], list(state.get[2])) if known else (np.zeros(0), -math.inf, [])
+        now = (rows["t"].astype("datetime64[us]").astype("int64") / 1e6).to_numpy()
+        since = now - window_seconds
+        older = np.searchsorted(times, now, "right") - np.searchsorted(times, since, "left")
+        velocity = older + np.arange(len(now)) - np.searchsorted(now, since, "left")
+        before = np.maximum(np.concatenate([[last], now[:-1]]), last)
+        gap = np.where(np.isfinite(before) & (now >= before), now - before, np.nan)
+        changed = np.zeros(len(now), bool)
+        for i, (own, at) in enumerate(zip(rows["addresses"], now, strict=True)):
+            if at >= last:
+                changed[i] = any(x is not None and y is not None and x != y for x, y in zip(address, own, strict=False))
+                address, last = list(own), at
+        times = np.sort(np.concatenate([times, now]))
+        state.update((times[times >= last - window_seconds].tolist(), float(last), address))
+        state.setTimeoutTimestamp(max(int(last * 1000) + keep_ms, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"id": rows["id"], "entity": rows["entity"], "t": rows["t"], "velocity": velocity, "since_last": gap, "addr_changed": changed})
+
+    return rows.groupBy("entity").applyInPandasWithState(step, VELOCITY, "times array<double>, last double, addresses array<string>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def drift_batches(reference: DataFrame, col: str, report: Callable[[int, float], None], bins: int = 10) -> Callable[[DataFrame, int], None]:
