@@ -194,9 +194,18 @@ def test_language_model(spark, docs, empty, texts):
     expected = sorted((i is None, i or 0, len(w), sum(counts[x] > 0 for x in w), n, round(sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w), 6)) for i, t in rows for w in [tokens(t)])
     assert sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == expected
     assert all(r.score < 0 for r in got)
+    size = {i: len("".join(x + " " for x in tokens(t)[:-1]).encode()) + 1 for i, t in rows}
+    assert all(r.n_bytes == size[r.doc_id] and r.bits_per_byte == pytest.approx(-r.score * math.log2(10) / r.n_bytes) for r in got)
     assert ctw.language_scores(empty).count() == 0
 
 
+def test_language_model_with_clashing_names(spark):
+    rows = [(i, f"some words {i % 5}") for i in range(40)]
+    plain = spark.createDataFrame(rows, "doc_id bigint, text string")
+    wide = plain.withColumns({c: F.lit(1) for c in ("id", "row", "score", "n", "key", "held_out", "h", "bytes")})
+    assert sorted(ctw.language_scores(plain).collect()) == sorted(ctw.language_scores(wide).collect())
+
+
 def test_language_model_is_a_distribution(spark):
     import numpy as np
 
@@ -277,6 +286,26 @@ def test_quality(spark, empty):
     assert quality.scored(empty, nothing).count() == 0
 
 
+def test_quality_features(texts):
+    import numpy as np
+
+    some = [t or "" for t in texts if len(t or "") < 3000]
+    model = quality.Model(np.random.default_rng(1).normal(size=1 << quality.BITS), 0.25)
+
+    def arrays(ts):
+        raw = [t.encode() for t in ts]
+        return np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+
+    kinds = [np.bincount(of, minlength=len(some)) for _, of in quality.features(*arrays(some))]
+    for i, t in enumerate(some):
+        n = len(re.findall(r"[^\x20\x09-\x0D]+", t))
+        assert [k[i] for k in kinds] == [n, max(0, n - 1), max(0, len(t) - 2), max(0, len(t) - 3)]
+    together = model.score(*arrays(some))
+    assert together == pytest.approx([model.score(*arrays([t]))[0] for t in some])
+    # the same words and characters score alike, others do not
+    assert model.score(*arrays(["naïve é x"]))[0] == model.score(*arrays(["naïve é x"]))[0] != model.score(*arrays(["naïve è x"]))[0]
+
+
 def test_license_scan(spark, docs, empty):
     assert license_scan.scan(empty).count() == 0
     own = spark.createDataFrame([

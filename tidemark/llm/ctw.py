@@ -310,7 +310,7 @@ def held_out(id_col: str = "doc_id") -> F.Column:
 
 def language_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row: id, held_out, n_tokens, n_known, train_tokens, base_score (unigrams with one added), score (log10
-    probability of the text by context-tree weighting).
+    probability of the text by context-tree weighting), n_bytes (that the model reads) and bits_per_byte, its code length.
 
     Base counts are exact. Tokens of at least 1/2**CAPACITY of all occurrences are at most 2**CAPACITY, so they are
     broadcast; the rarer ones of each text are joined by key."""
@@ -336,6 +336,7 @@ def language_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 k, where = grams(part, at)
                 value, hit = model.value.get(k)
                 texts.append(np.add.reduceat(np.where(hit, value, 0).astype(np.float64), where[:-1]))
+                n[3, i:j] = np.diff(where)
                 far.append(k[~hit].astype(np.int64))
                 far_sizes.append(np.add.reduceat((~hit).astype(np.int64), where[:-1]))
                 h, text = tokens(part, at)
@@ -349,10 +350,12 @@ def language_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 rare.append(h[left])
                 sizes.append(np.bincount(text[left], minlength=j - i))
             lists = [_lists(rare, sizes), _lists(far, far_sizes)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate([np.zeros(0), *texts])), pa.array(n[0].astype(np.int64)), pa.array(n[1].astype(np.int64)), pa.array(n[2]), *lists], names=["id", "row", "score", "n", "k", "b", "rare", "far"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate([np.zeros(0), *texts])), pa.array(n[0].astype(np.int64)), pa.array(n[1].astype(np.int64)), pa.array(n[2]), pa.array(n[3].astype(np.int64)), *lists], names=["id", "row", "score", "n", "k", "b", "bytes", "rare", "far"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), F.col(text_col))
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *T._parse_datatype_string("row bigint, score double, n bigint, k bigint, b double, rare array<bigint>, far array<bigint>").fields])
+    # 128 bits for each id and text
+    key = F.unhex(F.md5(F.concat_ws("\0", F.coalesce(F.col(id_col).cast("string"), F.lit("\1")), F.coalesce(F.col(text_col), F.lit("")))))
+    rows = docs.select(F.col(id_col).alias("id"), key.alias("row"), F.col(text_col))
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *T._parse_datatype_string("row binary, score double, n bigint, k bigint, b double, bytes bigint, rare array<bigint>, far array<bigint>").fields])
     scored = durable(rows.mapInArrow(score, schema))
     # rows of the same id and text have the same rarer tokens, so one of them stands for all
     rare = scored.where("size(rare) > 0").groupBy("row").agg(F.first("rare").alias("rare")).select("row", F.explode("rare").alias("h"))
@@ -364,7 +367,9 @@ def language_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         far = scored.where("size(far) > 0").groupBy("row").agg(F.first("far").alias("far")).select("row", F.explode("far").alias("key")).groupBy("row", "key").agg(F.count("*").alias("m"))
         far = far.join(lengths.where(seldom).select("key", "logp"), "key").groupBy("row").agg(F.sum(F.col("m") * F.col("logp")).alias("s2"))
         out, more = out.join(far, "row", "left"), F.coalesce("s2", F.lit(0.0))
+    total = F.col("score") + more
     return out.select(
         F.col("id").alias(id_col), held_out("id").alias("held_out"), F.col("n").alias("n_tokens"), (F.col("k") + F.coalesce("k2", zero)).cast("bigint").alias("n_known"),
-        F.lit(n_train).cast("bigint").alias("train_tokens"), (F.col("b") + F.coalesce("b2", F.lit(0.0))).alias("base_score"), (F.col("score") + more).alias("score"),
+        F.lit(n_train).cast("bigint").alias("train_tokens"), (F.col("b") + F.coalesce("b2", F.lit(0.0))).alias("base_score"), total.alias("score"),
+        F.col("bytes").alias("n_bytes"), (-total * F.lit(float(np.log2(10))) / F.col("bytes")).alias("bits_per_byte"),
     )

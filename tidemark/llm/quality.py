@@ -1,7 +1,7 @@
 """Quality classifier: supervised subword embeddings.
 
-Features of a text are its tokens (runs between white space) and its byte n-grams of ``NGRAMS`` lengths, hashed into
-2**BITS rows. Each row has a learned vector; a text is the average of its features' vectors; a softmax layer gives the
+Features of a text are its words (runs between white space), pairs of neighbouring words, and its character n-grams of ``NGRAMS`` lengths
+(code points, white space included), hashed into 2**BITS rows. Each row has a learned vector; a text is the average of its features' vectors; a softmax layer gives the
 probability of each label. Vectors and layer are trained by stochastic gradient descent in NumPy, on a bounded sample of
 labelled rows (``sample``, taken by the hash of the id), which is the only part that does not read all rows.
 
@@ -9,7 +9,8 @@ Because the layer is linear, a feature's part in the score is one number; scorin
 text, in NumPy, and divides by their count.
 
 Defined results: null is the empty text, which has no features and the score of the layer's bias; repeated rows score
-alike; a text of any length is scored whole; without labelled rows each score is 0.5; null labels are left out.
+alike; a text of any length is scored whole; without labelled rows each score is 0.5; null labels are left out; other columns stay, also if one is
+named like the score (which then gets an underscore); an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -21,29 +22,33 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.session import fresh
-from tidemark.llm.bytesops import SPACE, U64, runs, slices, span_hashes, utf8
+from tidemark.llm.bytesops import SPACE, U64, mix, runs, slices, span_hashes, utf8
 
 BITS, DIM, NGRAMS = 18, 8, (3, 4)
 SAMPLE, EPOCHS, RATE = 3000, 12, 0.5
+GOLD = U64(0x9E3779B97F4A7C15)
 
 
 def features(data: np.ndarray, offsets: np.ndarray):
     """(feature, text) arrays, a pair for each kind of feature; texts ascend in each."""
-    n = len(offsets) - 1
     starts, ends = runs(~SPACE[data], offsets)
     shift = U64(64 - BITS)
-    yield (span_hashes(data, starts, ends) >> shift).astype(np.int32), np.searchsorted(offsets, starts, side="right") - 1
-    wide = data.astype(U64)
+    words, of = span_hashes(data, starts, ends), np.searchsorted(offsets, starts, side="right") - 1
+    yield (words >> shift).astype(np.int32), of
+    same = np.flatnonzero(of[1:] == of[:-1])
+    yield ((mix(words[same] * U64(3)) + words[same + 1]) * GOLD >> shift).astype(np.int32), of[same]
+    points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), dtype=np.uint32).astype(U64)
+    begins = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]  # of each text, in code points
+    text = np.repeat(np.arange(len(offsets) - 1), np.diff(begins))
     for size in NGRAMS:
-        if len(data) < size:
+        if len(points) < size:
             continue
-        key = np.full(len(data) - size + 1, size, U64)
+        key = np.full(len(points) - size + 1, size, U64)
         for k in range(size):
-            key = (key << U64(8)) | wide[k : k + len(key)]
-        h = ((key * U64(0x9E3779B97F4A7C15)) >> shift).astype(np.int32)
-        text = np.repeat(np.arange(n), np.diff(offsets))[: len(key)]
-        inside = np.arange(len(key)) + size <= offsets[text + 1]
-        yield h[inside], text[inside]
+            key = key * U64(0x100000001B3) + points[k : k + len(key)]
+        own = text[: len(key)]
+        inside = np.arange(len(key)) + size <= begins[own + 1]
+        yield ((mix(key) >> shift).astype(np.int32))[inside], own[inside]
 
 
 class Model:
@@ -81,11 +86,11 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
             ids = order[b : b + 16]
             f = np.concatenate([rows[i] for i in ids])
             w = np.concatenate([weights[i] for i in ids])[:, None]
-            of = np.repeat(np.arange(len(ids)), [len(rows[i]) for i in ids])
-            hidden = np.zeros((len(ids), DIM), np.float32)
-            picked = embed[f] * w
-            for d in range(DIM):
-                hidden[:, d] = np.bincount(of, weights=picked[:, d], minlength=len(ids))
+            sizes = np.array([len(rows[i]) for i in ids])
+            of = np.repeat(np.arange(len(ids)), sizes)
+            hidden, some = np.zeros((len(ids), DIM), np.float32), np.flatnonzero(sizes)
+            if len(f):
+                hidden[some] = np.add.reduceat(embed[f] * w, (np.cumsum(sizes) - sizes)[some], axis=0)
             z = hidden @ layer + bias
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
@@ -93,7 +98,10 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
             back = g @ layer.T
             layer -= rate * hidden.T @ g
             bias -= 0.1 * rate * g.mean(axis=0)
-            np.subtract.at(embed, f, rate * 20 * w * back[of])  # averages are small: features get a larger step
+            if len(f):  # averages are small: features get a larger step; those of one feature are added up first
+                by = np.argsort(f, kind="stable")
+                first = np.flatnonzero(np.concatenate([[True], f[by][1:] != f[by][:-1]]))
+                embed[f[by[first]]] -= np.add.reduceat((rate * 20 * w * back[of])[by], first, axis=0)
     return Model(embed @ (layer[:, 1] - layer[:, 0]), bias[1] - bias[0])
 
 
