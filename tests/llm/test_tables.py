@@ -147,6 +147,8 @@ def test_url_rules(spark):
         best = max(fits, default=(0, None, "allow"))
         assert tuple(r.judged) == (host, path, best[1], best[2])
     assert url_rules.judge(df, rules).count() == len(urls) + 1 and url_rules.judge(df, rules).columns == [*df.columns, "judged"]
+    again = url_rules.judge(url_rules.judge(df, rules), rules)
+    assert again.columns == [*df.columns, "judged", "judged_"] and again.where("judged_.rule is distinct from judged.rule").count() == 0
     assert url_rules.judge(df.limit(0), rules).count() == 0
     assert {r.judged.rule for r in url_rules.judge(df, rules.limit(0)).collect()} == {None}
 

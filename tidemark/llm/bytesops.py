@@ -101,8 +101,3 @@ def runs(mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     before = inner[inner > 0] - 1
     last[before] = mask[before]
     return np.flatnonzero(first), np.flatnonzero(last) + 1
-
-
-def per_text(positions: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """How many of the sorted ``positions`` fall into each text."""
-    return np.diff(np.searchsorted(positions, offsets))

@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.session import fresh
+
 MOST_RULES = 100_000
 
 
@@ -57,8 +59,8 @@ def _nested(rules: DataFrame) -> DataFrame:
     return up.join(outer, "outer").groupBy("key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("outer", "theirs"))), lambda x: x["theirs"])).alias("stack"))
 
 
-def judge(pages: DataFrame, rules: DataFrame, *, url_col: str = "url", default: str = "allow") -> DataFrame:
-    """``pages`` with a struct column ``judged``: host, path, rule, verdict. rules: host, path, verdict."""
+def judge(pages: DataFrame, rules: DataFrame, *, url_col: str = "url", default: str = "allow", into: str = "judged") -> DataFrame:
+    """``pages`` with a struct column ``into`` (underscores are added if that name is taken): host, path, rule, verdict. rules: host, path, verdict."""
     spark = pages.sparkSession
     rules = rules.where("host is not null and path is not null").select(F.lower("host").alias("host"), "path", "verdict")
     rules = rules.groupBy("host", "path").agg(F.max("verdict").alias("verdict"))  # block is above allow
@@ -71,7 +73,7 @@ def judge(pages: DataFrame, rules: DataFrame, *, url_col: str = "url", default:
         part = rules if blocks == 1 else rules.where(F.pmod(F.xxhash64("rule"), F.lit(blocks)) == b)
         out = _sweep(spark, out, part)
     best = F.col("best")
-    return out.select("page.*", F.struct("host", "path", best["text"].alias("rule"), F.coalesce(best["verdict"], F.lit(default)).alias("verdict")).alias("judged"))
+    return out.select("page.*", F.struct("host", "path", best["text"].alias("rule"), F.coalesce(best["verdict"], F.lit(default)).alias("verdict")).alias(fresh(into, pages.columns)))
 
 
 def _sweep(spark: SparkSession, urls: DataFrame, rules: DataFrame) -> DataFrame:
