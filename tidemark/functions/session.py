@@ -56,6 +56,38 @@ def written(df: DataFrame) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+class Workspace:
+    """The tables of one call, in a folder of its own within the shared folder. ``with Workspace(spark) as work`` deletes the folder at the end,
+    also after a failure; what is to stay is written with ``result``, beside it."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path, self._made = spark, f"{shared_folder(spark)}/work-{uuid.uuid4().hex}", 0
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *_) -> None:
+        remove(self.spark, self.path)
+
+    def table(self, df: DataFrame) -> DataFrame:
+        """``df`` as a table that lasts as long as this workspace, read again."""
+        self._made += 1
+        return self._write(df, f"{self.path}/{self._made}")
+
+    def result(self, df: DataFrame) -> DataFrame:
+        """``df`` as a table of its own, which stays."""
+        return self._write(df, f"{shared_folder(self.spark)}/result-{uuid.uuid4().hex}")
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes tables of this workspace that nothing reads any more."""
+        for path in {p.rsplit("/", 1)[0] for t in tables for p in t.inputFiles() if f"{self.path}/" in p}:
+            remove(self.spark, path)
+
+    def _write(self, df: DataFrame, path: str) -> DataFrame:
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop shuffle and checkpoint files of data that nothing refers to any more. In long loops they would
     stay until the driver happens to collect its garbage."""
