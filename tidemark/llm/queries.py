@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import ann as _ann
@@ -13,8 +13,10 @@ from tidemark.llm import decontaminate as _decontaminate
 from tidemark.llm import html_extract as _html
 from tidemark.llm import license_scan as _license
 from tidemark.llm import neardup as _neardup
+from tidemark.llm import periodic as _periodic
 from tidemark.llm import quality as _quality
 from tidemark.llm import url_rules as _url
+from tidemark.llm import whitening as _whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,7 +89,38 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _neardup.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extract, op2_quality, op3_url_rules, op4_bpe, op5_language_model, op6_chat_format, op7_decontaminate, op8_license_scan, op9_nearest, op10_near_duplicates)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = _whitening.fit(vectors)
+    rows = _whitening.transform(vectors, model).select("vec_id", F.explode(_whitening.by_component(model, F.col("whitened"))).alias("c"))
+    return rows.select("vec_id", "c.component", "c.n", F.expr("try_cast(c.deviation as bigint)").alias("deviation"), "c.whitened", "c.explained", "c.identity_error")
+
+
+def planted(text: Column, doc_id: Column) -> Column:
+    """In a tenth of the documents, told by their ids, all words from some place on repeat those from there on with a period."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.filter(F.split(text, "[ \t-\r]+"), lambda w: w != "")
+    n = F.size(words)
+    a = (g % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    rounds = F.ceil((n - a) / p).cast("int")
+    periodic = F.array_join(F.concat(F.slice(words, 1, a), F.slice(F.flatten(F.array_repeat(F.slice(words, a + 1, p), rounds)), 1, n - a)), " ")
+    return F.when((h % 10 == 0) & F.coalesce(n > 0, F.lit(False)), periodic).otherwise(text)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", planted(F.col("text"), F.col("doc_id")).alias("text"))
+    return _periodic.find_runs(docs).select("doc_id", *_periodic.digests(F.col("periodic")))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_html_extract, op2_quality, op3_url_rules, op4_bpe, op5_language_model, op6_chat_format, op7_decontaminate, op8_license_scan, op9_nearest, op10_near_duplicates,
+        op11_whitening, op13_periodic_runs,
+    )
+}
 
 _AZ = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "regexp_extract_all(" + _AZ + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
