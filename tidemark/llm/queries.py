@@ -10,6 +10,7 @@ from tidemark.llm import bpe as _bpe
 from tidemark.llm import chat as _chat
 from tidemark.llm import ctw as _ctw
 from tidemark.llm import decontaminate as _decontaminate
+from tidemark.llm import grid_join as _grid
 from tidemark.llm import html_extract as _html
 from tidemark.llm import license_scan as _license
 from tidemark.llm import neardup as _neardup
@@ -96,6 +97,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", "c.component", "c.n", F.expr("try_cast(c.deviation as bigint)").alias("deviation"), "c.whitened", "c.explained", "c.identity_error")
 
 
+def op12_vector_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _grid.near_vectors(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")).select("vec_id", "linked.*")
+
+
 def planted(text: Column, doc_id: Column) -> Column:
     """In a tenth of the documents, told by their ids, all words from some place on repeat those from there on with a period."""
     h = F.crc32(doc_id.cast("string").cast("binary"))
@@ -118,7 +123,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_html_extract, op2_quality, op3_url_rules, op4_bpe, op5_language_model, op6_chat_format, op7_decontaminate, op8_license_scan, op9_nearest, op10_near_duplicates,
-        op11_whitening, op13_periodic_runs,
+        op11_whitening, op12_vector_duplicates, op13_periodic_runs,
     )
 }
 
