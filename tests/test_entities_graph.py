@@ -117,51 +117,112 @@ def _modularity(pairs, of):
     return inside / m - sum(k * k for k in degree.values()) / (4 * m * m)
 
 
-def test_communities_in_one_task_and_over_all(spark, monkeypatch):
+def _sequential(pairs):
+    """Communities by moving one node at a time, level by level; a plain version to be held against."""
+    m = sum(w for *_, w in pairs)
+    of = {x: x for a, b, _ in pairs for x in (a, b)}
+    while True:
+        near, loops = {}, {}
+        for a, b, w in pairs:
+            a, b = of[a], of[b]
+            if a == b:
+                loops[a] = loops.get(a, 0) + w
+                near.setdefault(a, {})
+            else:
+                for x, y in ((a, b), (b, a)):
+                    near.setdefault(x, {})[y] = near.get(x, {}).get(y, 0) + w
+        k = {x: sum(ys.values()) + 2 * loops.get(x, 0) for x, ys in near.items()}
+        home, total, moved, again = {x: x for x in near}, dict(k), False, True
+        while again:
+            again = False
+            for x in sorted(near):
+                to = {}
+                for y, w in near[x].items():
+                    to[home[y]] = to.get(home[y], 0) + w
+                total[home[x]] -= k[x]
+                best = max(sorted({home[x], *to}), key=lambda c: (round(to.get(c, 0) - total[c] * k[x] / (2 * m), 9), c == home[x]))
+                total[best] += k[x]
+                if best != home[x]:
+                    home[x], moved, again = best, True, True
+        if not moved:
+            return of
+        of = {x: home[c] for x, c in of.items()}
+
+
+def _hangs_together(members, near):
+    seen, todo = set(), [next(iter(members))]
+    while todo:
+        x = todo.pop()
+        if x not in seen:
+            seen.add(x)
+            todo += [y for y in near[x] if y in members]
+    return seen == members
+
+
+@pytest.mark.parametrize("case", ["groups", "orders", "hub"])
+def test_communities_against_one_node_at_a_time(spark, case):
     rng = random.Random(9)
-    rows = []  # four groups of entities that share transactions, and few between them
-    for i in range(240):
-        g = rng.randrange(4)
-        other = g if rng.random() < 0.95 else rng.randrange(4)
-        rows.append((i, f"a{g}{rng.randrange(4)}", f"b{other}{rng.randrange(4)}"))
-    rows.append((900, "far", None))
+    if case == "groups":  # four groups of entities that share transactions, and few between them
+        rows = []
+        for i in range(240):
+            g = rng.randrange(4)
+            other = g if rng.random() < 0.95 else rng.randrange(4)
+            rows.append((i, f"a{g}{rng.randrange(4)}", f"b{other}{rng.randrange(4)}"))
+    elif case == "orders":
+        from tidemark.plans.surrogate import order_entities
+
+        rows = [(r.txn, r.customer, r.cell) for r in order_entities(spark, "/root/testdata/sf0.001").collect()]
+    else:  # half of all edges are those of one entity
+        rows = [(i, "hub" if i % 2 else f"a{i % 30}", f"b{i % 60}") for i in range(600)]
+    rows.append((-1, "far", None))
     edges = graph.bipartite_edges(spark.createDataFrame(rows, "txn bigint, a string, b string"), "txn", ["a", "b"]).cache()
     projected = graph.projection(edges).cache()
     pairs = [((r.src.entity_col, r.src.entity_value), (r.dst.entity_col, r.dst.entity_value), r.weight) for r in projected.collect()]
-    found = []
-    monkeypatch.setattr(graph, "LEVELS", 3)
-    for most in (10**6, 0):
-        monkeypatch.setattr(graph, "TASK_EDGES", most)
-        got = {(r.entity_col, r.entity_value): r.community_id for r in graph.communities(edges, projected).collect()}
-        assert len(got) == 33 and sorted(set(got.values())) == list(range(max(got.values()) + 1))
-        assert list(got.values()).count(got["a", "far"]) == 1
-        found.append(_modularity(pairs, got))
-    own = {x: x[1][1] for a, b, _ in pairs for x in (a, b)}
-    assert min(found) >= 0.95 * _modularity(pairs, own) > 0.5  # the groups that were put in
-
-
-def test_components_of_all_orders(spark):
-    from tidemark.plans.queries import component_size
-    from tidemark.plans.surrogate import order_entities
-
-    up = {}
-
-    def find(x):
-        up.setdefault(x, x)
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    sf = "/root/testdata/sf0.001"
-    rows = order_entities(spark, sf).select("txn", "customer", "cell").collect()
-    assert len(rows) == spark.read.parquet(f"{sf}/orders.parquet").count()
-    for r in rows:
-        for e in (("customer", r.customer), ("cell", r.cell)):
-            if e[1] is not None:
-                up[find(("t", r.txn))] = find(e)
-    sizes = {}
-    for x in list(up):
-        sizes[find(x)] = sizes.get(find(x), 0) + 1
-    expected = {x: sizes[find(x)] for x in list(up) if x[0] != "t"}
-    assert {(r.entity_col, r.entity_value): r.component_size for r in component_size(spark, sf).collect()} == expected
+    got = {(r.entity_col, r.entity_value): r.community_id for r in graph.communities(edges, projected).collect()}
+    assert len(got) == edges.select("entity_col", "entity_value").distinct().count()
+    assert sorted(set(got.values())) == list(range(max(got.values()) + 1)) and list(got.values()).count(got["a", "far"]) == 1
+    assert _modularity(pairs, got) >= 0.98 * _modularity(pairs, _sequential(pairs)) > 0
+    near, members = {}, {}
+    for a, b, _ in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    for x, c in got.items():
+        members.setdefault(c, set()).add(x)
+    assert all(_hangs_together(xs, near | {("a", "far"): set()}) for xs in members.values())
+
+
+def test_a_community_is_cut_where_it_does_not_hang_together(spark):
+    from tidemark.functions.session import Workspace
+    from tidemark.operators import communities
+
+    edges = spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0), (4, 5, 1.0), (3, 6, 1.0)], "src bigint, dst bigint, w double")
+    names = spark.createDataFrame([(1, 1), (2, 1), (3, 6), (4, 1), (5, 1), (6, 6), (7, 1)], "v bigint, name bigint")
+    with Workspace(spark) as work:
+        got = {r.v: r.name for r in communities._connected(edges, names, work).collect()}
+        assert communities._modularity_of(edges, names, 4.0) == pytest.approx(3 / 4 - (5**2 + 3**2) / 64)
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4, 6: 3, 7: 7}
+
+
+def test_numbers_in_order(spark):
+    from tidemark.functions.order import numbered
+    from tidemark.functions.session import Workspace
+
+    df = spark.createDataFrame([(f"x{i * 7 % 101:03d}", i) for i in range(101)], "Part string, offset int").repartition(3)
+    with Workspace(spark) as work:
+        out, n = numbered(df, ["Part"], "e", work)
+        assert n == 101 and out.columns == ["Part", "offset", "e"]
+        assert [r.Part for r in out.orderBy("e").collect()] == [f"x{i:03d}" for i in range(101)] and {r.e for r in out.collect()} == set(range(101))
+        assert numbered(df.limit(0), ["Part"], "e", work)[1] == 0
+
+
+def test_nothing_but_the_result_stays(spark):
+    import os
+
+    from tidemark.functions.session import shared_folder
+
+    df = spark.createDataFrame([(i, f"a{i % 3}", f"b{i % 5}") for i in range(30)], "txn bigint, a string, b string")
+    folder = shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    out = graph.entity_features(df, "txn", ["a", "b"])
+    new = set(os.listdir(folder)) - before
+    assert len(new) == 1 and new.pop().startswith("result-") and out.count() == 8

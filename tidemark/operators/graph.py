@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.session import durable, remove, written
+from tidemark.functions.order import numbered
+from tidemark.functions.session import Workspace
+from tidemark.operators.communities import louvain
 from tidemark.operators.components import connected_components
 
 STATS = ("degree", "component_size", "community_id", "clustering_coeff")
 ENTITY = ["entity_col", "entity_value"]
-#: A component with at most so many projection edges is partitioned within one task, a larger one by moves over all tasks.
-TASK_EDGES = 1_000_000
-#: Bounds of the moves over all tasks: rounds of one level, and levels.
-ROUNDS, LEVELS = 8, 12
 
 
 def bipartite_edges(df: DataFrame, id_col: str, entity_cols: list[str]) -> DataFrame:
@@ -39,24 +35,58 @@ def degrees(edges: DataFrame) -> DataFrame:
 def projection(edges: DataFrame) -> DataFrame:
     """Entity pairs that share a transaction, and how many they share. A transaction has at most one entity per column,
     so this is linear in the transactions."""
-    a = edges.select("txn_id", F.struct(*ENTITY).alias("src"))
-    b = edges.select("txn_id", F.struct(*ENTITY).alias("dst"))
+    return _pairs(edges.select("txn_id", F.struct(*ENTITY).alias("e")))
+
+
+def _pairs(edges: DataFrame) -> DataFrame:
+    """(src, dst, weight) of (txn_id, e)."""
+    a, b = edges.select("txn_id", F.col("e").alias("src")), edges.select("txn_id", F.col("e").alias("dst"))
     return a.join(b, "txn_id").where("src < dst").groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
 
+def entity_numbers(edges: DataFrame, work: Workspace) -> tuple[DataFrame, int]:
+    """(entity_col, entity_value, e): the entities numbered in their order, and how many there are. Rounds over the graph shuffle
+    numbers, not texts."""
+    numbers, n = numbered(edges.select(*ENTITY).distinct(), ENTITY, "e", work)
+    return work.table(numbers), n
+
+
+def coded_pairs(pairs: DataFrame, entities: DataFrame) -> DataFrame:
+    """A projection of entities by their numbers."""
+    for end in ("src", "dst"):
+        number = entities.select(F.struct(*ENTITY).alias(end), F.col("e").alias(f"{end}_e"))
+        pairs = pairs.join(number, end)
+    return pairs.select(F.col("src_e").alias("src"), F.col("dst_e").alias("dst"), "weight")
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(entity_col, entity_value, component, component_size): size counts transactions and entities."""
-    node = F.to_json(F.array(F.col("entity_col"), F.col("entity_value")))
-    links = edges.select(F.concat(F.lit("t"), F.col("txn_id").cast("string")).alias("src"), F.concat(F.lit("e"), node).alias("dst"))
-    parts = durable(connected_components(links))
-    sizes = parts.groupBy("component").agg(F.count("*").alias("component_size"))
-    own = edges.select(*ENTITY).distinct().withColumn("node", F.concat(F.lit("e"), node))
-    return own.join(parts, "node").join(sizes, "component").select(*ENTITY, "component", "component_size")
+    """(entity_col, entity_value, component, component_size): size counts transactions and entities; component is the number of its
+    smallest entity in the order of all."""
+    with Workspace(edges.sparkSession) as work:
+        entities, _ = entity_numbers(edges, work)
+        coded = work.table(edges.join(entities, ENTITY).select("txn_id", "e"))
+        return work.result(entities.join(_component_sizes(coded, work), "e").select(*ENTITY, "component", "component_size"))
+
+
+def _component_sizes(coded: DataFrame, work: Workspace) -> DataFrame:
+    """(e, component, component_size) of (txn_id, e). A transaction links its smallest entity with each other one, so it need not be a node."""
+    heads = work.table(coded.groupBy("txn_id").agg(F.min("e").alias("head")))
+    links = coded.join(heads, "txn_id").select(F.col("head").alias("src"), F.col("e").alias("dst"))
+    parts = connected_components(links, work=work)
+    of = parts.select(F.col("node").alias("e"), "component")
+    members = of.groupBy("component").agg(F.count("*").alias("entities"))
+    crossed = heads.groupBy(F.col("head").alias("e")).agg(F.count("*").alias("n")).join(of, "e").groupBy("component").agg(F.sum("n").alias("transactions"))
+    sizes = members.join(crossed, "component").select("component", (F.col("entities") + F.col("transactions")).alias("component_size"))
+    return of.join(sizes, "component").select("e", "component", "component_size")
 
 
 def clustering(pairs: DataFrame) -> DataFrame:
-    """(entity_col, entity_value, clustering_coeff) of entities in the projection. Each triangle is found once, from its
-    corner of least degree, so hubs make no quadratic number of paths."""
+    """(entity_col, entity_value, clustering_coeff) of entities in the projection."""
+    return _clustering(pairs).select("n.*", "clustering_coeff")
+
+
+def _clustering(pairs: DataFrame) -> DataFrame:
+    """(n, clustering_coeff). Each triangle is found once, from its corner of least degree, so hubs make no quadratic number of paths."""
     ends = pairs.select(F.explode(F.array("src", "dst")).alias("n"))
     k = ends.groupBy("n").agg(F.count("*").alias("k"))
     ks, kd = k.select(F.col("n").alias("src"), F.col("k").alias("ks")), k.select(F.col("n").alias("dst"), F.col("k").alias("kd"))
@@ -68,176 +98,45 @@ def clustering(pairs: DataFrame) -> DataFrame:
     closed = open_.join(directed.select(F.col("u").alias("x"), F.col("v").alias("y")), ["x", "y"])
     corners = closed.select(F.explode(F.array("u", "x", "y")).alias("c")).groupBy(F.col("c.src").alias("n")).agg(F.count("*").alias("t"))
     value = F.when(F.col("k") > 1, 2.0 * F.coalesce("t", F.lit(0)) / (F.col("k") * (F.col("k") - 1))).otherwise(0.0)
-    return k.join(corners, "n", "left").select("n.*", value.alias("clustering_coeff"))
-
-
-def _louvain(n: int, edges: list[tuple[int, int, float]], m: float) -> list[int]:
-    """Modularity communities by local moves and contraction; m is the edge weight of the whole graph. Deterministic."""
-    label = list(range(n))
-    group_of = list(range(n))
-    adjacency: list[dict[int, float]] = [{} for _ in range(n)]
-    loops = [0.0] * n
-    for a, b, w in edges:
-        adjacency[a][b] = adjacency[a].get(b, 0.0) + w
-        adjacency[b][a] = adjacency[b].get(a, 0.0) + w
-    while True:
-        size = len(adjacency)
-        k = [sum(x.values()) + 2 * s for x, s in zip(adjacency, loops, strict=True)]
-        home, total, moved = list(range(size)), k[:], False
-        while True:
-            gained = 0.0
-            for v in range(size):
-                weights: dict[int, float] = {}
-                for u, w in adjacency[v].items():
-                    weights[home[u]] = weights.get(home[u], 0.0) + w
-                old = home[v]
-                total[old] -= k[v]
-                best, most = old, weights.get(old, 0.0) - total[old] * k[v] / (2 * m)
-                stay = most
-                for c in sorted(weights):
-                    gain = weights[c] - total[c] * k[v] / (2 * m)
-                    if gain > most + 1e-12:
-                        best, most = c, gain
-                total[best] += k[v]
-                if best != old:
-                    home[v], moved = best, True
-                    gained += (most - stay) / m
-            if gained <= 1e-7:
-                break
-        if not moved:
-            break
-        names = {c: i for i, c in enumerate(sorted(set(home)))}
-        fold: list[dict[int, float]] = [{} for _ in names]
-        inner = [0.0] * len(names)
-        for v in range(size):
-            c = names[home[v]]
-            inner[c] += loops[v]
-            for u, w in adjacency[v].items():
-                d = names[home[u]]
-                if c == d:
-                    inner[c] += w / 2
-                else:
-                    fold[c][d] = fold[c].get(d, 0.0) + w
-        group_of = [names[home[g]] for g in group_of]
-        adjacency, loops = fold, inner
-        label = group_of
-    return label
-
-
-def communities(edges: DataFrame, pairs: DataFrame, parts: DataFrame | None = None) -> DataFrame:
-    """(entity_col, entity_value, community_id): -1 for all if no two entities share a transaction; else Louvain within each
-    component of the projection, with the weight of the whole graph. An id is the rank of the community's smallest member."""
-    entities = edges.select(F.struct(*ENTITY).alias("e")).distinct()
-    m = pairs.agg(F.sum("weight")).first()[0]
-    if not m:
-        return entities.select("e.*", F.lit(-1).cast("bigint").alias("community_id"))
-    text = F.to_json
-    linked = pairs.select(text("src").alias("src"), text("dst").alias("dst"), F.col("weight").cast("double").alias("weight"))
-    own = durable(connected_components(linked))
-    sized = linked.join(own.select(F.col("node").alias("src"), "component"), "src")
-    large = durable(sized.groupBy("component").count().where(F.col("count") > TASK_EDGES).select("component"))
-    weight = float(m)
-
-    def solve(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["src", "dst"])
-        names = np.unique(np.concatenate([frame["src"], frame["dst"]]).astype(str))
-        at = {x: i for i, x in enumerate(names)}
-        label = _louvain(len(names), [(at[a], at[b], float(w)) for a, b, w in zip(frame["src"], frame["dst"], frame["weight"], strict=True)], weight)
-        first: dict[int, str] = {}
-        for x, c in zip(names, label, strict=True):
-            first.setdefault(c, x)
-        return pd.DataFrame({"node": names, "community": [first[c] for c in label]})
-
-    solved = sized.join(large, "component", "left_anti").groupBy("component").applyInPandas(solve, "node string, community string")
-    if not large.isEmpty():
-        solved = solved.union(spread_louvain(sized.join(large, "component", "left_semi").select("src", "dst", "weight"), weight))
-    named = entities.withColumn("node", text("e")).join(solved, "node", "left").withColumn("community", F.coalesce("community", "node"))
-    ids = dense_ids(named.select("community").distinct())
-    return named.join(ids, "community").select("e.*", F.col("id").alias("community_id"))
-
-
-def spread_louvain(edges: DataFrame, m: float) -> DataFrame:
-    """(node, community) by modularity, for (src, dst, weight) of any size, every step a join or a group-by; m is the edge weight of the whole graph.
-
-    In a round each node looks at the communities of its neighbours, and of the nodes that gain by a move half, told by hash and round,
-    make it, then the other half; so two neighbours seldom swap places. A level ends when modularity gains no more, its last round is not taken then; communities are
-    the nodes of the next level. A community's name is its smallest node. Hubs cost no more than their edges: all sums are combined before the shuffle."""
-    spark, old = edges.sparkSession, []  # tables that nothing needs any more
-
-    def once(df: DataFrame) -> DataFrame:
-        table, path = written(df)
-        old.append(path)
-        return table
-
-    def forget(keep: int) -> None:
-        for path in old[: len(old) - keep]:
-            remove(spark, path)
-        del old[: len(old) - keep]
-
-    own = once(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("community", F.col("node")))
-    now = once(edges.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.sum("weight").alias("w")))
-    for _ in range(LEVELS):
-        # both ways; what lies within a node counts twice for its degree
-        both = now.where("src <> dst").select(F.col("src").alias("v"), F.col("dst").alias("u"), "w").union(now.where("src <> dst").select("dst", "src", "w"))
-        ends = now.select(F.explode(F.array("src", "dst")).alias("v"), "w")
-        degree = once(ends.groupBy("v").agg(F.sum("w").alias("k")))
-        home = degree.select("v", F.col("v").alias("c"))
-        start = before = _modularity(now, home, degree, m)
-        for i in range(ROUNDS):
-            new = once(_half_moves(once(_half_moves(home, both, degree, m, 2 * i)), both, degree, m, 2 * i + 1))
-            value = _modularity(now, new, degree, m)
-            if value <= before + 1e-7:
-                break
-            home, before = new, value
-        if before <= start + 1e-7:
-            break
-        names = once(home.groupBy("c").agg(F.min("v").alias("name")).join(home, "c").select("v", "name"))
-        own = once(own.join(names.select(F.col("v").alias("community"), "name"), "community").select("node", F.col("name").alias("community")))
-        a, b = names.select(F.col("v").alias("src"), F.col("name").alias("a")), names.select(F.col("v").alias("dst"), F.col("name").alias("b"))
-        now = once(now.join(a, "src").join(b, "dst").groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.sum("w").alias("w")))
-        forget(2)  # own and now
-    return own
-
-
-def _half_moves(home: DataFrame, both: DataFrame, degree: DataFrame, m: float, i: int) -> DataFrame:
-    """(v, c) after the nodes of half i went where they gain most; ties stay, then go to the greater name."""
-    mine = home.join(degree, "v").select("v", F.col("c").alias("at"), "k")
-    totals = mine.groupBy(F.col("at").alias("c")).agg(F.sum("k").alias("total"))
-    # the node's own community is looked at even if no neighbour is in it
-    near = both.join(home.select(F.col("v").alias("u"), "c"), "u").select("v", "c", "w").union(home.select("v", "c", F.lit(0.0)))
-    weighed = near.groupBy("v", "c").agg(F.sum("w").alias("w")).join(totals, "c").join(mine, "v")
-    stay = F.col("c") == F.col("at")
-    gain = F.round(F.col("w") - (F.col("total") - F.when(stay, F.col("k")).otherwise(0.0)) * F.col("k") / (2 * m), 9)
-    choice = weighed.groupBy("v").agg(F.max(F.struct(gain.alias("gain"), stay.alias("stay"), F.col("c").alias("c"))).alias("b"), F.first("at").alias("at"))
-    return choice.select("v", F.when(F.pmod(F.xxhash64("v", F.lit(i // 2)), F.lit(2)) == i % 2, F.col("b.c")).otherwise(F.col("at")).alias("c"))
-
-
-def _modularity(edges: DataFrame, home: DataFrame, degree: DataFrame, m: float) -> float:
-    a, b = home.select(F.col("v").alias("src"), F.col("c").alias("a")), home.select(F.col("v").alias("dst"), F.col("c").alias("b"))
-    inside = edges.join(a, "src").join(b, "dst").where("a = b").select(F.col("a").alias("c"), "w", F.lit(0.0).alias("k"))
-    both = inside.union(home.join(degree, "v").select("c", F.lit(0.0), "k")).groupBy("c").agg(F.sum("w").alias("w"), F.sum("k").alias("k"))
-    w, k = both.agg(F.coalesce(F.sum("w"), F.lit(0.0)), F.coalesce(F.sum(F.col("k") * F.col("k")), F.lit(0.0))).first()
-    return w / m - k / (4 * m * m)
-
-
-def dense_ids(names: DataFrame) -> DataFrame:
-    """(community, id): ranks from 0 without a window over all rows: ranges are counted, then each is numbered."""
-    n = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = durable(names.repartitionByRange(n, "community").withColumn("p", F.spark_partition_id()))
-    from pyspark.sql import Window
-
-    counts = ranged.groupBy("p").count()
-    before = counts.withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("p", "before")
-    return ranged.withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy("community"))).join(F.broadcast(before), "p").select("community", (F.col("r") - 1 + F.col("before")).cast("bigint").alias("id"))
-
-
-def entity_features(df: DataFrame, id_col: str, entity_cols: list[str]) -> DataFrame:
-    """One row for each entity: degree, component_size, community_id, clustering_coeff."""
-    edges = durable(bipartite_edges(df, id_col, entity_cols))
-    pairs = durable(projection(edges))
-    parts = components(edges)
-    out = degrees(edges).join(parts.select(*ENTITY, "component_size"), ENTITY).join(communities(edges, pairs), ENTITY).join(clustering(pairs), ENTITY, "left")
-    return out.select(*ENTITY, "degree", "component_size", "community_id", F.coalesce("clustering_coeff", F.lit(0.0)).alias("clustering_coeff"))
+    return k.join(corners, "n", "left").select("n", value.alias("clustering_coeff"))
+
+
+def communities(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(entity_col, entity_value, community_id): -1 for all if no two entities share a transaction; else communities of the projection by
+    modularity, an entity without a neighbour being one of its own. An id is the rank of the community's smallest member."""
+    with Workspace(edges.sparkSession) as work:
+        entities, _ = entity_numbers(edges, work)
+        if pairs.isEmpty():
+            return work.result(entities.select(*ENTITY, F.lit(-1).cast("bigint").alias("community_id")))
+        return work.result(entities.join(_community_ids(entities, coded_pairs(pairs, entities), work), "e").select(*ENTITY, "community_id"))
+
+
+def _community_ids(entities: DataFrame, pairs: DataFrame, work: Workspace) -> DataFrame:
+    """(e, community_id) of numbered entities and pairs of them."""
+    found = louvain(pairs, work)
+    named = work.table(entities.select("e").join(found, F.col("e") == F.col("node"), "left").select("e", F.coalesce("community", "e").alias("community")))
+    ids, _ = numbered(named.select("community").distinct(), ["community"], "community_id", work)
+    return named.join(ids, "community").select("e", "community_id")
+
+
+def entity_features(df: DataFrame, id_col: str, entity_cols: list[str], stats: tuple[str, ...] | list[str] = STATS) -> DataFrame:
+    """One row for each entity, with the given statistics: degree, component_size, community_id, clustering_coeff."""
+    with Workspace(df.sparkSession) as work:
+        edges = work.table(bipartite_edges(df, id_col, entity_cols))
+        entities, _ = entity_numbers(edges, work)
+        coded = work.table(edges.join(entities, ENTITY).select("txn_id", "e"))
+        out = entities
+        if "degree" in stats:
+            out = out.join(coded.groupBy("e").agg(F.count("*").alias("degree")), "e")
+        if "component_size" in stats:
+            out = out.join(_component_sizes(coded, work), "e")
+        if "community_id" in stats or "clustering_coeff" in stats:
+            pairs = work.table(_pairs(coded))
+        if "community_id" in stats:
+            out = out.withColumn("community_id", F.lit(-1).cast("bigint")) if pairs.isEmpty() else out.join(_community_ids(entities, pairs, work), "e")
+        if "clustering_coeff" in stats:
+            out = out.join(_clustering(pairs).withColumnRenamed("n", "e"), "e", "left").withColumn("clustering_coeff", F.coalesce("clustering_coeff", F.lit(0.0)))
+        return work.result(out.select(*ENTITY, *[s for s in STATS if s in stats]))
 
 
 def transaction_entity_features(df: DataFrame, entity_cols: list[str], features: DataFrame) -> DataFrame:

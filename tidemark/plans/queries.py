@@ -177,7 +177,20 @@ def entity_degree(spark, sf):
     return graph.degrees(graph.bipartite_edges(order_entities(spark, sf), "txn", THREE))
 
 
-@query()
+def _component_ctes(kinds: list[str]) -> str:
+    """Labels go to the smaller neighbour 40 times, which is enough for graphs of so many links across."""
+    ends = " UNION ".join(f"SELECT '{k}' || chr(1) || {k} AS x FROM o WHERE {k} IS NOT NULL" for k in kinds)
+    first = "coalesce(" + ", ".join(f"'{k}' || chr(1) || {k}" for k in kinds) + ")"
+    links = " UNION ".join(f"SELECT DISTINCT {first} AS a, '{k}' || chr(1) || {k} AS b FROM o WHERE {k} IS NOT NULL" for k in kinds)
+    return f""", link AS ({links}), ent AS (SELECT x, row_number() OVER (ORDER BY x) AS n FROM ({ends})),
+num AS MATERIALIZED (SELECT p.n AS a, q.n AS b FROM link JOIN ent p ON p.x = a JOIN ent q ON q.x = b), near AS MATERIALIZED (SELECT a, b FROM num UNION ALL SELECT b, a FROM num),
+step(i, n, label) AS (SELECT 0, n, n FROM ent UNION ALL SELECT i + 1, s.a, min(label) FROM step JOIN near s ON s.b = step.n WHERE i < 40 GROUP BY i, s.a),
+comp AS (SELECT n, label FROM step WHERE i = 40),
+crossed AS (SELECT label, count(*) AS t FROM o JOIN ent ON x = {first} JOIN comp USING (n) GROUP BY label), sized AS (SELECT label, count(*) AS e FROM comp GROUP BY label),
+size AS (SELECT split_part(x, chr(1), 1) AS entity_col, split_part(x, chr(1), 2) AS entity_value, e + t AS component_size FROM ent JOIN comp USING (n) JOIN sized USING (label) JOIN crossed USING (label))"""
+
+
+@query("SELECT entity_col, entity_value, component_size FROM size", ORDERS_SQL + _component_ctes(TWO))
 def component_size(spark, sf):
     return graph.components(graph.bipartite_edges(order_entities(spark, sf), "txn", TWO)).select("entity_col", "entity_value", "component_size")
 
@@ -238,6 +251,15 @@ def louvain_contract(spark, sf):
     return last.select("entities", F.lit(alone.count()).cast("bigint").alias("alone"), "without_community", F.lit(spanning.count()).cast("bigint").alias("spanning"), F.col("gaps").cast("bigint").alias("gaps"), F.lit(gains).alias("gains"))
 
 
+@query("""SELECT entity_col, entity_value, degree, component_size, round(coalesce(c, 0), 6) AS clustering_coeff FROM size
+  JOIN (SELECT entity_col, entity_value, count(*) AS degree FROM edge GROUP BY ALL) USING (entity_col, entity_value)
+  LEFT JOIN (SELECT split_part(k.x, chr(1), 1) AS entity_col, split_part(k.x, chr(1), 2) AS entity_value, CASE WHEN k > 1 THEN 2.0 * coalesce(t, 0) / (k * (k - 1)) ELSE 0 END AS c FROM k LEFT JOIN tri USING (x)) USING (entity_col, entity_value)""", _CLUSTER + _component_ctes(THREE))
+def entity_statistics(spark, sf):
+    """All statistics but the community, of all entities."""
+    out = graph.entity_features(order_entities(spark, sf), "txn", THREE, [s for s in graph.STATS if s != "community_id"])
+    return out.withColumn("clustering_coeff", six("clustering_coeff"))
+
+
 @query("SELECT o.txn, a.n AS customer_degree, b.n AS cell_degree FROM o LEFT JOIN (SELECT customer, count(*) AS n FROM o GROUP BY 1) a USING (customer) LEFT JOIN (SELECT cell, count(*) AS n FROM o GROUP BY 1) b USING (cell)", ORDERS_SQL)
 def entity_join_back(spark, sf):
     df = order_entities(spark, sf)
