@@ -27,16 +27,38 @@ def interior_edges(reference: DataFrame, col: str, bins: int = 10) -> list[float
     return sorted(set(got)) if bins > 1 else []
 
 
+def place(edges: list[float], x: Column) -> Column:
+    """The number of the bin that x falls into."""
+    return F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e <= x)) if edges else F.lit(0)
+
+
 def bin_shares(reference: DataFrame, comparison: DataFrame, col: str, bins: int = 10) -> DataFrame:
     """(bin, ref, cmp): counts over the reference's quantile bins."""
     edges = interior_edges(reference, col, bins)
-    place = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e <= F.col("x"))) if edges else F.lit(0)
-    both = _values(reference, col).select(place.alias("bin"), F.lit(1).alias("r"), F.lit(0).alias("c")).union(_values(comparison, col).select(place, F.lit(0), F.lit(1)))
+    at = place(edges, F.col("x"))
+    both = _values(reference, col).select(at.alias("bin"), F.lit(1).alias("r"), F.lit(0).alias("c")).union(_values(comparison, col).select(at, F.lit(0), F.lit(1)))
     counted = both.groupBy("bin").agg(F.sum("r").alias("ref"), F.sum("c").alias("cmp"))
     every = reference.sparkSession.range(len(edges) + 1).select(F.col("id").cast("int").alias("bin"))
     return every.join(counted, "bin", "left").select("bin", F.coalesce("ref", F.lit(0)).alias("ref"), F.coalesce("cmp", F.lit(0)).alias("cmp"))
 
 
+def reference_bins(reference: DataFrame, col: str, bins: int = 10) -> DataFrame:
+    """One row, (edges, counts): the quantile bins of a reference and how many of its values lie in each. Kept as a table, it stands for the reference
+    in any later comparison."""
+    edges = interior_edges(reference, col, bins)
+    at = place(edges, F.col("x"))
+    counts = [F.count_if(at == i) for i in range(len(edges) + 1)]
+    return _values(reference, col).agg(F.array(*[F.lit(e) for e in edges]).cast("array<double>").alias("edges"), F.array(*counts).alias("counts"))
+
+
+def psi_of_counts(reference: Column, comparison: Column) -> Column:
+    """PSI of two arrays of counts over the same bins; null if either has none."""
+    share = lambda counts: (lambda total: F.transform(counts, lambda c: F.greatest(F.try_divide(c, total), F.lit(FLOOR))))(F.aggregate(counts, F.lit(0).cast("bigint"), lambda a, c: a + c))
+    terms = F.zip_with(share(reference), share(comparison), lambda p, q: (q - p) * F.ln(q / p))
+    some = lambda counts: F.exists(counts, lambda c: c > 0)
+    return F.when(some(reference) & some(comparison), F.aggregate(terms, F.lit(0.0), lambda a, x: a + x))
+
+
 def psi_frame(reference: DataFrame, comparison: DataFrame, col: str, bins: int = 10) -> DataFrame:
     counts = bin_shares(reference, comparison, col, bins)
     totals = counts.agg(F.sum("ref").alias("nr"), F.sum("cmp").alias("nc"))

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.session import shared_folder
+from tidemark.functions.session import Workspace, shared_folder
+from tidemark.operators.asof import asof_join
+from tidemark.operators.entity_table import EntityTable
 from tidemark.operators import drift, entities, features, graph, metrics, model, scoring
 from tidemark.operators.split import temporal_split
 from tidemark.plans import pipelines
-from tidemark.plans.surrogate import ORDERS_SQL, TX_SQL, identity, order_entities, table, transactions
+from tidemark.plans.surrogate import EPOCH, ORDERS_SQL, TX_SQL, identity, order_entities, table, transactions
 from tidemark.sources.transactions import REQUIRED_COLUMNS, join_identity, load_transactions, read_features, validate_schema, write_features
 from tidemark.streaming import online
 
@@ -477,6 +479,54 @@ def stream_velocity(spark, sf):
     return out.select(F.col("id").alias("TransactionID"), "velocity", F.col("since_last").alias("since"), F.col("addr_changed").alias("changed"))
 
 
+@query("""SELECT TransactionID, degree, CAST(TransactionDT - last_updated AS BIGINT) AS age FROM tx ASOF LEFT JOIN (SELECT user_id, (TransactionDT // 86400 + 1) * 86400 AS last_updated,
+  CAST(sum(count(*)) OVER (PARTITION BY user_id ORDER BY TransactionDT // 86400) AS BIGINT) AS degree FROM tx GROUP BY user_id, TransactionDT // 86400) s ON tx.user_id = s.user_id AND TransactionDT >= last_updated""", TX_SQL)
+def asof_entity_features(spark, sf):
+    """What a job that runs every midnight had told of a transaction's user when it came, and how old that was."""
+    tx = transactions(spark, sf)
+    daily = tx.groupBy("user_id", F.expr("TransactionDT div 86400").alias("day")).agg(F.count("*").alias("n"))
+    so_far = F.sum("n").over(Window.partitionBy("user_id").orderBy("day"))
+    known = daily.select("user_id", ((F.col("day") + 1) * 86400).alias("last_updated"), so_far.alias("degree"))
+    out = asof_join(tx.select("TransactionID", "user_id", "TransactionDT"), known, "user_id", "TransactionDT")
+    return out.select("TransactionID", "degree", (F.col("TransactionDT") - F.col("last_updated")).alias("age"))
+
+
+#: The last days of the first two batches, and the days on which batches are taken in.
+_BATCHES = ("1997-06-30", "1999-06-30")
+_BATCH = f"CASE WHEN o_orderdate <= '{_BATCHES[0]}' THEN 1 WHEN o_orderdate <= '{_BATCHES[1]}' THEN 2 ELSE 3 END"
+
+
+@query(f"""SELECT entity_col, entity_value, degree, component_size, last_batch FROM size JOIN (SELECT entity_col, entity_value, count(*) AS degree, max(batch) AS last_batch FROM edge JOIN (SELECT o_orderkey AS txn,
+  {_BATCH} AS batch FROM orders) USING (txn) GROUP BY ALL) USING (entity_col, entity_value)""", _EDGES + _component_ctes(TWO))
+def entity_table_batches(spark, sf):
+    """The entity table after three batches of orders, one after another."""
+    dates = table(spark, sf, "orders").select(F.col("o_orderkey").alias("txn"), F.col("o_orderdate").cast("date").alias("day"))
+    number = F.when(F.col("day") <= _BATCHES[0], 1).when(F.col("day") <= _BATCHES[1], 2).otherwise(3)
+    with Workspace(spark) as work:
+        orders = work.table(order_entities(spark, sf).join(dates.select("txn", number.alias("batch")), "txn"))
+        kept = EntityTable(spark, f"{work.path}/entity-table", buckets=16)
+        for k in (1, 2, 3):
+            kept.update(graph.bipartite_edges(orders.where(F.col("batch") == k), "txn", TWO), f"2026-01-0{k}")
+        return work.result(kept.read().select("entity_col", "entity_value", "degree", "component_size", F.dayofmonth("last_updated").alias("last_batch")))
+
+
+@query("""SELECT day, CAST(sum(c) AS BIGINT) AS n, round(sum((q - p) * ln(q / p)), 6) AS psi, sum((q - p) * ln(q / p)) > 0.2 AS drifted FROM (SELECT day, bin, c, greatest(c / sum(c) OVER (PARTITION BY day), 1e-6) AS q, p
+  FROM (SELECT d.day, r.bin, p, coalesce(c, 0) AS c FROM (SELECT DISTINCT day FROM placed WHERE (day + 1) * 86400000000 <= (SELECT max(us) // 1000 * 1000 FROM placed) - 3600000000) d CROSS JOIN refs r LEFT JOIN (SELECT day, bin, count(*) AS c FROM placed GROUP BY ALL) USING (day, bin))) GROUP BY day""",
+  _SPLIT + """, qs AS (SELECT list_distinct(quantile_cont(TransactionAmt, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS q FROM tx, cut WHERE TransactionDT <= c),
+bins AS (SELECT unnest(generate_series(0, len(q))) AS bin FROM qs), refs AS (SELECT bin, greatest(count(b) / sum(count(b)) OVER (), 1e-6) AS p FROM bins LEFT JOIN (SELECT len(list_filter(q, lambda z: z <= TransactionAmt)) AS b FROM tx, cut, qs WHERE TransactionDT <= c) ON b = bin GROUP BY bin),
+placed AS (SELECT epoch_us(ts) - 1704067200000000 AS us, (epoch_us(ts) - 1704067200000000) // 86400000000 AS day, len(list_filter(q, lambda z: z <= value)) AS bin FROM events, qs)""")
+def stream_drift(spark, sf):
+    """Events as a stream of files: the amounts of each day against those of the training part, whose bins are a table. The last day stays open."""
+    with Workspace(spark) as work:
+        bins = work.table(drift.reference_bins(temporal_split(transactions(spark, sf).select("TransactionDT", "TransactionAmt"))[0], "TransactionAmt"))
+        events = table(spark, sf, "events")
+        stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+        rows = stream.select(F.col("ts").cast("timestamp").alias("at"), F.col("value").alias("amount"))
+        out = _drained(spark, online.windowed_drift(rows, "at", "amount", bins))
+    day = F.expr(f"(unix_seconds(start) - {EPOCH}) div 86400")
+    return out.select(day.alias("day"), "n", six("psi").alias("psi"), "drifted")
+
+
 def _drained(spark: SparkSession, stream: DataFrame) -> DataFrame:
     at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     stream.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()

@@ -1,4 +1,4 @@
-"""Streams: enrichment with entity statistics, stateful features over time, and drift by micro-batch."""
+"""Streams: enrichment with entity statistics, stateful features over time, drift by window and by micro-batch."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidemark.operators.drift import psi_frame
+from tidemark.operators.drift import is_drifted, place, psi_of_counts, reference_bins
 from tidemark.operators.scoring import serving_features
 
 
@@ -62,11 +62,35 @@ def stream_features(stream: DataFrame, id_col: str, entity_col: str, time_col: s
     return rows.groupBy("entity").applyInPandasWithState(step, VELOCITY, "times array<double>, last double, addresses array<string>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def windowed_drift(stream: DataFrame, time_col: str, col: str, bins: DataFrame, window: str = "1 day", delay: str = "1 hour", threshold: float = 0.2) -> DataFrame:
+    """(start, end, n, psi, drifted) of each tumbling window of a stream's event time, against the one row of ``reference_bins``.
+
+    The bins are read once, when the stream is planned. A window's state is a count for each bin, so partial counts are combined before the shuffle, and
+    state is as large as the number of open windows. In append mode a window is given once the watermark, ``delay`` behind the latest
+    time, has passed its end; rows that come later are not counted. Missing values are left out, as in the batch statistic; a window without any value has null."""
+    known = bins.first()
+    edges, counts = list(known["edges"]), list(known["counts"])
+    x = F.col(col).cast("double")
+    rows = stream.where(F.col(time_col).isNotNull()).withWatermark(time_col, delay).select(F.col(time_col), F.when(~F.isnan(x), x).alias("x"))
+    each = [F.count_if(F.col("x").isNotNull() & (place(edges, F.col("x")) == i)).alias(f"b{i}") for i in range(len(edges) + 1)]
+    counted = rows.groupBy(F.window(time_col, window).alias("w")).agg(*each)
+    of_window = F.array(*[F.col(f"b{i}") for i in range(len(edges) + 1)])
+    psi = psi_of_counts(F.array(*[F.lit(c).cast("bigint") for c in counts]), of_window)
+    n = F.aggregate(of_window, F.lit(0).cast("bigint"), lambda a, c: a + c)
+    return counted.select("w.start", "w.end", n.alias("n"), psi.alias("psi")).withColumn("drifted", is_drifted(F.col("psi"), threshold))
+
+
 def drift_batches(reference: DataFrame, col: str, report: Callable[[int, float], None], bins: int = 10) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that gives each micro-batch's PSI against the reference to ``report``."""
+    """A ``foreachBatch`` function that gives each micro-batch's PSI against the reference to ``report``. The reference is read here, once."""
+    known = reference_bins(reference, col, bins).first()
+    edges, counts = list(known["edges"]), list(known["counts"])
 
     def each(batch: DataFrame, number: int) -> None:
-        if not batch.isEmpty():
-            report(number, psi_frame(reference, batch, col, bins).first()[0])
+        x = F.col(col).cast("double")
+        values = batch.select(x.alias("x")).where(x.isNotNull() & ~F.isnan(x))
+        own = values.agg(F.array(*[F.count_if(place(edges, F.col("x")) == i) for i in range(len(edges) + 1)]).alias("c"))
+        psi = own.select(psi_of_counts(F.array(*[F.lit(c).cast("bigint") for c in counts]), F.col("c")).alias("psi")).first()["psi"]
+        if psi is not None:
+            report(number, psi)
 
     return each
