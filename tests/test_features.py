@@ -54,10 +54,18 @@ def test_negative_window():
 
 
 def test_recency_and_address(spark):
-    df = spark.createDataFrame([(0, "A", 0, 100.0, 1.0), (1, "B", 0, 1.0, 1.0), (2, "A", 50, None, 1.0), (3, "A", 60, 200.0, 1.0), (4, "A", 70, 300.0, 1.0)], "id bigint, e string, t bigint, addr1 double, addr2 double")
-    out = df.select("id", features.time_since_last("e", "t", "id").alias("s"), features.addr_change_flag("e", "t", id_col="id").alias("c")).orderBy("id").collect()
-    assert [r.s for r in out] == [None, None, 50.0, 10.0, 10.0]
-    assert [r.c for r in out] == [False, False, False, False, True]
+    """Random visits of a few travellers, against a walk over each one's own rows."""
+    rng = random.Random(31)
+    rows = [(i, rng.choice(["ann", "bo", "cy", None]), rng.choice(range(3, 90, 7)), rng.choice([None, 21.5, 22.5]), float(rng.randrange(2))) for i in range(160)]
+    df = spark.createDataFrame(rows, "id bigint, who string, t bigint, street double, town double")
+    got = {r.id: (r.s, r.c) for r in df.select("id", features.time_since_last("who", "t", "id").alias("s"), features.addr_change_flag("who", "t", ["street", "town"], "id").alias("c")).collect()}
+    for who in ("ann", "bo", "cy"):
+        own = sorted((r for r in rows if r[1] == who), key=lambda r: (r[2], r[0]))
+        for before, r in zip([None, *own], own, strict=False):
+            if before is None:
+                assert got[r[0]] == (None, False)
+                continue
+            assert got[r[0]] == (float(r[2] - before[2]), any(x is not None and y is not None and x != y for x, y in zip(before[3:], r[3:], strict=True)))
 
 
 def test_merchant_risk(spark):

@@ -52,13 +52,17 @@ def test_costs(spark):
 
 
 def test_train_and_score(spark):
-    rng = random.Random(0)
-    rows = [(i, rng.random(), None if i % 9 == 0 else rng.random(), int(i < 5)) for i in range(40)]
-    df = spark.createDataFrame(rows, "TransactionID bigint, a double, b double, isFraud int")
-    fitted = model.train_model(df, ["a", "b"], params={"maxIter": 3, "maxDepth": 2})
-    assert fitted.scale_pos_weight == 7.0
-    got = [r.fraud_probability for r in fitted.predict(df).collect()]
-    assert len(got) == 40 and all(0 <= p <= 1 for p in got)
+    """A late shop with large baskets is the risky one; a missing basket says nothing."""
+    rng = random.Random(77)
+    rows = [(i, rng.uniform(0, 24), None if rng.random() < 0.1 else rng.gauss(50, 20)) for i in range(130)]
+    df = spark.createDataFrame([(*r, int(r[1] > 20 and (r[2] or 0) > 40)) for r in rows], "id bigint, hour double, basket double, risky int")
+    positives = df.where("risky = 1").count()
+    fitted = model.train_model(df, ["hour", "basket"], "risky", {"maxIter": 5, "maxDepth": 3})
+    assert fitted.scale_pos_weight == pytest.approx((130 - positives) / positives) and positives > 3
+    scored = fitted.predict(df, into="chance")
+    assert scored.columns == [*df.columns, "chance"] and scored.where("chance between 0 and 1").count() == 130
+    means = {r.risky: r.m for r in scored.groupBy("risky").agg(F.avg("chance").alias("m")).collect()}
+    assert means[1] > 0.7 > 0.3 > means[0]
 
 
 RECORDS = [{"TransactionID": 7, "shop": "s1", "card": "c1", "a": 0.25}, {"TransactionID": 8, "shop": "s9", "card": "c1", "a": 0.5}, {"TransactionID": 9, "shop": None, "card": "c2", "a": None}]
@@ -103,7 +107,7 @@ def test_smote(spark):
 
 
 def test_smote_to_its_end(spark):
-    """Many positives in several blocks: each new row lies between two near positives; a model of all rows scores."""
+    """Many positives: each new row lies between two near positives; a model of all rows scores."""
     import numpy as np
 
     rng = np.random.default_rng(5)
@@ -122,6 +126,42 @@ def test_smote_to_its_end(spark):
     assert fitted.predict(df).where((F.col("fraud_probability") > 0.5) != (F.col("y") == 1)).count() < 50
 
 
+@pytest.mark.parametrize("case", ["uniform", "clusters", "ties"])
+def test_nearest_points_against_all_pairs(spark, case):
+    import numpy as np
+
+    from tidemark.functions.session import Workspace
+
+    rng = np.random.default_rng(6)
+    x = {"uniform": rng.random((3000, 4)), "clusters": np.repeat(rng.normal(size=(30, 10)) * 3, 100, axis=0) + rng.normal(size=(3000, 10)), "ties": rng.integers(0, 3, (900, 2)).astype(float)}[case]
+    x = x * np.exp(rng.normal(size=x.shape[1]))
+    points = spark.createDataFrame([(i * 7, v) for i, v in enumerate(x.tolist())], "id bigint, x array<double>")
+    with Workspace(spark) as work:
+        got = {r.id // 7: [i // 7 for i in r.nearest] for r in model.nearest_points(points, 5, work).collect()}
+    far = ((x[:, None] - x[None]) ** 2).sum(2)
+    np.fill_diagonal(far, np.inf)
+    assert len(got) == len(x) and all(len(set(n)) == 5 and i not in n for i, n in got.items())
+    fifth = np.sort(far, axis=1)[:, 4]
+    found = np.mean([(far[i, n] <= fifth[i] * (1 + 1e-9)).mean() for i, n in got.items()])
+    assert found >= (0.9 if case != "ties" else 0.99)
+
+
+def test_nearest_points_compare_a_bounded_number(spark, monkeypatch):
+    """All groups are two stretches at most, also where half of all points are the same; so work is linear in the points."""
+    from tidemark.functions.session import Workspace
+
+    monkeypatch.setattr(model, "STRETCH", 16)
+    points = spark.range(2000).selectExpr("id", "array(if(id % 2 = 0, 1.0D, sin(id)), if(id % 2 = 0, 1.0D, cos(id)))  as x")
+    with Workspace(spark) as work:
+        out = model.nearest_points(points, 3, work, tables=2)
+        assert out.count() == 2000 and out.where("size(nearest) <> 3").count() == 0
+        same = out.where("id % 2 = 0").select("id", F.explode("nearest").alias("n")).where("n % 2 = 1").count()
+        assert same == 0
+        few = model.nearest_points(points.limit(2), 3, work).collect()
+        assert len(few) == 2 and all([r.id] != r.nearest and len(r.nearest) == 1 for r in few)
+        assert model.nearest_points(points.limit(0), 3, work).count() == 0
+
+
 def ones(spark, values):
     return spark.createDataFrame([(float(v),) for v in values], "x double")
 

@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.order import numbered
+from tidemark.functions.session import Workspace
 from tidemark.operators.metrics import scale_pos_weight
 from tidemark.operators.quantiles import smallest_digest
 
 #: Fixed value: what stands for a missing feature.
 SENTINEL = -999.0
 SEED = 42
+#: Of the search for neighbours: orders, turned coordinates that are looked at (8 bits each), points of a stretch, points that cuts are taken from.
+TABLES, COORDINATES, STRETCH, SAMPLE = 8, 5, 128, 4096
 
 
 def model_columns(columns: list[str], extra: tuple[str, ...] = ()) -> list[str]:
@@ -57,9 +65,8 @@ def train_model(df: DataFrame, features: list[str], label_col: str = "isFraud",
 
 
 def smote(df: DataFrame, features: list[str], label_col: str, id_col: str, k: int = 5, seed: int = SEED) -> DataFrame:
-    """(features..., label): all rows and synthetic positives up to parity. A synthetic row lies between a positive and one
-    of its k nearest positives. Neighbours are searched among the positives only, block against block: positives are
-    dealt to blocks of about 2,000, each pair of blocks is one group, and each keeps k of its own per row before they are merged."""
+    """(features..., label): all rows and synthetic positives up to parity, as a table of its own. A synthetic row lies between a positive and one
+    of its k nearest positives, as ``nearest_points`` finds them. Missing values count as the sentinel."""
     ready = df.select(F.col(id_col).alias("id"), *[F.coalesce(F.col(c).cast("double"), F.lit(SENTINEL)).alias(c) for c in features], F.col(label_col).cast("int").alias("label"))
     minority = ready.where("label = 1")
     n, pos = ready.agg(F.count("*"), F.count_if(F.col("label") == 1)).first()
@@ -67,40 +74,64 @@ def smote(df: DataFrame, features: list[str], label_col: str, id_col: str, k: in
     out = ready.drop("id")
     if need <= 0 or pos < 2:
         return out
-    x = F.array(*[F.col(c) for c in features])
-    blocks = max(1, pos // 2000)
-    points = minority.select("id", x.alias("x"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = points.withColumn("other", every)
-    right = points.select(F.col("id").alias("nid"), F.col("x").alias("nx"), F.col("block").alias("other"), every.alias("block"))
-
-    def near(key, a, b):
-        import numpy as np
-        import pandas as pd
-
-        if not len(a) or not len(b):
-            return pd.DataFrame({"id": [], "nid": [], "d": [], "nx": []})
-        p, q = np.stack(a["x"]), np.stack(b["nx"])
-        d = np.maximum(0, (p**2).sum(1)[:, None] + (q**2).sum(1)[None] - 2 * p @ q.T)
-        d[a["id"].to_numpy()[:, None] == b["nid"].to_numpy()[None]] = np.inf
-        top = np.argsort(d, axis=1, kind="stable")[:, :k]
-        row = np.repeat(np.arange(len(p)), top.shape[1])
-        col = top.ravel()
-        keep = np.isfinite(d[row, col])
-        row, col = row[keep], col[keep]
-        return pd.DataFrame({"id": a["id"].to_numpy()[row], "nid": b["nid"].to_numpy()[col], "d": d[row, col], "nx": [q[c] for c in col]})
-
-    kind = minority.schema["id"].dataType.simpleString()
-    pairs = left.groupBy("block", "other").cogroup(right.groupBy("block", "other")).applyInPandas(near, f"id {kind}, nid {kind}, d double, nx array<double>")
-    rank = Window.partitionBy("id").orderBy("d", "nid")
-    neighbours = pairs.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= k).withColumn("have", F.count("*").over(Window.partitionBy("id")))
-    per, rest = divmod(need, pos)
-    digest = F.md5(F.concat(F.col("id").cast("string"), F.lit(f":{seed}")))
-    last = smallest_digest(minority, digest, rest)
-    times = minority.select("id", x.alias("x"), (F.lit(per) + (F.lit(0) if last is None else F.when(digest <= last, 1).otherwise(0))).alias("times"))
-    made = times.where("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
-    unit = lambda salt: F.pmod(F.xxhash64("id", "copy", F.lit(salt)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    have = neighbours.select("id", "have").distinct()
-    picked = made.join(have, "id").withColumn("r", (F.floor(unit(seed) * F.col("have")) + 1).cast("int")).withColumn("u", unit(seed + 1))
-    new = picked.join(neighbours.select("id", "r", "nx"), ["id", "r"]).select(F.zip_with("x", "nx", lambda a, b: a + F.col("u") * (b - a)).alias("z"))
-    return out.union(new.select(*[F.col("z")[i].alias(c) for i, c in enumerate(features)], F.lit(1).alias("label")))
+    with Workspace(df.sparkSession) as work:
+        points = work.table(minority.select("id", F.array(*[F.col(c) for c in features]).alias("x")))
+        near = work.table(nearest_points(points, k, work, seed))
+        per, rest = divmod(need, pos)
+        digest = F.md5(F.concat(F.col("id").cast("string"), F.lit(f":{seed}")))
+        last = smallest_digest(points, digest, rest)
+        times = points.select("id", "x", (F.lit(per) + (F.lit(0) if last is None else F.when(digest <= last, 1).otherwise(0))).alias("times"))
+        made = times.where("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+        unit = lambda salt: F.pmod(F.xxhash64("id", "copy", F.lit(salt)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        picked = made.join(near, "id").withColumn("nid", F.get("nearest", F.floor(unit(seed) * F.size("nearest")).cast("int"))).withColumn("u", unit(seed + 1))
+        new = picked.join(points.select(F.col("id").alias("nid"), F.col("x").alias("nx")), "nid").select(F.zip_with("x", "nx", lambda a, b: a + F.col("u") * (b - a)).alias("z"))
+        return work.result(out.union(new.select(*[F.col("z")[i].alias(c) for i, c in enumerate(features)], F.lit(1).alias("label"))))
+
+
+def nearest_points(points: DataFrame, k: int, work: Workspace, seed: int = SEED, tables: int = TABLES) -> DataFrame:
+    """(id, nearest): for each (id, x) the ids of about its k nearest other points, nearest first, ties to the smaller id. Ids are unique.
+
+    Random projections: in each of ``tables`` the points are turned at random, each of their first few coordinates is cut into 256 quantiles of a bounded sample
+    (the SAMPLE points of the smallest hashes), and the points are sorted by the interleaved bits of these. The order is cut into stretches of STRETCH
+    points, each of which is compared with itself and the one before it by exact distances, and the nearest of all tables are kept. So the work is points times
+    tables times STRETCH, and no group is larger than two stretches, however many points are equal or close. The sample only sets where cuts lie. At
+    least 0.9 of the true neighbours are found in up to ten dimensions (tested on clusters); raise ``tables`` for more."""
+    sample = [r["x"] for r in points.select("x").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()]
+    if not sample:
+        return points.select("id", F.array("id").alias("nearest"))
+    values = np.array(sample)
+    d, rng = values.shape[1], np.random.default_rng(seed)
+    turns = [np.linalg.qr(rng.normal(size=(d, min(d, COORDINATES))))[0] for _ in range(tables)]
+    shifts = rng.random(tables)
+    cuts = [np.quantile(values @ q, (np.arange(255) + s) / 255, axis=0) for q, s in zip(turns, shifts, strict=True)]
+    kind = points.schema["id"].dataType.simpleString()
+
+    def coded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            x = np.stack(frame["x"].to_numpy()) if len(frame) else np.zeros((0, d))
+            for t, (turn, cut) in enumerate(zip(turns, cuts, strict=True)):
+                y, code = x @ turn, np.zeros(len(x), np.int64)
+                cells = [np.searchsorted(cut[:, i], y[:, i]) for i in range(y.shape[1])]
+                for bit in range(7, -1, -1):
+                    for cell in cells:
+                        code = code << 1 | (cell >> bit & 1)
+                yield pd.DataFrame({"table": t, "code": code, "id": frame["id"], "x": frame["x"]})
+
+    def compared(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("id", kind="stable")
+        x, ids, own, table = np.stack(frame["x"].to_numpy()), frame["id"].to_numpy(), frame["own"].to_numpy(), frame["table"].to_numpy()
+        far = ((x[:, None] - x[None]) ** 2).sum(2) if x.size * len(x) < 1 << 24 else np.maximum(0, (x**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * x @ x.T)
+        # of the stretch before only its pairs with this one are new
+        far[(table[:, None] != table[None]) | np.eye(len(x), dtype=bool) | ~(own[:, None] | own[None])] = np.inf
+        top = np.argsort(far, axis=1, kind="stable")[:, :k]
+        row, col = np.repeat(np.arange(len(x)), top.shape[1]), top.ravel()
+        keep = np.isfinite(far[row, col])
+        return pd.DataFrame({"id": ids[row[keep]], "nid": ids[col[keep]], "d": far[row, col][keep]})
+
+    codes = points.mapInPandas(coded, f"table int, code bigint, id {kind}, x array<double>")
+    placed, _ = numbered(codes, ["table", "code", "id"], "place", work)
+    stretch = F.floor(F.col("place") / STRETCH)
+    both = placed.select("id", "x", "table", F.explode(F.array(F.struct(stretch.alias("s"), F.lit(True).alias("own")), F.struct((stretch + 1).alias("s"), F.lit(False).alias("own")))).alias("g"))
+    pairs = both.select("id", "x", "table", "g.s", "g.own").groupBy("s").applyInPandas(compared, f"id {kind}, nid {kind}, d double")
+    nearest = pairs.groupBy("id", "nid").agg(F.min("d").alias("d")).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("d", "nid"))).alias("all"))  # 2 * k * tables at most
+    return nearest.select("id", F.slice(F.transform("all", lambda p: p["nid"]), 1, k).alias("nearest"))

@@ -17,7 +17,7 @@ DEFAULT_ENTITY_FEATURE_FALLBACK = {"degree": 0, "component_size": 1, "community_
 
 @dataclass(frozen=True)
 class ScoredTransaction:
-    transaction_id: int
+    transaction_id: int | None  # None if the record has none
     fraud_probability: float
     is_new_entity: bool
 
@@ -58,7 +58,7 @@ def score_transaction(spark: SparkSession, transaction: dict, predict: Callable[
     unknown = [prefix for prefix, stats in answers.items() if stats is None]
     looked_up = {f"{prefix}_{name}": value for prefix, stats in answers.items() for name, value in (stats or DEFAULT_ENTITY_FEATURE_FALLBACK).items()}
     known = transaction | looked_up | {"is_new_entity": int(bool(unknown))}
-    return ScoredTransaction(transaction["TransactionID"], float(_chance(spark, predict, feature_columns, known)), bool(unknown))
+    return ScoredTransaction(transaction.get("TransactionID"), float(_chance(spark, predict, feature_columns, known)), bool(unknown))
 
 
 def _chance(spark: SparkSession, predict: Callable[[list], float] | TrainedModel, feature_columns: list[str], known: dict) -> float:

@@ -284,11 +284,11 @@ def class_weight(spark, sf):
     return spark.range(1).select(F.round(F.lit(w), 6).alias("scale_pos_weight"))
 
 
-def _trained(spark, sf, params=None):
+def _trained(spark, sf):
     df = pipelines.time_features(joined(spark, sf))
     train, _ = temporal_split(df)
     names = ["TransactionAmt", "velocity_1h", "k"]
-    return df, names, model.train_model(train, names, params=params)
+    return df, names, model.train_model(train, names)
 
 
 @query()
@@ -336,7 +336,7 @@ def score_batch_features(spark, sf):
 @query()
 def score_batch(spark, sf):
     df, known = _entity_table(spark, sf)
-    _, _, fitted = _trained(spark, sf, {"maxIter": 20})
+    _, _, fitted = _trained(spark, sf)
     return scoring.score_batch(df, fitted, known, {"device": F.col("device")})
 
 
@@ -437,10 +437,53 @@ def feature_pipeline(spark, sf):
 def train_evaluate(spark, sf):
     """Split, features of the past, trees, threshold by cost; the scored later part with what was chosen."""
     features_ = pipelines.time_features(joined(spark, sf))
-    _, scored, found = pipelines.train_and_evaluate(features_, params={"maxIter": 20})
+    _, scored, found = pipelines.train_and_evaluate(features_)
     return scored.select("TransactionID", "isFraud", "fraud_probability", *[F.lit(found[k]).alias(k) for k in ("pr_auc", "threshold", "cost")])
 
 
+_LATER = "SELECT count(*) AS rows, sum(isFraud)::BIGINT AS positives, count(*) AS in_range, true AS gains"
+
+
+def _contract(scored, pr_auc, **more):
+    """What holds for any model that has learned something: a probability for each row of the later part, and a PR-AUC above the share of positives."""
+    counts = scored.agg(F.count("*").alias("rows"), F.sum("isFraud").alias("positives"), F.count_if(F.col("fraud_probability").between(0, 1)).alias("in_range"))
+    return counts.select("*", (F.lit(pr_auc) > F.col("positives") / F.col("rows")).alias("gains"), *[F.lit(v).alias(k) for k, v in more.items()])
+
+
+@query(_LATER + ", true AS on_grid, true AS cost_right, true AS least FROM tx, cut WHERE TransactionDT > c", _SPLIT)
+def train_evaluate_contract(spark, sf):
+    """The chosen threshold lies on the grid, its cost is that of the scores, counted anew, and no other threshold's is below it."""
+    with Workspace(spark) as work:
+        _, scored, found = pipelines.train_and_evaluate(pipelines.time_features(joined(spark, sf)))
+        scored = work.table(scored.select("isFraud", "fraud_probability"))
+        at = lambda t: pipelines.COST_FP * F.count_if((F.col("fraud_probability") >= t) & (F.col("isFraud") == 0)) + pipelines.COST_FN * F.count_if((F.col("fraud_probability") < t) & (F.col("isFraud") == 1))
+        costs = scored.agg(*[at(i / 100).alias(f"c{i}") for i in range(1, 100)]).first().asDict()
+        i = round(100 * found["threshold"])
+        right = dict(on_grid=i / 100 == found["threshold"] and 1 <= i <= 99, cost_right=costs[f"c{i}"] == found["cost"], least=found["cost"] == min(costs.values()))
+        return work.result(_contract(scored, found["pr_auc"], **right))
+
+
+@query(_LATER + " FROM tx, cut WHERE TransactionDT > c", _SPLIT)
+def smote_baseline(spark, sf):
+    """Trained on oversampled rows of the earlier part, scored on the later."""
+    _, scored, pr_auc = pipelines.smote_baseline(pipelines.time_features(joined(spark, sf)))
+    return _contract(scored, pr_auc)
+
+
+@query("SELECT count(*) FILTER (y = 0) AS negatives, greatest(count(*) FILTER (y = 0), count(*) FILTER (y = 1)) AS positives, CAST(0 AS BIGINT) AS outside, round(min(p * 600) FILTER (y = 1), 6) AS least, round(max(p * 600) FILTER (y = 1), 6) AS most FROM s", _SCORE)
+def smote_bounds(spark, sf):
+    """Synthetic positives lie within the box of the real ones, whose ends are among all."""
+    df = transactions(spark, sf)
+    box = df.where("isFraud = 1").agg(*[f(c).alias(f"{n}_{c}") for c in ("TransactionAmt", "k") for n, f in (("least", F.min), ("most", F.max))])
+    out = model.smote(df, ["TransactionAmt", "k"], "isFraud", "TransactionID").crossJoin(F.broadcast(box))  # one row
+    outside = ~(F.col("TransactionAmt").between(F.col("least_TransactionAmt"), F.col("most_TransactionAmt")) & F.col("k").between(F.col("least_k"), F.col("most_k")))
+    one = F.col("label") == 1
+    return out.agg(
+        F.count_if(~one).alias("negatives"), F.count_if(one).alias("positives"), F.count_if(one & outside).alias("outside"),
+        six(F.min(F.when(one, F.col("TransactionAmt")))).alias("least"), six(F.max(F.when(one, F.col("TransactionAmt")))).alias("most"),
+    )
+
+
 @query()
 def graph_features(spark, sf):
     df = order_entities(spark, sf)
