@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import Estimator, Model
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -86,3 +88,54 @@ class MerchantRiskEncoder(Estimator):
         if self.model is None:
             raise RuntimeError("MerchantRiskEncoder must be fitted before transform")
         return self.model.transform(df)
+
+
+class HierarchicalRiskEncoder(Estimator):
+    """Smoothed mean of the label by categories within categories: ``levels`` go from the widest to the narrowest, and a rate leans on that of the level
+    above with the weight of ``smoothing`` rows, the widest on the global rate. One rollup over the rows gives all levels. A row gets the rate of the narrowest level that
+    was seen with its categories; missing categories form no group. Fit on training rows only."""
+
+    def __init__(self, levels: list[str], label_col: str = "isFraud", smoothing: float = 10.0, output_col: str = "hierarchical_risk"):
+        super().__init__()
+        self.levels, self.label_col, self.smoothing, self.output_col = levels, label_col, smoothing, output_col
+
+    def _fit(self, df: DataFrame) -> HierarchicalRiskModel:
+        names = [f"l{i}" for i in range(len(self.levels))]
+        rows = df.select(*[F.col(c).alias(n) for n, c in zip(names, self.levels, strict=True)], F.col(self.label_col).cast("double").alias("y"))
+        # what is grouped tells a missing category from a level that is summed up
+        sums = rows.rollup(*names).agg(F.sum("y").alias("s"), F.count("y").alias("n"), F.grouping_id().alias("g"))
+        depth = F.lit(len(names)) - F.bit_count("g")
+        present = F.aggregate(F.array(*[F.col(n).isNotNull().cast("int") for n in names]), F.lit(0), lambda a, x: a + x)
+        sums = sums.withColumn("depth", depth).where((F.col("n") > 0) & (present == F.col("depth")))
+        rates = sums.where("depth = 0").select((F.col("s") / F.col("n")).alias("rate"))
+        tables = [rates]
+        for i in range(1, len(names) + 1):
+            own = sums.where(F.col("depth") == i)
+            parent = tables[-1].withColumnRenamed("rate", "above")
+            both = own.join(parent, names[: i - 1]) if i > 1 else own.crossJoin(F.broadcast(parent))  # one row
+            tables.append(both.select(*names[:i], ((F.coalesce("s", F.lit(0.0)) + F.col("above") * self.smoothing) / (F.col("n") + self.smoothing)).alias("rate")))
+        return HierarchicalRiskModel(self.levels, self.output_col, tables)
+
+
+class HierarchicalRiskModel(Model):
+    def __init__(self, levels: list[str], output_col: str, tables: list[DataFrame]):
+        super().__init__()
+        self.levels, self.output_col, self.tables = levels, output_col, tables
+
+    def rates(self) -> DataFrame:
+        """(depth, l0, l1 and so on, rate) of all levels, the global rate at depth 0."""
+        names = [f"l{i}" for i in range(len(self.levels))]
+        kinds = {n: self.tables[-1].schema[n].dataType for n in names}
+        parts = [t.select(F.lit(i).alias("depth"), *[(F.col(n) if n in t.columns else F.lit(None)).cast(kinds[n]).alias(n) for n in names], "rate") for i, t in enumerate(self.tables)]
+        return reduce(DataFrame.union, parts)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        out, found = df, []
+        for i, table in enumerate(self.tables):
+            rate = f"__rate{i}"
+            side = table.select(*[F.col(f"l{j}").alias(f"__l{i}_{j}") for j in range(i)], F.col("rate").alias(rate))
+            on = [out[c] == side[f"__l{i}_{j}"] for j, c in enumerate(self.levels[:i])]
+            out = out.join(side, on, "left") if on else out.crossJoin(F.broadcast(side))  # one row
+            out = out.drop(*[f"__l{i}_{j}" for j in range(i)])
+            found.append(rate)
+        return out.withColumn(self.output_col, F.coalesce(*reversed(found))).drop(*found)

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tidemark.functions.session import Workspace, shared_folder
 from tidemark.operators.asof import asof_join
 from tidemark.operators.entity_table import EntityTable
-from tidemark.operators import drift, entities, features, graph, metrics, model, scoring
+from tidemark.operators import drift, entities, features, graph, metrics, model, scoring, sketches
+from tidemark.operators.interval import pairs_within
 from tidemark.operators.split import temporal_split
 from tidemark.plans import pipelines
 from tidemark.plans.surrogate import EPOCH, ORDERS_SQL, TX_SQL, identity, order_entities, table, transactions
@@ -126,6 +127,28 @@ def merchant_risk_transform(spark, sf):
     return encoder.transform(df).select("TransactionID", six("merchant_risk").alias("merchant_risk"))
 
 
+_TREE = _SPLIT + """, train AS (SELECT ProductCD AS l0, k % 4 AS l1, card2 AS l2, isFraud AS y FROM tx, cut WHERE TransactionDT <= c), r0 AS (SELECT avg(y) AS r FROM train),
+r1 AS (SELECT l0, (sum(y) + any_value(r) * 20) / (count(y) + 20) AS r1 FROM train, r0 WHERE l0 IS NOT NULL GROUP BY l0),
+r2 AS (SELECT l0, l1, (sum(y) + any_value(r1) * 20) / (count(y) + 20) AS r2 FROM train JOIN r1 USING (l0) WHERE l1 IS NOT NULL GROUP BY l0, l1),
+r3 AS (SELECT l0, l1, l2, (sum(y) + any_value(r2) * 20) / (count(y) + 20) AS r3 FROM train JOIN r2 USING (l0, l1) WHERE l2 IS NOT NULL GROUP BY l0, l1, l2)"""
+
+
+def _risk_tree(spark, sf):
+    df = transactions(spark, sf).withColumn("k4", F.col("k") % 4)
+    return df, features.HierarchicalRiskEncoder(["ProductCD", "k4", "card2"], smoothing=20.0).fit(temporal_split(df)[0])
+
+
+@query("SELECT 0 AS depth, NULL AS l0, NULL AS l1, NULL AS l2, round(r, 6) AS rate FROM r0 UNION ALL SELECT 1, l0, NULL, NULL, round(r1, 6) FROM r1 UNION ALL SELECT 2, l0, l1, NULL, round(r2, 6) FROM r2 UNION ALL SELECT 3, l0, l1, l2, round(r3, 6) FROM r3", _TREE)
+def hierarchical_risk_fit(spark, sf):
+    return _risk_tree(spark, sf)[1].rates().withColumn("rate", six("rate"))
+
+
+@query("SELECT TransactionID, round(coalesce(r3, r2, r1, r), 6) AS hierarchical_risk FROM (SELECT TransactionID, ProductCD AS l0, k % 4 AS l1, card2 AS l2 FROM tx) CROSS JOIN r0 LEFT JOIN r1 USING (l0) LEFT JOIN r2 USING (l0, l1) LEFT JOIN r3 USING (l0, l1, l2)", _TREE)
+def hierarchical_risk_transform(spark, sf):
+    df, fitted = _risk_tree(spark, sf)
+    return fitted.transform(df).select("TransactionID", six("hierarchical_risk").alias("hierarchical_risk"))
+
+
 # entity keys
 
 _NORM = "coalesce(nullif(trim(regexp_replace(lower({}), '[^a-z0-9]+', '_', 'g'), '_'), ''), 'unknown')"
@@ -157,6 +180,14 @@ def cap_entities(spark, sf):
     return entities.cap_high_frequency_entities(prints, "fingerprint", 20)
 
 
+@query("""SELECT a.fingerprint AS key, a.TransactionID AS first, b.TransactionID AS second, b.TransactionDT - a.TransactionDT AS gap FROM s a JOIN s b ON a.fingerprint = b.fingerprint AND b.TransactionDT BETWEEN a.TransactionDT AND a.TransactionDT + 3600
+  AND (a.TransactionDT < b.TransactionDT OR a.TransactionID < b.TransactionID) AND a.user_id <> b.user_id""", _PRINT + ", s AS (SELECT fingerprint, TransactionID, tx.user_id, tx.TransactionDT FROM dev JOIN tx USING (TransactionID) WHERE fingerprint IS NOT NULL)")
+def device_pairs(spark, sf):
+    """Transactions of different users on one device within an hour."""
+    df = joined(spark, sf).withColumn("device", entities.device_fingerprint())
+    return pairs_within(df, "device", "TransactionDT", 3600, differ="user_id")
+
+
 # graph
 
 _EDGES = ORDERS_SQL + """, edge AS (SELECT DISTINCT txn, entity_col, entity_value FROM (SELECT txn, 'customer' AS entity_col, customer AS entity_value FROM o
@@ -369,6 +400,35 @@ def is_drifted(spark, sf):
     return drift.psi_frame(train, drift.perturb_amount(test, multiplier=3.0), "TransactionAmt").select(drift.is_drifted(F.col("psi")).alias("drifted"))
 
 
+def _daily(spark, sf):
+    """Sketches of each day's amounts in the earlier and the later part."""
+    train, test = temporal_split(transactions(spark, sf).select("TransactionDT", "TransactionAmt"))
+    both = train.withColumn("later", F.lit(False)).union(test.withColumn("later", F.lit(True)))
+    day = F.struct(F.expr("TransactionDT div 86400").alias("day"), "later")
+    return both, sketches.daily_sketches(both, day, "TransactionAmt").withColumn("later", F.col("period.later"))
+
+
+@query("SELECT f AS fraction, CAST(count(*) AS BIGINT) AS n, true AS within FROM tx, (SELECT unnest([0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99]::DOUBLE[]) AS f) WHERE TransactionAmt IS NOT NULL GROUP BY f", TX_SQL)
+def sketch_quantiles(spark, sf):
+    """Quantiles of all days from the sketches of each day; the exact ranks of the values found are within 2 % of all rows."""
+    rows, daily = _daily(spark, sf)
+    each = [F.struct(F.lit(f).alias("fraction"), sketches.quantile(F.col("sketch"), f).alias("v")) for f in (0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99)]
+    found = sketches.merged(daily).select(F.explode(F.array(*each)).alias("e")).select("e.*")
+    ranks = rows.where("TransactionAmt is not null").crossJoin(F.broadcast(found)).groupBy("fraction")  # by seven rows
+    ranks = ranks.agg(F.count("*").alias("n"), F.count_if(F.col("TransactionAmt") < F.col("v")).alias("below"), F.count_if(F.col("TransactionAmt") <= F.col("v")).alias("upto"))
+    return ranks.select("fraction", "n", ((F.col("below") / F.col("n") <= F.col("fraction") + 0.02) & (F.col("upto") / F.col("n") >= F.col("fraction") - 0.02)).alias("within"))
+
+
+@query("SELECT true AS near, sum((q - p) * ln(q / p)) > 0.2 AS drifted FROM share", _PARTS.format(scale="1.0"))
+def sketch_psi(spark, sf):
+    """Drift of the later days from sketches alone, within 0.02 of the exact statistic."""
+    _, daily = _daily(spark, sf)
+    of = sketches.merged(daily, "later")
+    psi = sketches.sketched_psi(of.where("not later"), of.where("later"))
+    exact = drift.psi_frame(*_split_amounts(spark, sf), "TransactionAmt").withColumnRenamed("psi", "exact")
+    return psi.crossJoin(exact).select((F.abs(F.col("psi") - F.col("exact")) < 0.02).alias("near"), drift.is_drifted(F.col("psi")).alias("drifted"))  # a row each
+
+
 @query("SELECT TransactionID, TransactionAmt * 3.0 AS amount FROM tx", TX_SQL)
 def amount_perturbed(spark, sf):
     return drift.perturb_amount(transactions(spark, sf), multiplier=3.0).select("TransactionID", F.col("TransactionAmt").alias("amount"))
