@@ -87,3 +87,25 @@ def test_columns_for_the_model():
 
     columns = ["V1", "V20", "C3", "C", "Cx", "D15", "card1", "device_fingerprint_degree", "card_entity_id_degree", "amount"]
     assert model_columns(columns, ("amount", "gone", "V1")) == ["V1", "V20", "C3", "D15", "device_fingerprint_degree", "card_entity_id_degree", "amount"]
+
+
+def test_chunks_of_times():
+    """Counts of a sorted list, late times and repeated ones too; a time rewrites one chunk, whose size does not grow with the window."""
+    import bisect
+
+    rng, stored, index, plain, sizes = random.Random(3), {}, {}, [], []
+    for i in range(1500):
+        x = float(i // 3) if rng.random() < 0.9 else float(rng.randrange(i // 3 + 1))
+        chunks = online.Chunks(index, lambda n: stored[n], 16)
+        for at in (x, x - 100, x + 0.5):
+            assert chunks.before(at, "left") == bisect.bisect_left(plain, at) and chunks.before(at, "right") == bisect.bisect_right(plain, at)
+        chunks.add(x)
+        bisect.insort(plain, x)
+        assert len(chunks.changed) == 1
+        for n in chunks.drop_before(plain[-1] - 200):
+            stored.pop(n)
+        stored |= {n: chunks.times[n].tolist() for n in chunks.changed}
+        sizes += [len(stored[n]) for n in chunks.changed]
+        index = chunks.index
+        plain = sorted(t for n in index for t in stored[n])
+    assert len(plain) > 500 and len(stored) > 20 and max(sizes) <= 64 and max(sizes[-200:]) <= 64

@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.operators.drift import is_drifted, place, psi_of_counts, reference_bins
 from tidemark.operators.scoring import serving_features
@@ -21,45 +21,122 @@ def enrich(stream: DataFrame, features: DataFrame, keys, entity_cols=None) -> Da
 
 
 VELOCITY = "id bigint, entity string, t timestamp, velocity bigint, since_last double, addr_changed boolean"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def stream_features(stream: DataFrame, id_col: str, entity_col: str, time_col: str, window_seconds: float, addr_cols: tuple[str, ...] = (), delay: str = "1 hour", forget_after: float = 30 * 86400) -> DataFrame:
+def stream_features(stream: DataFrame, id_col: str, entity_col: str, time_col: str, window_seconds: float, addr_cols: tuple[str, ...] = (), delay: str = "1 hour", forget_after: float = 30 * 86400, chunk: int = 64) -> DataFrame:
     """(id, entity, t, velocity, since_last, addr_changed) of each row of a stream; ``time_col`` is a timestamp.
 
     State of an entity: its times within the window, its last time and the addresses of its last row. The watermark is ``delay`` behind the latest time;
-    once it is ``forget_after`` seconds (at least the window) past an entity's last time, the entity's state is dropped, and it starts anew. Rows of a
+    once it is ``forget_after`` seconds (at least the window) past an entity's last time, a timer drops the entity's state, and it starts anew. Rows of a
     micro-batch are taken by time, then id. A row older than the state's last time is late: it counts what the state still has, is since nothing
-    and no change, and does not become the last row. Rows without entity or time are left out."""
+    and no change, and does not become the last row. Rows without entity or time are left out. Times are kept in chunks of about ``chunk``, each a value of
+    its own, with an index of ends and counts: a row rewrites the chunk it falls into, so what is written for a row does not grow with the window, and a count
+    reads the index and the chunks at the window's ends. Such state needs the RocksDB store; it is set for the session if another one is."""
+    spark = stream.sparkSession
+    if spark.conf.get("spark.sql.streaming.stateStore.providerClass") != ROCKSDB:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     t = F.col(time_col).cast("timestamp")
     addresses = F.array(*[F.col(c).cast("string") for c in addr_cols]) if addr_cols else F.array().cast("array<string>")
     rows = stream.select(F.col(id_col).cast("bigint").alias("id"), F.col(entity_col).cast("string").alias("entity"), t.alias("t"), addresses.alias("addresses"))
     rows = rows.where("entity is not null and t is not null").withWatermark("t", delay)
-    keep_ms = int(max(forget_after, window_seconds) * 1000)
-
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(frames)).sort_values(["t", "id"], kind="stable")
-        known = state.exists
-        times, last, address = (np.array(state.get[0], dtype=np.float64), state.get[1], list(state.get[2])) if known else (np.zeros(0), -math.inf, [])
-        now = (rows["t"].astype("datetime64[us]").astype("int64") / 1e6).to_numpy()
-        since = now - window_seconds
-        older = np.searchsorted(times, now, "right") - np.searchsorted(times, since, "left")
+    return rows.groupBy("entity").transformWithStateInPandas(EntityState(window_seconds, max(forget_after, window_seconds), chunk), VELOCITY, "Append", "EventTime")
+
+
+class Chunks:
+    """Sorted times in chunks that follow each other; ``index`` has (first, last, count) by number, times are read when they are asked for."""
+
+    def __init__(self, index: dict[int, tuple[float, float, int]], read: Callable[[int], list[float]], size: int):
+        self.index, self.read, self.size = dict(sorted(index.items())), read, size
+        self.times: dict[int, np.ndarray] = {}
+        self.changed: set[int] = set()
+
+    def _chunk(self, number: int) -> np.ndarray:
+        if number not in self.times:
+            self.times[number] = np.array(self.read(number), dtype=np.float64)
+        return self.times[number]
+
+    def before(self, x: float, side: str) -> int:
+        """How many times are below x (side left), or up to it (right)."""
+        total = 0
+        for number, (first, last, n) in self.index.items():
+            if last < x or (side == "right" and last <= x):
+                total += n
+            elif first < x or (side == "right" and first <= x):
+                total += int(np.searchsorted(self._chunk(number), x, side))
+        return total
+
+    def add(self, x: float) -> None:
+        """Into the last chunk that begins up to x, or a new one behind it if that is full and last."""
+        numbers = list(self.index)
+        number = next((k for k in reversed(numbers) if self.index[k][0] <= x), numbers[0] if numbers else 0)
+        if numbers and number == numbers[-1] and self.index[number][2] >= self.size and x >= self.index[number][1]:
+            number += 1
+        old = self._chunk(number) if number in self.index else np.zeros(0)
+        new = np.insert(old, np.searchsorted(old, x, "right"), x)
+        self.times[number], self.index[number] = new, (float(new[0]), float(new[-1]), len(new))
+        self.changed.add(number)
+
+    def drop_before(self, x: float) -> list[int]:
+        """Numbers of the chunks that are older than x as a whole; they are forgotten."""
+        gone = [k for k, (_, last, _) in self.index.items() if last < x]
+        for k in gone:
+            del self.index[k]
+            self.changed.discard(k)
+        return gone
+
+
+class EntityState(StatefulProcessor):
+    """The state of one entity and what a micro-batch of its rows makes of it."""
+
+    def __init__(self, window_seconds: float, forget_after: float, chunk: int):
+        self.window, self.keep_ms, self.size = window_seconds, int(forget_after * 1000), chunk
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.index = handle.getMapState("index", "number bigint", "first double, last double, n int")
+        self.chunks = handle.getMapState("chunks", "number bigint", "times array<double>")
+        self.last = handle.getValueState("last", "t double, addresses array<string>, timer bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        frame = pd.concat(list(rows)).sort_values(["t", "id"], kind="stable")
+        last, address, timer = self.last.get() if self.last.exists() else (-math.inf, [], None)
+        known = {int(k[0]): (v[0], v[1], v[2]) for k, v in self.index.iterator()}
+        times = Chunks(known, lambda number: self.chunks.getValue((number,))[0], self.size)
+        now = (frame["t"].astype("datetime64[us]").astype("int64") / 1e6).to_numpy()
+        since = now - self.window
+        older = np.array([times.before(b, "right") - times.before(a, "left") for a, b in zip(since, now, strict=True)], dtype=np.int64)
         velocity = older + np.arange(len(now)) - np.searchsorted(now, since, "left")
         before = np.maximum(np.concatenate([[last], now[:-1]]), last)
         gap = np.where(np.isfinite(before) & (now >= before), now - before, np.nan)
         changed = np.zeros(len(now), bool)
-        for i, (own, at) in enumerate(zip(rows["addresses"], now, strict=True)):
+        for i, (own, at) in enumerate(zip(frame["addresses"], now, strict=True)):
             if at >= last:
                 changed[i] = any(x is not None and y is not None and x != y for x, y in zip(address, own, strict=False))
-                address, last = list(own), at
-        times = np.sort(np.concatenate([times, now]))
-        state.update((times[times >= last - window_seconds].tolist(), float(last), address))
-        state.setTimeoutTimestamp(max(int(last * 1000) + keep_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"id": rows["id"], "entity": rows["entity"], "t": rows["t"], "velocity": velocity, "since_last": gap, "addr_changed": changed})
-
-    return rows.groupBy("entity").applyInPandasWithState(step, VELOCITY, "times array<double>, last double, addresses array<string>", "append", GroupStateTimeout.EventTimeTimeout)
+                address, last = list(own), float(at)
+        for at in now:
+            times.add(float(at))
+        for number in times.drop_before(last - self.window):
+            if number in known:
+                self.index.removeKey((number,))
+                self.chunks.removeKey((number,))
+        for number in sorted(times.changed):
+            self.index.updateValue((number,), times.index[number])
+            self.chunks.updateValue((number,), (times.times[number].tolist(),))
+        expires = max(int(last * 1000) + self.keep_ms, timerValues.getCurrentWatermarkInMs() + 1)
+        if timer is not None:
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(expires)
+        self.last.update((last, address, expires))
+        yield pd.DataFrame({"id": frame["id"], "entity": frame["entity"], "t": frame["t"], "velocity": velocity, "since_last": gap, "addr_changed": changed})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        for state in (self.index, self.chunks, self.last):
+            state.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
 
 
 def windowed_drift(stream: DataFrame, time_col: str, col: str, bins: DataFrame, window: str = "1 day", delay: str = "1 hour", threshold: float = 0.2) -> DataFrame:
