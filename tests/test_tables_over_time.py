@@ -128,11 +128,13 @@ def test_drift_over_windows(spark, tmp_path):
     assert told == [(4, pytest.approx(got[0].psi))]
 
 
-def test_queries_over_time_leave_no_tables(spark):
-    from tidemark.plans.queries import entity_table_batches
+@pytest.mark.parametrize(("name", "rows"), [("entity_table_batches", 1552), ("load_csv", 1000), ("stream_velocity", 1000), ("stream_drift", 29)])
+def test_queries_leave_nothing_but_their_result(spark, name, rows):
+    from tidemark.plans.queries import QUERIES
 
     folder = shared_folder(spark).removeprefix("file:")
-    before = set(os.listdir(folder))
-    out = entity_table_batches(spark, "/root/testdata/sf0.001")
-    new = set(os.listdir(folder)) - before
-    assert len(new) == 1 and new.pop().startswith("result-") and out.count() == 1552
+    known = lambda: {f for f in os.listdir(folder) if f.startswith(("work-", "result-", "table-", "csv-", "stream-", "features-"))}
+    before = known()
+    out = QUERIES[name](spark, "/root/testdata/sf0.001")
+    new = known() - before
+    assert len(new) == 1 and new.pop().startswith("result-") and out.count() == rows

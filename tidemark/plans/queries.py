@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.session import Workspace, shared_folder
+from tidemark.functions.session import Workspace
 from tidemark.operators.asof import asof_join
 from tidemark.operators.entity_table import EntityTable
 from tidemark.operators import drift, entities, features, graph, metrics, model, scoring, sketches
@@ -54,11 +52,11 @@ def load_left_join(spark, sf):
 @query("SELECT TransactionID, TransactionDT, TransactionAmt, isFraud, ProductCD, card2, addr1, D1, DeviceInfo, id_31 FROM tx LEFT JOIN ident USING (TransactionID)", TX_SQL)
 def load_csv(spark, sf):
     """Both tables as CSV with NA for what is missing, and read again."""
-    at = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
-    for name, df in (("tx", transactions(spark, sf).select(*REQUIRED_COLUMNS)), ("ident", identity(spark, sf))):
-        df.write.option("header", True).option("nullValue", "NA").csv(f"{at}/{name}")
-    df = load_transactions(spark, f"{at}/tx", f"{at}/ident")
-    return df.select("TransactionID", "TransactionDT", "TransactionAmt", "isFraud", "ProductCD", "card2", "addr1", "D1", "DeviceInfo", "id_31")
+    with Workspace(spark) as work:
+        for name, df in (("tx", transactions(spark, sf).select(*REQUIRED_COLUMNS)), ("ident", identity(spark, sf))):
+            df.write.option("header", True).option("nullValue", "NA").csv(f"{work.path}/{name}")
+        df = load_transactions(spark, f"{work.path}/tx", f"{work.path}/ident")
+        return work.result(df.select("TransactionID", "TransactionDT", "TransactionAmt", "isFraud", "ProductCD", "card2", "addr1", "D1", "DeviceInfo", "id_31"))
 
 
 _SPLIT = TX_SQL + ", cut AS (SELECT quantile_cont(TransactionDT, 0.7) AS c FROM tx)"
@@ -483,14 +481,14 @@ def time_range(spark, sf):
   LEFT JOIN (SELECT fingerprint, count(*) AS dd FROM dev WHERE fingerprint IS NOT NULL GROUP BY 1) USING (fingerprint) LEFT JOIN (SELECT {_CARD_ID} AS card, count(*) AS cd FROM tx GROUP BY 1) USING (card)""", _PRINT)
 def feature_pipeline(spark, sf):
     """All features as a batch job makes them, written to a table and read again; of the statistics those that SQL can say."""
-    at = f"{shared_folder(spark)}/features-{uuid.uuid4().hex}"
-    write_features(pipelines.build_features(joined(spark, sf)), at, as_of="2026-01-01")
-    out = read_features(spark, at)
-    return out.select(
-        "TransactionID", F.col("velocity_1h").alias("velocity"), F.col("time_since_last").alias("since"), F.col("addr_change").alias("changed"), F.col("device_fingerprint_degree").alias("device_degree"),
-        F.col("card_entity_id_degree").alias("card_degree"), F.col("card_entity_id_clustering_coeff").alias("card_clustering"), (F.col("card_entity_id_component_size") > F.col("card_entity_id_degree")).alias("card_in_component"),
-        F.year("last_updated").alias("updated"),
-    )
+    with Workspace(spark) as work:
+        write_features(pipelines.build_features(joined(spark, sf)), f"{work.path}/features", as_of="2026-01-01")
+        out = read_features(spark, f"{work.path}/features")
+        return work.result(out.select(
+            "TransactionID", F.col("velocity_1h").alias("velocity"), F.col("time_since_last").alias("since"), F.col("addr_change").alias("changed"), F.col("device_fingerprint_degree").alias("device_degree"),
+            F.col("card_entity_id_degree").alias("card_degree"), F.col("card_entity_id_clustering_coeff").alias("card_clustering"), (F.col("card_entity_id_component_size") > F.col("card_entity_id_degree")).alias("card_in_component"),
+            F.year("last_updated").alias("updated"),
+        ))
 
 
 @query()
@@ -631,7 +629,7 @@ def stream_drift(spark, sf):
 
 
 def _drained(spark: SparkSession, stream: DataFrame) -> DataFrame:
-    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    stream.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{at}/rows")
-
+    """What a stream gives of all that is there; its state goes with it."""
+    with Workspace(spark) as work:
+        stream.writeStream.format("parquet").option("path", f"{work.path}/rows").option("checkpointLocation", f"{work.path}/state").trigger(availableNow=True).start().awaitTermination()
+        return work.result(spark.read.schema(stream.schema).parquet(f"{work.path}/rows"))
