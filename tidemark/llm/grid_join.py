@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.order import numbered
 from tidemark.functions.session import Workspace, fresh
 from tidemark.llm.whitening import common_length, matrix, merged, regular
 from tidemark.operators.components import connected_components
@@ -120,20 +121,9 @@ def _ordered(df: DataFrame, vector: str, d: int, axes: np.ndarray, eps: float, w
     keyed = df.mapInArrow(gridded, T.StructType([*df.schema.fields, T.StructField(cells, T.ArrayType(T.IntegerType()))]))
     # equal vectors, however many, are dealt to several ranges by the hash of their rows
     keyed = keyed.withColumn(tie, F.xxhash64(*[F.col(f"`{f.name}`").cast("string") if isinstance(f.dataType, T.MapType) else F.col(f"`{f.name}`") for f in df.schema.fields]))
-    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     place = fresh("place", keyed.columns)
-    sorted_ = keyed.repartitionByRange(width, cells, tie).sortWithinPartitions(cells, tie).drop(cells, tie)
-    table = work.table(sorted_.withColumn(place, F.monotonically_increasing_id()))
-    # a row for each of ``width`` parts, whatever the size of the table
-    part = F.shiftrightunsigned(place, 33)
-    counts = {r["part"]: r["n"] for r in table.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}
-    before, offsets = 0, []
-    for p in sorted(counts):
-        offsets.append((p, before - (p << 33)))
-        before += counts[p]
-    starts = df.sparkSession.createDataFrame(offsets, "__part bigint, __offset bigint")
-    numbered = table.join(F.broadcast(starts), part == F.col("__part")).withColumn(place, F.col(place) + F.col("__offset")).drop("__part", "__offset")
-    return numbered, place, before
+    rows, n = numbered(keyed, [cells, tie], place, work)
+    return rows.drop(cells, tie), place, n
 
 
 def _blocks(rows: DataFrame, place: str, vector: str, d: int, size: int, axes: np.ndarray) -> DataFrame:
