@@ -182,3 +182,16 @@ def test_whitening_of_odd_rows(spark):
 def test_large_deviations_are_exact():
     model = whitening.Whitening(10**9, 2, [3 * 10**14, 5], np.eye(2), np.ones(2), np.ones(2) / 2)
     assert model.deviation(np.array([[7, 1 << 61], [300_000, 0]])) == [(7 * 10**9 - 3 * 10**14) ** 2 + ((1 << 61) * 10**9 - 5) ** 2, 25]
+
+
+def test_planted_texts(spark):
+    """Texts without words stay as they are; null ids are not chosen."""
+    ids = [i for i in range(300) if zlib.crc32(str(i).encode()) % 10 == 0][:5]
+    texts = ["", None, " \t ", "a", "a b c d e f g h i j k l m n o p"]
+    df = spark.createDataFrame([*zip(ids, texts, strict=True), (None, "x y")], "doc_id bigint, text string")
+    got = {r.doc_id: r.t for r in df.select("doc_id", queries.planted(F.col("text"), F.col("doc_id")).alias("t")).collect()}
+    g = zlib.crc32(str(ids[4]).encode()) // 10
+    a, w = g % 16, texts[4].split()
+    p = 1 + (16 - a) // (3 + g % 8)
+    assert [got[i] for i in ids[:4]] == texts[:4] and got[None] == "x y"
+    assert got[ids[4]] == " ".join(w[i if i < a else a + (i - a) % p] for i in range(16))
