@@ -81,6 +81,17 @@ def test_clustering_against_counting(spark):
         assert got[x] == pytest.approx(2 * t / (len(ns) * (len(ns) - 1)) if len(ns) > 1 else 0)
 
 
+def test_clustering_does_not_open_the_paths_between_hubs(spark, monkeypatch):
+    # 60 entities that each share transactions with 20 hubs, and one triangle: pairs of hubs are no work
+    rows = [(60 * h + i, f"a{i}", f"h{h}", None) for h in range(20) for i in range(60)] + [(5000, "x", "y", "z")]
+    df = spark.createDataFrame(rows, "txn bigint, a string, b string, c string")
+    opened, paths = [], graph._paths
+    monkeypatch.setattr(graph, "_paths", lambda d: opened.append(paths(d).count()) or paths(d))
+    got = {(r.entity_col, r.entity_value): r.clustering_coeff for r in graph.clustering_of_entities(graph.bipartite_edges(df, "txn", ["a", "b", "c"])).collect()}
+    assert opened == [1] and len(got) == 83
+    assert {k for k, v in got.items() if v} == {("a", "x"), ("b", "y"), ("c", "z")} and got["a", "x"] == 1.0
+
+
 def test_components_random(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 140)]

@@ -82,25 +82,44 @@ def _component_sizes(coded: DataFrame, work: Workspace) -> DataFrame:
 
 def clustering(pairs: DataFrame) -> DataFrame:
     """(entity_col, entity_value, clustering_coeff) of entities in the projection."""
-    return _clustering(pairs).select("n.*", "clustering_coeff")
+    with Workspace(pairs.sparkSession) as work:
+        pairs = work.table(pairs.select("src", "dst", "weight"))
+        entities, _ = entity_numbers(pairs.select(F.explode(F.array("src", "dst")).alias("n")).select("n.*"), work)
+        return work.result(_named_clustering(entities, coded_pairs(pairs, entities), work))
 
 
-def _clustering(pairs: DataFrame) -> DataFrame:
-    """(n, clustering_coeff). Each triangle is found once, from its corner of least degree, so hubs make no quadratic number of paths."""
-    ends = pairs.select(F.explode(F.array("src", "dst")).alias("n"))
-    k = ends.groupBy("n").agg(F.count("*").alias("k"))
+def clustering_of_entities(edges: DataFrame) -> DataFrame:
+    """The same of the entities of edges that share a transaction with another one. Entities are numbered before they are paired, so no pair is made of texts."""
+    with Workspace(edges.sparkSession) as work:
+        edges = work.table(edges)
+        entities, _ = entity_numbers(edges, work)
+        return work.result(_named_clustering(entities, _pairs(edges.join(entities, ENTITY).select("txn_id", "e")), work))
+
+
+def _named_clustering(entities: DataFrame, pairs: DataFrame, work: Workspace) -> DataFrame:
+    return entities.join(_clustering(work.table(pairs), work), F.col("e") == F.col("n")).select(*ENTITY, "clustering_coeff")
+
+
+def _clustering(pairs: DataFrame, work: Workspace) -> DataFrame:
+    """(n, clustering_coeff) of pairs of numbers. An edge points to its end of greater degree (ties: greater number). A triangle is found once: as a path of two such edges whose first node
+    points to the last one too. A node that many point to is one of the greatest and points to few, so hubs make no quadratic number of paths: with m edges no node points to more
+    than sqrt(2 m) others. Rows are three numbers."""
+    k = work.table(pairs.select(F.explode(F.array("src", "dst")).alias("n")).groupBy("n").agg(F.count("*").alias("k")))
     ks, kd = k.select(F.col("n").alias("src"), F.col("k").alias("ks")), k.select(F.col("n").alias("dst"), F.col("k").alias("kd"))
     ranked = pairs.select("src", "dst").join(ks, "src").join(kd, "dst")
-    up = F.struct(F.col("ks"), F.col("src")) < F.struct(F.col("kd"), F.col("dst"))
-    directed = ranked.select(F.when(up, F.struct("ks", "src")).otherwise(F.struct(F.col("kd").alias("ks"), F.col("dst").alias("src"))).alias("u"), F.when(up, F.struct(F.col("kd").alias("ks"), F.col("dst").alias("src"))).otherwise(F.struct("ks", "src")).alias("v"))
-    a, b = directed.select("u", F.col("v").alias("x")), directed.select("u", F.col("v").alias("y"))
-    open_ = a.join(b, "u").where("x < y")
-    closed = open_.join(directed.select(F.col("u").alias("x"), F.col("v").alias("y")), ["x", "y"])
-    corners = closed.select(F.explode(F.array("u", "x", "y")).alias("c")).groupBy(F.col("c.src").alias("n")).agg(F.count("*").alias("t"))
+    up = F.struct("ks", "src") < F.struct("kd", "dst")
+    directed = work.table(ranked.select(F.when(up, F.col("src")).otherwise(F.col("dst")).alias("u"), F.when(up, F.col("dst")).otherwise(F.col("src")).alias("v")))
+    closed = _paths(directed).join(directed.select("u", F.col("v").alias("w")), ["u", "w"])
+    corners = closed.select(F.explode(F.array("u", "v", "w")).alias("n")).groupBy("n").agg(F.count("*").alias("t"))
     value = F.when(F.col("k") > 1, 2.0 * F.coalesce("t", F.lit(0)) / (F.col("k") * (F.col("k") - 1))).otherwise(0.0)
     return k.join(corners, "n", "left").select("n", value.alias("clustering_coeff"))
 
 
+def _paths(directed: DataFrame) -> DataFrame:
+    """(v, u, w): u points to v, and v to w."""
+    return directed.join(directed.select(F.col("u").alias("v"), F.col("v").alias("w")), "v")
+
+
 def communities(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """(entity_col, entity_value, community_id): -1 for all if no two entities share a transaction; else communities of the projection by
     modularity, an entity without a neighbour being one of its own. An id is the rank of the community's smallest member."""
@@ -135,7 +154,7 @@ def entity_features(df: DataFrame, id_col: str, entity_cols: list[str], stats: t
         if "community_id" in stats:
             out = out.withColumn("community_id", F.lit(-1).cast("bigint")) if pairs.isEmpty() else out.join(_community_ids(entities, pairs, work), "e")
         if "clustering_coeff" in stats:
-            out = out.join(_clustering(pairs).withColumnRenamed("n", "e"), "e", "left").withColumn("clustering_coeff", F.coalesce("clustering_coeff", F.lit(0.0)))
+            out = out.join(_clustering(pairs, work).withColumnRenamed("n", "e"), "e", "left").withColumn("clustering_coeff", F.coalesce("clustering_coeff", F.lit(0.0)))
         return work.result(out.select(*ENTITY, *[s for s in STATS if s in stats]))
 
 

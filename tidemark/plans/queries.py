@@ -238,8 +238,8 @@ k AS (SELECT x, count(*) AS k FROM sym GROUP BY x), tri AS (SELECT a.x, count(*)
 
 @query("SELECT split_part(k.x, chr(1), 1) AS entity_col, split_part(k.x, chr(1), 2) AS entity_value, round(CASE WHEN k > 1 THEN 2.0 * coalesce(t, 0) / (k * (k - 1)) ELSE 0 END, 6) AS clustering_coeff FROM k LEFT JOIN tri USING (x)", _CLUSTER)
 def clustering_coeff(spark, sf):
-    pairs = graph.projection(graph.bipartite_edges(order_entities(spark, sf), "txn", THREE))
-    return graph.clustering(pairs).withColumn("clustering_coeff", six("clustering_coeff"))
+    edges = graph.bipartite_edges(order_entities(spark, sf), "txn", THREE)
+    return graph.clustering_of_entities(edges).withColumn("clustering_coeff", six("clustering_coeff"))
 
 
 @query("SELECT DISTINCT 'customer' AS entity_col, customer AS entity_value, CAST(-1 AS BIGINT) AS community_id FROM o", ORDERS_SQL)
