@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -251,3 +252,34 @@ def test_schema_and_csv(spark, tmp_path):
     assert [r.card2 for r in got] == [None, 2.0] and [r.DeviceInfo for r in got] == [None, "Windows"] and [r.ProductCD for r in got] == ["W", None]
     with pytest.raises(ValueError):
         sources.join_identity(spark.createDataFrame([(1, 2)], "TransactionID bigint, a int"), spark.createDataFrame([(1, 2)], "TransactionID bigint, a int"))
+
+
+def test_trees_are_the_same_on_kinds_of_rows(spark, monkeypatch):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    rng = random.Random(7)
+    rows = [(float(rng.randrange(9)), None if i % 5 == 0 else float(rng.randrange(12)), int(rng.random() < 0.3)) for i in range(3000)]
+    df = spark.createDataFrame([(a, b, int(y or a > 6)) for a, b, y in rows], "a double, b double, isFraud int").repartition(3)
+    seen, kinds = [], model._kinds
+    monkeypatch.setattr(model, "_kinds", lambda *args: seen.append(kinds(*args)) or seen[-1])
+    params = {"maxIter": 4, "maxDepth": 3, "stepSize": 0.3, "seed": 42}
+    fitted = model.train_model(df, ["a", "b"], params=params)
+    assert len(seen) == 1 and fitted.stages.stages[-1].numFeatures == 4
+    ready, inputs = model.with_indicators(df, ["a", "b"])
+    ready = ready.withColumn("y", F.col("isFraud").cast("double")).withColumn("w", F.when(F.col("isFraud") == 1, fitted.scale_pos_weight).otherwise(1.0))
+    plain = Pipeline(stages=[VectorAssembler(inputCols=inputs, outputCol="x"), GBTClassifier(featuresCol="x", labelCol="y", weightCol="w", **params)]).fit(ready)
+    from pyspark.ml.functions import vector_to_array
+
+    want = {(r.a, r.b): r.p for r in plain.transform(ready).select("a", "b", vector_to_array("probability")[1].alias("p")).collect()}
+    got = {(r.a, r.b): r.fraud_probability for r in fitted.predict(df).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_cuts_lie_between_few_values_and_at_quantiles_of_many(spark):
+    df = spark.range(5000).select((F.col("id") % 3).cast("double").alias("few"), F.when(F.col("id") % 2 == 0, F.col("id")).alias("many"), F.lit(4).alias("one"))
+    ready, _ = model.with_indicators(df, ["few", "many", "one"])
+    few, many, one = model._cuts(ready, ["few", "many", "one"], 32)
+    assert few == [-np.inf, 0.5, 1.5, np.inf] and one == [-np.inf, 0.0, np.inf]
+    assert len(many) == 33 and -999 < many[1] < -998 and all(abs(c - 5000 * i / 31) < 10 for i, c in enumerate(many[2:-1], 1))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.session import Workspace
 from tidemark.operators import drift, entities, features, graph, metrics
 from tidemark.operators.model import SENTINEL, TrainedModel, model_columns, smote, train_model
 from tidemark.operators.split import temporal_split
@@ -47,7 +48,7 @@ def train_and_evaluate(df: DataFrame, params: dict | None = None, extra: tuple[s
     """Model, scored test rows and metrics. The threshold is chosen on the test scores, so its cost is optimistic."""
     train, test, names = _prepared(df, extra)
     model = train_model(train, names, params=params)
-    scored = model.predict(test)
+    scored = Workspace(df.sparkSession).result(model.predict(test))  # read three times
     threshold, cost = metrics.select_threshold_by_cost(scored, "isFraud", "fraud_probability", COST_FP, COST_FN)
     return model, scored, {"pr_auc": metrics.pr_auc(scored, "isFraud", "fraud_probability"), "threshold": threshold, "cost": cost}
 
@@ -57,7 +58,7 @@ def smote_baseline(df: DataFrame, params: dict | None = None, extra: tuple[str,
     train, test, names = _prepared(df, extra)
     model = train_model(smote(train, names, "isFraud", id_col), names, "label", (params or {}) | {"scale_pos_weight": 1.0})
     filled = test.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(SENTINEL)) for c in names})  # as the oversampled rows are
-    scored = model.predict(filled)
+    scored = Workspace(df.sparkSession).result(model.predict(filled))
     return model, scored, metrics.pr_auc(scored, "isFraud", "fraud_probability")
 
 
