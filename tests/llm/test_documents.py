@@ -349,3 +349,26 @@ def test_license_texts(spark):
         assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(w), len(at), min(at, default=None), max(at, default=None))
     with pytest.raises(ValueError):
         license_scan.template_rows((("notice", 4, (("short", "a b"),)),))
+
+
+def test_links_beside_a_crowd_of_strangers(spark):
+    # all texts are near 0.75 of each other, so a bucket's head is a stranger to nearly all; each has one partner above 0.8
+    rng, rows = random.Random(11), []
+    base = [f"w{i}" for i in range(400)]
+    for p in range(60):
+        own = list(base)
+        for j in rng.sample(range(0, 80), 2):
+            own[5 * j] = f"x{p}a{j}"
+        for side in range(2):
+            text = list(own)
+            for j in rng.sample(range(0, 80), 4):
+                text[5 * j + 2] = f"y{p}b{side}c{j}"
+            rows.append((2 * p + side, " ".join(text)))
+    grams = [{tuple(t.split()[i : i + 5]) for i in range(396)} for _, t in rows]
+    links = [(a, b) for b in range(len(rows)) for a in range(b) if len(grams[a] & grams[b]) / len(grams[a] | grams[b]) >= 0.8]
+    up = list(range(len(rows)))
+    for _ in rows:
+        for a, b in links:
+            up[a] = up[b] = min(up[a], up[b])
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert len(set(up)) > 30 and len(links) >= 50 and got == dict(enumerate(up))
