@@ -372,3 +372,19 @@ def test_links_beside_a_crowd_of_strangers(spark):
             up[a] = up[b] = min(up[a], up[b])
     got = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert len(set(up)) > 30 and len(links) >= 50 and got == dict(enumerate(up))
+
+
+@pytest.mark.parametrize("span", [1 << 21, 900])
+def test_a_crowd_in_one_bucket_gives_no_more_links_than_texts(spark, monkeypatch, span):
+    # stretches of a line of shingles: neighbours are near, others are not, and all are in one bucket
+    monkeypatch.setattr(neardup, "SPAN", span)
+    spelt = [(k, list(range(4 * k, 4 * k + 40))) for k in range(60) if k % 20]
+    members = spark.createDataFrame([(5, k, k) for k, _ in spelt] + [(6, k, k // 30) for k, _ in spelt if k < 30] + [(7, 1, 0), (7, 2, 1)], "h bigint, k bigint, c bigint")
+    mixed = neardup._mixed(members)
+    assert {r.h for r in mixed.select("h").distinct().collect()} == {5, 7} and mixed.where("minor and h = 5").count() == len(spelt) - 1
+    got = [(r.dst, r.src) for r in neardup._crossing(mixed.where("h = 5"), spark.createDataFrame(spelt, "k bigint, shingles array<bigint>"), 0.8).collect()]
+    assert set(got) == {(a, a + 1) for a, _ in spelt if (a + 1) % 20 and a + 1 < 60}
+    assert span == 900 or len(got) < len(spelt)
+    wide = spark.createDataFrame([(k, [*range(40), k + 100]) for k, _ in spelt], "k bigint, shingles array<bigint>")
+    joined = neardup._crossing(mixed.where("h = 5"), wide, 0.8).count()
+    assert joined == len(spelt) - 1 if span > 900 else joined < len(spelt) ** 2 / 4
