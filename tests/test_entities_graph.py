@@ -237,3 +237,27 @@ def test_nothing_but_the_result_stays(spark):
     out = graph.entity_features(df, "txn", ["a", "b"])
     new = set(os.listdir(folder)) - before
     assert len(new) == 1 and new.pop().startswith("result-") and out.count() == 8
+
+
+def test_a_step_of_moves_joins_twice(spark):
+    from tidemark.operators import communities
+
+    # a triangle 1, 2, 3 and an edge 4, 5, both ways, each with the degree of its first end
+    both = spark.createDataFrame([(a, b, 1.0, 2.0) for a in (1, 2, 3) for b in (1, 2, 3) if a != b] + [(4, 5, 1.0, 1.0), (5, 4, 1.0, 1.0)], "v bigint, u bigint, w double, k double")
+    home = spark.createDataFrame([(v, v, 2.0 if v < 4 else 1.0) for v in range(1, 6)], "v bigint, c bigint, k double")
+    for share in range(communities.SHARES):
+        home = communities._step(home, both, 4.0, 0, share)
+        if not share:
+            assert home._jdf.queryExecution().analyzed().toString().count("Join ") == 2
+    got = {r.v: (r.c, r.k) for r in home.collect()}
+    assert {v: k for v, (_, k) in got.items()} == {1: 2.0, 2: 2.0, 3: 2.0, 4: 1.0, 5: 1.0}
+    assert got[4][0] == got[5][0] and not {got[v][0] for v in (1, 2, 3)} & {got[4][0]} and len({got[v][0] for v in (1, 2, 3)}) < 3
+
+
+def test_communities_from_edges_alone(spark):
+    rows = [(i, f"a{i % 3}", f"b{i % 3}") for i in range(9)] + [(100, "a9", None)]
+    edges = graph.bipartite_edges(spark.createDataFrame(rows, "txn bigint, a string, b string"), "txn", ["a", "b"])
+    got, as_before = graph.communities_of_entities(edges).collect(), graph.communities(edges, graph.projection(edges)).collect()
+    assert sorted(got) == sorted(as_before) and len(got) == 7
+    single = graph.communities_of_entities(edges.where("entity_col = 'a'"))
+    assert {r.community_id for r in single.collect()} == {-1} and single.count() == 4
