@@ -109,3 +109,146 @@ def test_chunks_of_times():
         index = chunks.index
         plain = sorted(t for n in index for t in stored[n])
     assert len(plain) > 500 and len(stored) > 20 and max(sizes) <= 64 and max(sizes[-200:]) <= 64
+
+
+class Store:
+    """State of one entity that counts its calls."""
+
+    def __init__(self):
+        self.calls, self.value, self.maps = [], None, {}
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self
+
+    def getMapState(self, name, *schemas):  # noqa: N802
+        store, kept = self, self.maps.setdefault(name, {})
+
+        class Map:
+            def iterator(self):
+                store.calls.append("iterator")
+                return iter(list(kept.items()))
+
+            def getValue(self, key):  # noqa: N802
+                store.calls.append("getValue")
+                return kept[key]
+
+            def updateValue(self, key, value):  # noqa: N802
+                store.calls.append("updateValue")
+                kept[key] = value
+
+            def removeKey(self, key):  # noqa: N802
+                store.calls.append("removeKey")
+                del kept[key]
+
+            def clear(self):
+                kept.clear()
+
+        return Map()
+
+    def get(self):
+        self.calls.append("get")
+        return self.value
+
+    def update(self, value):
+        self.calls.append("update")
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+    def registerTimer(self, at):  # noqa: N802
+        self.calls.append(f"timer {at}")
+
+
+class Now:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = lambda: ms
+
+
+def entity_batch(state, rows, packs=1, watermark=0):
+    """{id: (velocity, since_last, addr_changed)} of (id, second, town), in so many packs."""
+    import pyarrow as pa
+    from pyspark.sql import Row
+
+    found = []
+    for k in range(packs):
+        ids, at, towns = zip(*rows[k::packs], strict=True)
+        batch = pa.RecordBatch.from_pydict({"entity": ["a"] * len(ids), "us": pa.array([t * 1_000_000 for t in at], pa.int64()), "id": pa.array(ids, pa.int64()), "a0": pa.array(towns, pa.string())})
+        found += [Row(packed=r["packed"]) for out in online._packs(iter([batch])) for r in out.to_pylist()]
+    out = [tuple(v) for r in state.handleInputRows(("a",), iter(found), Now(watermark)) for v in zip(r.ids, r.velocity, r.since_last, r.addr_changed, strict=True)]
+    assert len(out) == len({v[0] for v in out}) == (len(rows) if not watermark else sum(r[1] * 1000 > watermark for r in rows))
+    return {v[0]: v[1:] for v in out}
+
+
+def test_an_entity_costs_few_calls_of_its_state():
+    """A new entity reads and writes one value and sets a timer, a known one does not even that, however many rows it has; a timer that later rows have put off is set again."""
+    store = Store()
+    state = online.EntityState(100, 1000, 64)
+    state.init(store)
+    assert entity_batch(state, [(k, 50 * k, "x") for k in range(40)]) == {k: (min(k, 2), 50.0 if k else None, False) for k in range(40)}
+    assert store.calls == ["get", f"timer {(1950 + 1000) * 1000}", "update"]
+    store.calls.clear()
+    assert entity_batch(state, [(40, 2000, "y")]) == {40: (2, 50.0, True)}
+    assert store.calls == ["get", "update"]
+    # of a pack only what is behind the watermark is left out
+    assert entity_batch(state, [(41, 1990, "z"), (42, 1995, "z"), (43, 2000, "y")], watermark=1_990_000) == {42: (2, None, False), 43: (4, 0.0, False)}
+    assert entity_batch(state, [(44, 1990, "z")], watermark=1_990_000) == {} and store.value[0] == 2000
+    store.calls.clear()
+    assert list(state.handleExpiredTimer(("a",), Now(2_950_000), None)) == [] and store.value is not None
+    assert store.calls == ["get", "timer 3000000", "update"]
+    assert list(state.handleExpiredTimer(("a",), Now(3_000_000), None)) == [] and store.value is None
+
+
+def test_busy_entities_keep_chunks_and_leave_them():
+    """Against a plain count: quiet and busy times, equal times, missing ids and towns, several packs, rows that are late within what is kept."""
+    rng, store, plain, at, n = random.Random(8), Store(), [], 0, 0
+    state = online.EntityState(100, 10_000, 16)
+    state.init(store)
+    chunked = []
+    for k in range(60):
+        rows = []
+        for _ in range(rng.randrange(1, 60)):
+            at += rng.randrange(2) if k % 20 < 10 else rng.randrange(40)
+            rows.append((n, at, rng.choice(["x", "y", None])))
+            n += 1
+        rng.shuffle(rows)
+        late = [(n, at - 1000, "late")] if k == 59 else []
+        n += len(late)
+        got, expected, last = entity_batch(state, rows + late, rng.choice([1, 2]) if len(rows) > 1 else 1), {}, plain[-1] if plain else None
+        for row in sorted(rows, key=lambda r: (r[1], r[0])):
+            changed = bool(last and last[2] and row[2] and last[2] != row[2])
+            expected[row[0]] = (sum(row[1] - p[1] <= 100 for p in plain), float(row[1] - last[1]) if last else None, changed)
+            plain.append(row)
+            last = row
+        if late:
+            assert got.pop(late[0][0])[1:] == (None, False)
+        assert got == expected
+        plain = plain[-2500:]
+        assert all(len(v[0]) <= 64 for v in store.maps["chunks"].values()) and store.maps["chunks"].keys() == store.maps["index"].keys()
+        chunked.append(store.value[3] is None)
+        assert bool(store.maps["chunks"]) == chunked[-1] and (chunked[-1] or len(store.value[3]) <= 16)
+    assert any(chunked) and not all(chunked[10:]) and chunked.index(True) < len(chunked) - 1 - chunked[::-1].index(False)
+
+
+def test_packs_are_in_order_and_lose_nothing(monkeypatch):
+    import pickle
+
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    rows = [(rng.choice("abc"), rng.randrange(20) * 1_000_000, rng.choice([None, k]), rng.choice(["x", None])) for k in range(200)]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(["entity", "us", "id", "a0"], r, strict=True)) for r in rows[k : k + 30]], pa.schema({"entity": pa.string(), "us": pa.int64(), "id": pa.int64(), "a0": pa.string()})) for k in range(0, 200, 30)]
+    for limit, count in ((1 << 19, 3), (60, 12)):  # in three fours: two batches each, and the last one
+        monkeypatch.setattr(online, "PACKED", limit)
+        packs = [r for out in online._packs(iter(batches)) for r in out.to_pylist()]
+        assert len(packs) == count
+        back = []
+        for r in packs:
+            ids, us, (towns,) = pickle.loads(r["packed"])
+            assert [(t, i is None, i or 0) for t, i in zip(us, ids, strict=True)] == sorted((t, i is None, i or 0) for t, i in zip(us, ids, strict=True))
+            assert r["t"] == dt.datetime.fromtimestamp(us[-1] / 1e6, dt.UTC)
+            back += [(r["entity"], *v) for v in zip(us, ids, towns, strict=True)]
+        assert sorted(back, key=str) == sorted(rows, key=str)
+        of_a = [pickle.loads(r["packed"]) for r in packs if r["entity"] == "a"]
+        ids, us, _ = online._by_time(of_a)
+        assert us == sorted(us) and len(ids) == sum(r[0] == "a" for r in rows)
