@@ -107,6 +107,16 @@ def test_smote(spark):
     assert sum(r.label for r in got) == 34 and len(got) == 68 and all(r.a <= 5 for r in got if r.label == 1)
 
 
+def test_smote_broadcasts_no_side_that_grows(spark, monkeypatch):
+    from tidemark.functions.session import Workspace
+
+    plans, result = [], Workspace.result
+    monkeypatch.setattr(Workspace, "result", lambda work, df: plans.append(df._jdf.queryExecution().sparkPlan().toString()) or result(work, df))
+    df = spark.createDataFrame([(i, float(i), int(i % 4 == 0)) for i in range(40)], "id bigint, a double, y int")
+    assert {r["label"]: r["count"] for r in model.smote(df, ["a"], "y", "id").groupBy("label").count().collect()} == {0: 30, 1: 30}
+    assert len(plans) == 1 and plans[0].count("SortMergeJoin") == 2 and "BroadcastHashJoin" not in plans[0]
+
+
 def test_smote_to_its_end(spark):
     """Many positives: each new row lies between two near positives; a model of all rows scores."""
     import numpy as np

@@ -118,10 +118,11 @@ def smote(df: DataFrame, features: list[str], label_col: str, id_col: str, k: in
         digest = F.md5(F.concat(F.col("id").cast("string"), F.lit(f":{seed}")))
         last = smallest_digest(points, digest, rest)
         times = points.select("id", "x", (F.lit(per) + (F.lit(0) if last is None else F.when(digest <= last, 1).otherwise(0))).alias("times"))
-        made = times.where("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+        # a small file of positives is many rows in the driver's memory: none of these sides is broadcast, however small its file
+        made = times.where("times > 0").join(near.hint("merge"), "id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
         unit = lambda salt: F.pmod(F.xxhash64("id", "copy", F.lit(salt)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        picked = made.join(near, "id").withColumn("nid", F.get("nearest", F.floor(unit(seed) * F.size("nearest")).cast("int"))).withColumn("u", unit(seed + 1))
-        new = picked.join(points.select(F.col("id").alias("nid"), F.col("x").alias("nx")), "nid").select(F.zip_with("x", "nx", lambda a, b: a + F.col("u") * (b - a)).alias("z"))
+        picked = made.select("x", F.get("nearest", F.floor(unit(seed) * F.size("nearest")).cast("int")).alias("nid"), unit(seed + 1).alias("u"))
+        new = picked.join(points.select(F.col("id").alias("nid"), F.col("x").alias("nx")).hint("merge"), "nid").select(F.zip_with("x", "nx", lambda a, b: a + F.col("u") * (b - a)).alias("z"))
         return work.result(out.union(new.select(*[F.col("z")[i].alias(c) for i, c in enumerate(features)], F.lit(1).alias("label"))))
 
 
