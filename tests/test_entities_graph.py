@@ -92,6 +92,24 @@ def test_clustering_does_not_open_the_paths_between_hubs(spark, monkeypatch):
     assert {k for k, v in got.items() if v} == {("a", "x"), ("b", "y"), ("c", "z")} and got["a", "x"] == 1.0
 
 
+def test_clustering_opens_paths_from_the_least_node(spark, monkeypatch):
+    # 600 customers of one order, 20 cells, 10 prices: two edges of each customer, not each customer's cell with all its prices
+    rows = [(i, f"c{i}", f"d{i % 20}", f"p{i // 20 % 10}") for i in range(600)]
+    opened, paths = [], graph._paths
+    monkeypatch.setattr(graph, "_paths", lambda d: opened.append(paths(d).count()) or paths(d))
+    df = spark.createDataFrame(rows, "txn bigint, a string, b string, c string")
+    got = {(r.entity_col, r.entity_value): r.clustering_coeff for r in graph.clustering_of_entities(graph.bipartite_edges(df, "txn", ["a", "b", "c"])).collect()}
+    assert opened == [600] and len(got) == 630 and all(got["a", f"c{i}"] == 1.0 for i in range(600))
+    assert got["b", "d0"] == pytest.approx(2 * 30 / (40 * 39)) and got["c", "p0"] == pytest.approx(2 * 60 / (80 * 79))
+
+
+def test_clustering_of_transactions_with_two_entities_of_a_column(spark):
+    rows = [(1, "x", "y"), (1, "z", None), (2, "x", "v"), (3, "w", "v"), (4, "w", "u")]
+    df = spark.createDataFrame(rows, "txn bigint, a string, b string")
+    got = {r.entity_value: r.clustering_coeff for r in graph.clustering_of_entities(graph.bipartite_edges(df, "txn", ["a", "b"])).collect()}
+    assert got == {"x": pytest.approx(1 / 3), "y": 1.0, "z": 1.0, "v": 0.0, "w": 0.0, "u": 0.0}
+
+
 def test_components_random(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 140)]

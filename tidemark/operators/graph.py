@@ -97,27 +97,39 @@ def clustering_of_entities(edges: DataFrame) -> DataFrame:
 
 
 def _named_clustering(entities: DataFrame, pairs: DataFrame, work: Workspace) -> DataFrame:
-    return entities.join(_clustering(work.table(pairs), work), F.col("e") == F.col("n")).select(*ENTITY, "clustering_coeff")
+    return entities.join(_clustering(work.table(pairs), work, _column_starts(entities)), F.col("e") == F.col("n")).select(*ENTITY, "clustering_coeff")
 
 
-def _clustering(pairs: DataFrame, work: Workspace) -> DataFrame:
-    """(n, clustering_coeff) of pairs of numbers. An edge points to its end of greater degree (ties: greater number). A triangle is found once: as a path of two such edges whose first node
-    points to the last one too. A node that many point to is one of the greatest and points to few, so hubs make no quadratic number of paths: with m edges no node points to more
-    than sqrt(2 m) others. Rows are three numbers."""
+def _column_starts(entities: DataFrame) -> list[int]:
+    """The first number of each column of entities: numbers follow their order, so a column's are a range. One for each column comes to the driver."""
+    return sorted(r["first"] for r in entities.groupBy("entity_col").agg(F.min("e").alias("first")).collect())
+
+
+def _clustering(pairs: DataFrame, work: Workspace, starts: list[int]) -> DataFrame:
+    """(n, clustering_coeff) of pairs of numbers (src < dst), in whose ranges from ``starts`` on lie the columns. An edge points to its end of greater degree (ties: greater number). A triangle is found
+    once: as two edges from its least node whose ends are a pair too. A node that many point to is one of the greatest and points to few, so hubs make no quadratic number of paths: with m edges no
+    node points to more than sqrt(2 m) others. Ends of two columns of which no pair is made (as a rule one column and itself) are never brought together, so
+    paths are a node's edges to one column times those to another. Rows are three numbers."""
     k = work.table(pairs.select(F.explode(F.array("src", "dst")).alias("n")).groupBy("n").agg(F.count("*").alias("k")))
     ks, kd = k.select(F.col("n").alias("src"), F.col("k").alias("ks")), k.select(F.col("n").alias("dst"), F.col("k").alias("kd"))
     ranked = pairs.select("src", "dst").join(ks, "src").join(kd, "dst")
     up = F.struct("ks", "src") < F.struct("kd", "dst")
     directed = work.table(ranked.select(F.when(up, F.col("src")).otherwise(F.col("dst")).alias("u"), F.when(up, F.col("dst")).otherwise(F.col("src")).alias("v")))
-    closed = _paths(directed).join(directed.select("u", F.col("v").alias("w")), ["u", "w"])
+    column = lambda c: sum((F.when(F.col(c) >= s, 1).otherwise(0) for s in starts[1:]), F.lit(0))
+    met = pairs.select(column("src").alias("a"), column("dst").alias("b")).distinct().collect()  # the square of the columns at most
+    others = F.lit(None).cast("array<int>")
+    for a in {r["a"] for r in met}:
+        others = F.when(F.col("column") == a, F.array(*[F.lit(r["b"]) for r in met if r["a"] == a])).otherwise(others)
+    closed = _paths(directed.withColumn("column", column("v")).withColumn("others", others)).join(pairs.select(F.col("src").alias("v"), F.col("dst").alias("w")), ["v", "w"])
     corners = closed.select(F.explode(F.array("u", "v", "w")).alias("n")).groupBy("n").agg(F.count("*").alias("t"))
     value = F.when(F.col("k") > 1, 2.0 * F.coalesce("t", F.lit(0)) / (F.col("k") * (F.col("k") - 1))).otherwise(0.0)
     return k.join(corners, "n", "left").select("n", value.alias("clustering_coeff"))
 
 
 def _paths(directed: DataFrame) -> DataFrame:
-    """(v, u, w): u points to v, and v to w."""
-    return directed.join(directed.select(F.col("u").alias("v"), F.col("v").alias("w")), "v")
+    """(u, v, w): u points to v and to w, v < w, and w is of one of the columns that pairs link with that of v (``others``)."""
+    ends = directed.select("u", "v", F.explode("others").alias("column"))
+    return ends.join(directed.select("u", F.col("v").alias("w"), "column"), ["u", "column"]).where("v < w").select("u", "v", "w")
 
 
 def communities(edges: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -183,7 +195,7 @@ def entity_features(df: DataFrame, id_col: str, entity_cols: list[str], stats: t
         if "community_id" in stats:
             out = out.withColumn("community_id", F.lit(-1).cast("bigint")) if pairs.isEmpty() else out.join(_community_ids(entities, pairs, work), "e")
         if "clustering_coeff" in stats:
-            out = out.join(_clustering(pairs, work).withColumnRenamed("n", "e"), "e", "left").withColumn("clustering_coeff", F.coalesce("clustering_coeff", F.lit(0.0)))
+            out = out.join(_clustering(pairs, work, _column_starts(entities)).withColumnRenamed("n", "e"), "e", "left").withColumn("clustering_coeff", F.coalesce("clustering_coeff", F.lit(0.0)))
         return work.result(out.select(*ENTITY, *[s for s in STATS if s in stats]))
 
 
