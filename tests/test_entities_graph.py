@@ -103,6 +103,14 @@ def test_clustering_opens_paths_from_the_least_node(spark, monkeypatch):
     assert got["b", "d0"] == pytest.approx(2 * 30 / (40 * 39)) and got["c", "p0"] == pytest.approx(2 * 60 / (80 * 79))
 
 
+def test_statistics_open_paths_from_the_least_node(spark, monkeypatch):
+    opened, paths = [], graph._paths
+    monkeypatch.setattr(graph, "_paths", lambda d: opened.append(paths(d).count()) or paths(d))
+    df = spark.createDataFrame([(i, f"c{i}", f"d{i % 20}", f"p{i // 20 % 10}") for i in range(600)], "txn bigint, a string, b string, c string")
+    got = graph.entity_features(df, "txn", ["a", "b", "c"], ["degree", "clustering_coeff"]).where("entity_col = 'a'").distinct()
+    assert opened == [600] and got.where("degree = 1 and clustering_coeff = 1.0").count() == got.count() == 600
+
+
 def test_clustering_of_transactions_with_two_entities_of_a_column(spark):
     rows = [(1, "x", "y"), (1, "z", None), (2, "x", "v"), (3, "w", "v"), (4, "w", "u")]
     df = spark.createDataFrame(rows, "txn bigint, a string, b string")
